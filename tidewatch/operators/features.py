@@ -88,7 +88,7 @@ def event_aggs() -> list[Column]:
         # order
         F.min_by(ordinal("event_type", dims.EVENT_TYPES), pos).alias("first_event_type"),
         F.max_by(ordinal("event_type", dims.EVENT_TYPES), pos).alias("last_event_type"),
-        F.min("pos").alias("_p0"), F.min(F.when(_is("ResourceAccess"), F.col("ts"))).alias("_first_access"),
+        F.min(F.when(_is("ResourceAccess"), F.col("ts"))).alias("_first_access"),
         F.min(F.when(admin, pos)).alias("_p_admin"), F.min(F.when(_is("FileDownload"), pos)).alias("_p_down"),
         F.min(F.when(_is("ProcessStart"), pos)).alias("_p_proc"),
     ]
@@ -150,6 +150,7 @@ def event_features(events: DataFrame, floor_s: float | None = 1.0) -> DataFrame:
     if "destination" not in events.columns:
         events = events.withColumn("destination", F.lit(None).cast("string"))
     agg = events.groupBy("session_id", "lead").agg(*session_aggs(), *event_aggs())
+    agg = agg.withColumn("_p0", F.col("lead.pos"))
     return _finish(finish_sessions(agg, floor_s))
 
 
@@ -199,6 +200,5 @@ def session_event_ids(events: DataFrame, page_size: int = 1000) -> DataFrame:
     """Event ids of each session in order, in pages of bounded length."""
     from tidewatch.operators.ordering import paged_lists
 
-    first = events.groupBy("session_id").agg(F.min("pos").alias("_p0"))
-    numbered = events.join(first, "session_id").withColumn("_i", F.col("pos") - F.col("_p0"))
+    numbered = events.withColumn("_i", F.col("pos") - F.col("lead.pos"))
     return paged_lists(numbered, ["session_id"], "_i", "event_id", "event_ids", page_size)

@@ -16,8 +16,8 @@ LEAD = ["employee_id", "device_id", "geo_location", "auth_method", "entity_type"
 
 
 def _lead(events: DataFrame) -> Column:
-    """Attributes a session takes from its first event."""
-    return F.struct(*[c for c in LEAD if c in events.columns])
+    """Attributes a session takes from its first event, and that event's position."""
+    return F.struct(*[c for c in LEAD if c in events.columns], F.col("pos"))
 
 
 def sessionize(events: DataFrame, keys: list[str], ts: str = "ts", tie: str = "event_id",
