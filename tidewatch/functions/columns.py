@@ -58,9 +58,7 @@ def ratio(num, den) -> Column:
 def uuid4_text(*keys) -> Column:
     """A UUID of version-4 shape that depends only on the given keys."""
     h = F.md5(F.concat_ws("\u0001", *[col(k).cast("string") for k in keys]))
-    return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4),
-                       F.concat(F.lit("4"), F.substring(h, 14, 3)),
-                       F.concat(F.lit("a"), F.substring(h, 18, 3)), F.substring(h, 21, 12))
+    return F.regexp_replace(h, "^(.{8})(.{4}).(.{3}).(.{3})(.{12})$", "$1-$2-4$3-a$4-$5")
 
 
 def command_text() -> Column:

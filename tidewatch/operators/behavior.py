@@ -177,8 +177,8 @@ def categorical_deviation(value, window) -> Column:
 
 
 def hour_deviation(hour, mean) -> Column:
-    """Distance from the mean hour, 12 h or more is 1."""
-    return F.least(F.abs(F.col(hour) - F.col(mean)) / 12, F.lit(1.0))
+    """Distance from the mean hour, 12 h or more is 1; 0 without earlier sessions."""
+    return F.when(F.col(mean).isNull(), 0.0).otherwise(F.least(F.abs(F.col(hour) - F.col(mean)) / 12, F.lit(1.0)))
 
 
 def resource_bits(mask: str = "resource_mask") -> Column:
@@ -218,7 +218,7 @@ def window_deviations(numbered: DataFrame, size: int = dims.DRIFT_WINDOW, block:
     b = b.withColumn("_mean", F.avg("_hour").over(w))
     for c, d in names.items():
         b = b.withColumn(d, categorical_deviation(c, f"_w_{c}"))
-    b = (b.withColumn("working_hours_deviation", F.coalesce(hour_deviation("_hour", "_mean"), F.lit(0.0)))
+    b = (b.withColumn("working_hours_deviation", hour_deviation("_hour", "_mean"))
          .withColumn("resource_access_deviation", resource_deviation("_bits", "_w_resource_mask"))
          .withColumn("behaviour_score", behaviour_score()))
     return b.where(~F.col("is_halo")).select(

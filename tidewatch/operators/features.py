@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch import dims
-from tidewatch.functions.columns import (command_text, contains_any, ordinal, ratio, seconds_between,
+from tidewatch.functions.columns import (command_text, contains_any, nonblank, ordinal, ratio, seconds_between,
                                          suspicious_command)
-from tidewatch.operators.sessions import finish_sessions, session_aggs
+from tidewatch.operators.sessions import destination, finish_sessions, session_aggs
 
 
 def _is(*types: str) -> Column:
@@ -32,7 +32,13 @@ def _mask(c: str, values: list[str]) -> Column:
     return F.when(o >= 0, F.call_function("shiftleft", F.lit(1).cast("long"), o)).otherwise(zero)
 
 
-def event_aggs() -> list[Column]:
+def _distinct(mark: str, value: Column, marks: set[str]) -> Column:
+    """Distinct values of a session: a sum of first-occurrence marks if the
+    sessioniser could set them, else a distinct count."""
+    return (F.sum(mark) if mark in marks else F.countDistinct(value)).cast("double")
+
+
+def event_aggs(dest: Column, marks: set[str]) -> list[Column]:
     """All aggregates of the vector; unused ones are pruned by the optimiser."""
     res, typ, pos = F.col("resource"), F.col("event_type"), F.col("pos")
     admin = res.isin(dims.ADMIN_RESOURCES)
@@ -42,7 +48,6 @@ def event_aggs() -> list[Column]:
                   ).otherwise(F.lower(F.coalesce("process_name", F.lit(""))))
     runs = (_is("ProcessStart") | (F.size("command_sequence") > 0)) & (cmd != "")
     malware = contains_any(cmd, dims.MALWARE_NAMES) | contains_any(proc, dims.MALWARE_NAMES)
-    dest = F.lower(F.coalesce(F.nullif("destination_domain", F.lit("")), F.nullif("destination", F.lit(""))))
     hits = sum([joined.contains(d).cast("int") for d in dims.C2_DOMAINS],
                F.coalesce(dest.isin(dims.C2_DOMAINS), F.lit(False)).cast("int"))
     up, down, wrote = F.col("bytes_transferred"), F.col("bytes_transferred"), F.col("bytes_written")
@@ -72,8 +77,8 @@ def event_aggs() -> list[Column]:
         # network; a C2 domain in both the command and the destination counts twice
         _n(_is("NetworkConnect", "NetworkDisconnect"), "network_connections"),
         _n(_is("VPNConnect"), "vpn_connections"), _n(_is("VPNDisconnect"), "vpn_disconnections"),
-        F.countDistinct(dest).cast("double").alias("unique_destination_ips"),
-        F.countDistinct(F.nullif("ip_address", F.lit(""))).cast("double").alias("unique_source_ips"),
+        _distinct("new_dest", dest, marks).alias("unique_destination_ips"),
+        _distinct("new_ip", nonblank("ip_address"), marks).alias("unique_source_ips"),
         F.sum(hits).cast("double").alias("external_connections"),
         F.sum(F.when(_is("ApiCall"), hits).otherwise(0)).cast("double").alias("beaconing_event_count"),
         # timing
@@ -142,15 +147,16 @@ def _finish(s: DataFrame) -> DataFrame:
                   "_p_proc", "type_mask"))
 
 
-def event_features(events: DataFrame, floor_s: float | None = 1.0) -> DataFrame:
+def event_features(events: DataFrame, floor_s: float | None = 1.0, keys: list[str] | None = None) -> DataFrame:
     """Session rows plus every event-derived feature, one ``groupBy``.
 
     ``events`` is the output of a sessioniser (``session_id``, ``pos``, ``gap``, ``lead``).
+    Name the sessioniser's ``keys``: grouping by them as well lets the aggregate
+    use the partitioning the sessioniser left, so there is no second shuffle.
     """
-    if "destination" not in events.columns:
-        events = events.withColumn("destination", F.lit(None).cast("string"))
-    agg = events.groupBy("session_id", "lead").agg(*session_aggs(), *event_aggs())
-    agg = agg.withColumn("_p0", F.col("lead.pos"))
+    by = list(keys or [])
+    agg = events.groupBy(*by, "session_id", "lead").agg(*session_aggs(), *event_aggs(destination(events), set(events.columns)))
+    agg = agg.drop(*by).withColumn("_p0", F.col("lead.pos"))
     return _finish(finish_sessions(agg, floor_s))
 
 

@@ -160,6 +160,22 @@ def carry_last(df: DataFrame, o: Order, name: str, value: Column) -> DataFrame:
     return out.drop("_value")
 
 
+def first_of(df: DataFrame, o: Order, within: str, name: str, value: Column) -> DataFrame:
+    """``name`` = 1 on the first row of each distinct ``value`` within ``within``
+    (a column that the keys and the order determine), 0 elsewhere and for NULL.
+
+    Costs a sort but no shuffle, because the rows are already partitioned by the
+    keys; summing it replaces a distinct count.  Not available on sliced frames,
+    where one value could fill a task: those keep the distinct count.
+    """
+    if o.sliced:
+        return df
+    w = Window.partitionBy(*o.keys, *([within] if within not in o.keys else []), "_value").orderBy(_BY, *o.ties)
+    return (df.withColumn("_value", value)
+            .withColumn(name, F.when(F.col("_value").isNotNull() & (F.row_number().over(w) == 1), 1).otherwise(0))
+            .drop("_value"))
+
+
 def done(df: DataFrame) -> DataFrame:
     """Drop the helper columns of ``order_by``."""
     return df.drop(_BY, _SLICE, _HOT)

@@ -20,6 +20,22 @@ def _lead(events: DataFrame) -> Column:
     return F.struct(*[c for c in LEAD if c in events.columns], F.col("pos"))
 
 
+def destination(events: DataFrame) -> Column:
+    """Destination domain, else destination, lower case; NULL if blank."""
+    cols = [nonblank(c) for c in ("destination_domain", "destination") if c in events.columns]
+    return F.lower(F.coalesce(*cols)) if cols else F.lit(None).cast("string")
+
+
+def _mark_first(df: DataFrame, o: od.Order, within: str) -> DataFrame:
+    """``new_ip`` / ``new_dest``: first event of the session with that value.
+
+    A reader that does not use the marks does not pay for them: the optimiser
+    prunes the windows.
+    """
+    df = od.first_of(df, o, within, "new_dest", destination(df))
+    return od.first_of(df, o, within, "new_ip", nonblank("ip_address")) if "ip_address" in df.columns else df
+
+
 def sessionize(events: DataFrame, keys: list[str], ts: str = "ts", tie: str = "event_id",
                gap_s: int = GAP_SECONDS, min_rows: int = od.HOT_ROWS) -> DataFrame:
     """Gap sessions: a new one starts when the gap is *longer* than ``gap_s``.
@@ -35,6 +51,7 @@ def sessionize(events: DataFrame, keys: list[str], ts: str = "ts", tie: str = "e
     df = df.withColumn("_new", F.when(new, 1).otherwise(0))
     df = od.running_sum(df, o, {"session_no": "_new"})
     df = od.carry_last(df, o, "lead", F.when(F.col("_new") == 1, _lead(events)))
+    df = _mark_first(df, o, "session_no")
     return od.done(
         df.withColumn("gap", F.when(F.col("_new") == 0, seconds_between(ts, "_prev")))
         .withColumn("session_id", F.concat_ws("-", *keys, F.concat(F.lit("S"), F.col("session_no"))))
@@ -47,6 +64,7 @@ def number_events(events: DataFrame, ts: str = "ts", tie: str = "event_id",
     df, o = od.order_by(events, ["session_id"], micros(ts), [tie], min_rows)
     df = od.position_and_lag(df, o, "pos", {"_prev": ts})
     df = od.carry_last(df, o, "lead", F.when(F.col("pos") == 0, _lead(events)))
+    df = _mark_first(df, o, "session_id")
     return od.done(df.withColumn("gap", seconds_between(ts, "_prev")).drop("_prev"))
 
 

@@ -13,7 +13,7 @@ from tidewatch.operators import adapt, behavior, classify, explain, features, sc
 def session_table(log: DataFrame, emp: DataFrame, gap_s: int = sessions.GAP_SECONDS) -> tuple[DataFrame, DataFrame]:
     """(sessionised events, enriched session rows with all event features)."""
     events = sessions.sessionize(log, ["employee_id"], gap_s=gap_s)
-    return events, sessions.enrich_sessions(features.event_features(events), emp)
+    return events, sessions.enrich_sessions(features.event_features(events, keys=["employee_id"]), emp)
 
 
 def feature_table(log: DataFrame, emp: DataFrame, gap_s: int = sessions.GAP_SECONDS) -> DataFrame:

@@ -16,6 +16,7 @@ from tidewatch import dims
 from tidewatch.functions import normalise as nz
 from tidewatch.functions import risk as rf
 from tidewatch.functions.columns import micros
+from tidewatch.lineage import checkpointed
 from tidewatch.operators import (adapt, behavior, campaigns, classify, explain, features, incidents, metrics, org, quality, risk,
                                  scoring, sequences, sessions)
 from tidewatch.sources import demo_tables as demo
@@ -53,7 +54,7 @@ def _events(s, d):
 
 
 def _rows(s, d):
-    return sessions.enrich_sessions(features.event_features(_events(s, d)), _emp(s, d))
+    return sessions.enrich_sessions(features.event_features(_events(s, d), keys=["employee_id"]), _emp(s, d))
 
 
 def _num(s, d):
@@ -86,15 +87,16 @@ def _incidents(s, d):
 
 
 def _linked(s, d):
-    """Anomalous incidents with the IP of their last event."""
+    """Anomalous incidents with the IP of their last event, stored once: the table
+    at this stage boundary is small and read many times."""
     ip = _events(s, d).groupBy("session_id").agg(F.max_by("ip_address", "pos").alias("source_ip"))
-    return incidents.anomalous(_incidents(s, d)).join(ip, "session_id")
+    return checkpointed(incidents.anomalous(_incidents(s, d)).join(ip, "session_id"))
 
 
 def _members(s, d):
     inc = _linked(s, d)
     comp = campaigns.components(campaigns.runs(inc))
-    return campaigns.drop_minor(inc.join(comp, "session_id"))
+    return checkpointed(campaigns.drop_minor(inc.join(comp, "session_id")))
 
 
 def _scores(s, d):
@@ -383,7 +385,8 @@ def _part(names):
         rows = features.session_features(_rows(s, d)) if names is dims.SESSION_FEATURES else _rows(s, d)
         if names is dims.AUTH_FEATURES:
             rows = rows.withColumn("login_method", F.when(F.col("login_method") == "VPN", 1.0).otherwise(0.0))
-        return rows.select("session_id", *[r(c) for c in names])
+        # the nudge keeps means of microsecond values off exact rounding ties
+        return rows.select("session_id", *[F.round(F.col(c) + 1.7e-8, 6).alias(c) for c in names])
     return run
 
 
