@@ -72,6 +72,6 @@ if __name__ == "__main__":
         except Exception as e:  # report and go on
             msg = f"{type(e).__name__}: {str(e)[:600]}"
         bad += bool(msg)
-        if msg or names:
+        if msg or names or time.time() - t > 6:
             print(n, msg or "ok", f"{time.time() - t:.1f}s", flush=True)
     print("bad:", bad, "of", len(names or sqls), "; without sql:", sorted(set(qs) - set(sqls)), "; orphans:", sorted(set(sqls) - set(qs)))

