@@ -113,8 +113,7 @@ def test_resource_deviation(spark):
 
 def test_novelty(spark):
     rows = [("S0", "E", T0, "L1", "D1", "b", "o", 1), ("S1", "E", T0 + timedelta(days=1), "L2", "D1", "b", "o", 2)]
-    ev = spark.createDataFrame([("S0", "Email"), ("S1", "Slack")], "session_id string, resource string")
-    got = {r["session_id"]: r for r in behavior.novelty_flags(_hist(spark, rows), ev).collect()}
+    got = {r["session_id"]: r for r in behavior.novelty_flags(_hist(spark, rows)).collect()}
     assert all(got["S0"][d] == 0 for d in dims.DEVIATIONS)
     assert (got["S1"]["location_deviation"], got["S1"]["resource_access_deviation"], got["S1"]["device_deviation"]) == (1, 1, 0)
 

@@ -310,7 +310,7 @@ def drift_scores(numbered: DataFrame, size: int = dims.DRIFT_WINDOW, accept: flo
 
 # --- novelty ---------------------------------------------------------------
 
-def novelty_flags(numbered: DataFrame, events: DataFrame) -> DataFrame:
+def novelty_flags(numbered: DataFrame) -> DataFrame:
     """0/1 flags: value never seen in an earlier session of the entity; hour more
     than two standard deviations off with three or more earlier sessions.  All zero
     for the first session.
@@ -323,10 +323,8 @@ def novelty_flags(numbered: DataFrame, events: DataFrame) -> DataFrame:
     vals = F.array(*[F.struct(F.lit(d).alias("flag"), F.col(c).cast("string").alias("value"))
                      for d, c in names.items()])
     attrs = numbered.select("employee_id", "n_before", "session_id", F.inline(vals))
-    res = (events.where(F.col("resource").isNotNull())
-           .select("session_id", F.col("resource").alias("value")).distinct()
-           .join(numbered.select("session_id", "employee_id", "n_before"), "session_id")
-           .select("employee_id", "n_before", "session_id", F.lit("resource_access_deviation").alias("flag"), "value"))
+    res = numbered.select("employee_id", "n_before", "session_id", F.lit("resource_access_deviation").alias("flag"),
+                          F.explode(resource_bits()).cast("string").alias("value"))
     firsts = (attrs.unionByName(res).groupBy("employee_id", "flag", "value")
               .agg(F.min_by("session_id", "n_before").alias("session_id")))
     cols = [*names, "resource_access_deviation"]

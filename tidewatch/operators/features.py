@@ -74,6 +74,10 @@ def event_aggs(dest: Column, marks: set[str]) -> list[Column]:
         _n(runs & (cmd.contains("powershell") | proc.contains("powershell")), "powershell_executions"),
         _n(runs & suspicious_command(cmd, proc), "suspicious_process_count"),
         _n(runs & malware, "malware_execution_count"),
+        # inputs of the rule risk
+        _n(F.col("bytes_transferred") > dims.LARGE_TRANSFER_BYTES, "large_transfers"),
+        _n(_is("ProcessStart") & suspicious_command(F.lower(F.coalesce("command_line", F.lit(""))),
+                                                    F.lower(F.coalesce("process_name", F.lit("")))), "suspicious_starts"),
         # network; a C2 domain in both the command and the destination counts twice
         _n(_is("NetworkConnect", "NetworkDisconnect"), "network_connections"),
         _n(_is("VPNConnect"), "vpn_connections"), _n(_is("VPNDisconnect"), "vpn_disconnections"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewatch import dims
 from tidewatch.functions.risk import severity
+from tidewatch.lineage import checkpointed
 from tidewatch.operators import adapt, behavior, classify, explain, features, scoring, sequences, sessions
 
 
@@ -17,8 +18,13 @@ def session_table(log: DataFrame, emp: DataFrame, gap_s: int = sessions.GAP_SECO
 
 
 def feature_table(log: DataFrame, emp: DataFrame, gap_s: int = sessions.GAP_SECONDS) -> DataFrame:
-    """The full vector: sessions, event features, drift scores, fused risk."""
+    """The full vector: sessions, event features, drift scores, fused risk.
+
+    The session rows are stored once: drift and the final join both read them,
+    and recomputing them would shuffle the whole log again.
+    """
     _, rows = session_table(log, emp, gap_s)
+    rows = checkpointed(rows)
     drift = behavior.drift_scores(behavior.number_sessions(rows))
     return features.fuse_risk(rows, drift)
 

@@ -62,15 +62,14 @@ def _num(s, d):
 
 
 def _vector(s, d):
-    rows = _rows(s, d)
-    return features.fuse_risk(rows, behavior.drift_scores(behavior.number_sessions(rows)))
+    from tidewatch.plans.pipeline import feature_table
+
+    return feature_table(_log(s, d), _emp(s, d), GAP)
 
 
 def _scored(s, d):
     """Session rows with rule risk, a rule-made prediction and scores."""
-    ev, rows = _events(s, d), _rows(s, d)
-    rr = risk.rule_risk(ev, rows, _emp(s, d)).select("session_id", F.col("rule_risk").alias("risk_score"))
-    return (rows.join(rr, "session_id")
+    return (risk.session_rule_risk(_rows(s, d), "risk_score")
             .withColumn("predicted_label", sequences.clean_label("attack_type"))
             .withColumn("confidence", F.round(0.5 + (F.col("n_events") % 10) * 0.05, 4))
             .withColumn("anomaly_score", F.round(F.least(F.lit(1.0), F.col("duration_seconds") / 86400), 4))
@@ -489,7 +488,7 @@ def beh_window_deviations(s, d):
 
 @query
 def beh_novelty(s, d):
-    return behavior.novelty_flags(_num(s, d), _events(s, d)).select("session_id", *dims.DEVIATIONS)
+    return behavior.novelty_flags(_num(s, d)).select("session_id", *dims.DEVIATIONS)
 
 
 @query
