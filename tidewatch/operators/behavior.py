@@ -113,12 +113,12 @@ def baseline_asof(numbered: DataFrame, min_rows: int = od.HOT_ROWS, check: bool
     return out
 
 
-def baseline_history(numbered: DataFrame) -> DataFrame:
+def baseline_history(numbered: DataFrame, min_rows: int = od.HOT_ROWS, check: bool = False) -> DataFrame:
     """Change log of every value's running count: the distribution as of any
     session is, per value, the latest row with ``valid_from`` <= ``n_before``."""
     vals = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("value")) for k, c in KINDS.items()])
     long = numbered.select("employee_id", "n_before", F.inline(vals))
-    d, o = od.order_by(long, ["employee_id", "kind", "value"], F.col("n_before"), [], check=False)
+    d, o = od.order_by(long, ["employee_id", "kind", "value"], F.col("n_before"), [], min_rows, check)
     return od.done(od.position_and_lag(d, o, "_seen")).select(
         "employee_id", "kind", "value", (F.col("n_before") + 1).alias("valid_from"),
         (F.col("_seen") + 1).alias("count"))
@@ -140,16 +140,19 @@ def department_resources_baseline(emp: DataFrame) -> DataFrame:
             .select("department", "resource", (F.col("_p") / F.col("_n")).alias("probability")))
 
 
-def effective_baseline(numbered: DataFrame, emp: DataFrame, min_history: int = 3) -> DataFrame:
+def effective_baseline(numbered: DataFrame, emp: DataFrame, min_history: int = 3,
+                       min_rows: int = od.HOT_ROWS, check: bool = False) -> DataFrame:
     """Which baseline applies at each session and its working hours.
 
     At least ``min_history`` earlier sessions: personal; else role, department,
     organisation, the first that exists.
     """
     out, o = od.order_by(numbered.withColumn("_hour", F.hour("start_time")), ["employee_id"],
-                         F.col("n_before"), [], check=False)
-    before = o.window().rowsBetween(Window.unboundedPreceding, -1)
-    out = od.done(out.withColumn("_lo", F.min("_hour").over(before)).withColumn("_hi", F.max("_hour").over(before)))
+                         F.col("n_before"), [], min_rows, check)
+    out = od.position_and_lag(out, o, "_p", {"_before": "_hour"})
+    out = od.running_max(out, o, "_hi", "_before")
+    out = od.running_max(out.withColumn("_minus", -F.col("_before")), o, "_lo", "_minus")
+    out = od.done(out.withColumn("_lo", -F.col("_lo")))
     role = group_baseline(emp.where(F.col("role").isNotNull()), "role").select(
         F.col("role").alias("_role"), F.struct("work_start", "work_end").alias("_r"))
     dept = group_baseline(emp.where(F.col("department").isNotNull()), "department").select(
@@ -310,7 +313,7 @@ def drift_scores(numbered: DataFrame, size: int = dims.DRIFT_WINDOW, accept: flo
 
 # --- novelty ---------------------------------------------------------------
 
-def novelty_flags(numbered: DataFrame) -> DataFrame:
+def novelty_flags(numbered: DataFrame, min_rows: int = od.HOT_ROWS, check: bool = False) -> DataFrame:
     """0/1 flags: value never seen in an earlier session of the entity; hour more
     than two standard deviations off with three or more earlier sessions.  All zero
     for the first session.
@@ -324,7 +327,7 @@ def novelty_flags(numbered: DataFrame) -> DataFrame:
                      for d, c in names.items()])
     attrs = numbered.select("employee_id", "n_before", "session_id", F.inline(vals))
     res = numbered.select("employee_id", "n_before", "session_id", F.lit("resource_access_deviation").alias("flag"),
-                          F.explode(resource_bits()).cast("string").alias("value"))
+                          F.explode(F.transform(resource_bits(), lambda b: b.cast("string"))).alias("value"))
     firsts = (attrs.unionByName(res).groupBy("employee_id", "flag", "value")
               .agg(F.min_by("session_id", "n_before").alias("session_id")))
     cols = [*names, "resource_access_deviation"]
@@ -332,7 +335,7 @@ def novelty_flags(numbered: DataFrame) -> DataFrame:
         F.max(F.when(F.col("flag") == c, 1.0).otherwise(0.0)).alias(c) for c in cols])
     h, o = od.order_by(numbered.withColumn("_h", F.hour("start_time").cast("double"))
                        .withColumn("_h2", F.hour("start_time").cast("double") ** 2),
-                       ["employee_id"], F.col("n_before"), [], check=False)
+                       ["employee_id"], F.col("n_before"), [], min_rows, check)
     h = od.done(od.running_sum(h, o, {"_s": "_h", "_s2": "_h2"}))
     n = F.col("n_before")
     earlier = F.when(n > 0, n)

@@ -59,7 +59,7 @@ def order_by(df: DataFrame, keys: list[str], by: Column, ties: list[str],
     df = df.withColumn(_BY, by)
     marks = [i / SLICES for i in range(1, SLICES)]
     if not keys:
-        row = df.agg(F.percentile_approx(_BY, marks, 10_000).alias("cuts"), F.count("*").alias("n")).first()
+        row = df.agg(F.percentile_approx(_BY, marks, 2_000).alias("cuts"), F.count("*").alias("n")).first()
         if not row["cuts"] or row["n"] <= min_rows:
             return df, Order((), tuple(ties), False)
         cuts = F.array(*[F.lit(c) for c in sorted(set(row["cuts"]))])
@@ -72,7 +72,7 @@ def order_by(df: DataFrame, keys: list[str], by: Column, ties: list[str],
     spark = df.sparkSession
     hot_df = spark.createDataFrame([(h,) for h in hot], f"{_KEY} string")
     rows = (df.withColumn(_KEY, _key_text(keys)).join(F.broadcast(hot_df), _KEY)
-            .groupBy(_KEY).agg(F.percentile_approx(_BY, marks, 10_000).alias(_CUTS)).collect())
+            .groupBy(_KEY).agg(F.percentile_approx(_BY, marks, 2_000).alias(_CUTS)).collect())
     kind = df.schema[_BY].dataType.simpleString()
     layout = spark.createDataFrame([(r[_KEY], sorted(set(r[_CUTS]))) for r in rows],
                                    f"{_KEY} string, {_CUTS} array<{kind}>")

@@ -32,7 +32,6 @@ _BYPASS = "powershell.exe -ExecutionPolicy Bypass -WindowStyle Hidden -EncodedCo
 _MIB = 1048576
 _HOURS_S = {k: v[0] for k, v in dims.WORK_HOURS.items()}
 _HOURS_E = {k: v[1] for k, v in dims.WORK_HOURS.items()}
-_RISK = "sum(pts)"
 
 CTE: list[tuple[str, str]] = []
 
@@ -171,7 +170,6 @@ cte("fold", f"""SELECT DISTINCT employee_id, -1::BIGINT AS n_before, ''::VARCHAR
       n.resources, f.w, len(f.w) < 3 AS few FROM fold f JOIN num n ON n.employee_id = f.employee_id AND n.n_before = f.n_before + 1))""")
 cte("dr", "SELECT employee_id, n_before, session_id, l AS location_deviation, d AS device_deviation, b AS browser_deviation, o AS operating_system_deviation, "
     "h AS working_hours_deviation, r AS resource_access_deviation, score AS behaviour_score FROM fold WHERE n_before >= 0")
-_P = dims.RISK_POINTS
 _scmd, _sproc = "lower(coalesce(command_line, ''))", "lower(coalesce(process_name, ''))"
 cte("pts", f"""SELECT s.*, CASE WHEN event_type = 'Login' AND status = 'FAILED' THEN 5.0 ELSE 0 END
   + CASE WHEN e.department <> 'IT' AND resource IN {_ADM} THEN 15.0 ELSE 0 END + CASE WHEN bytes_transferred > {100 * _MIB} THEN 20.0 ELSE 0 END
@@ -291,7 +289,7 @@ def _r(cols, n: int = 6, prefix: str = "") -> str:
 
 # --- sources, sinks ------------------------------------------------------------------
 add("src_columns", None, "SELECT c_custkey, c_mktsegment FROM customer")
-add("src_alignment", "rows", "SELECT session_id, 'sequences' AS missing_in FROM rows WHERE employee_id = 'EMP-0007'")
+add("src_alignment", "rows", "SELECT session_id, 'sequences' AS missing_in FROM rows WHERE employee_id = 'EMP-0007' UNION ALL SELECT session_id || '-X', 'features' FROM rows WHERE employee_id = 'EMP-0007'")
 add("snk_dims", "emp", "SELECT employee_id, employee_uuid, printf('%02d:00', work_start) AS work_start_time, printf('%02d:00', work_end) AS work_end_time, array_to_string(allowed_devices, ';') AS allowed_devices, department FROM emp")
 add("snk_sessions", "rows", """SELECT session_id, employee_uuid, employee_id, department, role, device_id, browser, operating_system, office_location, login_method,
   CASE WHEN remote_session THEN 'True' ELSE 'False' END AS remote_session, day_of_week, strftime(start_time, '%Y-%m-%d %H:%M:%S') AS start_time, strftime(end_time, '%Y-%m-%d %H:%M:%S') AS end_time,
@@ -602,8 +600,7 @@ add("cor_fill", "inc", f"""SELECT session_id, '10.10.' || (({_h} >> 8) & 255) ||
 add("cor_links", "near", "SELECT kind, value, src, dst FROM near")
 add("cor_components", "comp", "SELECT session_id, component FROM comp")
 add("cor_drop_minor", "mem", "SELECT session_id, component FROM mem")
-_basis = f"""CASE WHEN b = '' THEN 'behavioral_cluster' ELSE b END"""
-add("cor_campaigns", "chained", f"""SELECT component, session_count, n_employees, n_ips, n_devices, overall_severity, is_attack_chain, attack_types, mitre_tactics, first_us, last_us, {_basis} AS detection_basis FROM (SELECT *, {_sevname} AS overall_severity, {_ischain} AS is_attack_chain,
+add("cor_campaigns", "chained", f"""SELECT component, session_count, n_employees, n_ips, n_devices, overall_severity, is_attack_chain, attack_types, mitre_tactics, first_us, last_us, CASE WHEN b = '' THEN 'behavioral_cluster' ELSE b END AS detection_basis FROM (SELECT *, {_sevname} AS overall_severity, {_ischain} AS is_attack_chain,
   array_to_string(list_filter([CASE WHEN n_ips < session_count THEN 'shared_source_ip' END, CASE WHEN n_employees < session_count THEN 'multiple_sessions_same_employee' END, CASE WHEN n_devices < session_count THEN 'shared_device' END,
   CASE WHEN {_ischain} THEN 'attack_chain_match' END], lambda x: x IS NOT NULL), ',') AS b FROM chained)""")
 _chains = [["Malware Execution", "Beaconing C2"], ["Brute Force", "Data Exfiltration", "Malware Execution"], ["Suspicious PowerShell", "Lateral Movement"]]
