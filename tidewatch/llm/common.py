@@ -59,6 +59,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """base^0 .. base^n modulo 2^64, kept between calls in a worker."""
+    if base not in _POWERS or len(_POWERS[base]) <= n:
+        x = np.full(max(n, 1 << 16) + 1, base, dtype=np.uint64)
+        x[0] = 1
+        _POWERS[base] = np.multiply.accumulate(x)
+    return _POWERS[base]
+
+
 def byte_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of the byte spans [start, end) of one buffer, all at once.
 
@@ -66,26 +78,29 @@ def byte_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     """
     base = 0x5851F42D4C957F2D
     n = len(data)
-    power = np.full(n + 1, base, dtype=np.uint64)
-    power[0] = 1
-    np.multiply.accumulate(power, out=power)
-    inverse = pow(base, -1, 1 << 64)
-    back = np.full(n + 1, inverse, dtype=np.uint64)
-    back[0] = 1
-    np.multiply.accumulate(back, out=back)
     scrambled = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(MIX[2]))
     sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(scrambled[data] * power[:n], out=sums[1:])
-    length = (ends - starts).astype(np.uint64)
-    return mix((sums[ends] - sums[starts]) * back[starts] + length * np.uint64(MIX[2]))
+    np.cumsum(scrambled[data] * _powers(base, n)[:n], out=sums[1:])
+    back = _powers(pow(base, -1, 1 << 64), n)
+    return mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64) * np.uint64(MIX[2]))
+
+
+def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of all runs of ``width`` words (given by their hashes); len(words) - width + 1 of them."""
+    n = max(len(words) - width + 1, 0)
+    out = words[:n].copy()
+    for k in range(1, width):
+        out *= np.uint64(MIX[2])
+        out += words[k:n + k]
+    return mix(out + np.uint64(width))
 
 
 def word_spans(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of every text: the bytes, each word's start and end in them, and for each text the number
     of words before it (one more entry than texts).  Null texts have no words; ``lower`` turns A-Z to a-z."""
+    if texts.offset:
+        texts = texts.take(pa.array(np.arange(len(texts))))
     texts = pc.fill_null(pc.cast(texts, pa.large_string()), "")
-    if isinstance(texts, pa.ChunkedArray):
-        texts = texts.combine_chunks()
     if lower:
         texts = pc.ascii_lower(texts)
     bounds = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset:texts.offset + len(texts) + 1]
@@ -113,3 +128,76 @@ def long_batches(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
         to = max(at + 1, int(np.searchsorted(sizes, before + most, side="right")))
         yield batch.slice(at, to - at)
         at = to
+
+
+def merged(parts: DataFrame, block: str, counts: str, kind: str = "<u2") -> np.ndarray | None:
+    """Sums blocks of counters (binary, of one length) over all rows; blocks stream through, one accumulator each.
+
+    The result, blocks times block length, is of a size that the caller fixes.
+    """
+    def run(batches):
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, raw in zip(b.column(0).to_pylist(), b.column(1)):
+                x = np.frombuffer(raw.as_buffer(), dtype=kind).astype(np.uint64)
+                total[k] = total[k] + x if k in total else x
+        for k, x in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.minimum(x, 0xFFFFFFFF).astype("<u4").tobytes()], pa.binary())], ["k", "x"])
+
+    rows = parts.select(block, counts).repartition(block).mapInArrow(run, "k int, x binary").collect()
+    if not rows:
+        return None
+    size = len(rows[0]["x"]) // 4
+    out = np.zeros((max(r["k"] for r in rows) + 1) * size, dtype=np.uint32)
+    for r in rows:
+        out[r["k"] * size:(r["k"] + 1) * size] = np.frombuffer(r["x"], dtype="<u4")
+    return out
+
+
+#: Cells of a membership bitmap, a power of two: a fixed size whatever the number of keys.
+CELLS = 1 << 24
+
+
+def cells(keys: DataFrame, key: str) -> np.ndarray:
+    """A bitmap of CELLS bits in which the cell of every key is set; with very many keys it lets everything pass, which costs time but no result."""
+    import pyspark.sql.functions as F
+
+    c = F.pmod(F.xxhash64(F.col(key)), F.lit(CELLS))
+    rows = keys.select((c + 1).alias("c")).groupBy(F.bitmap_bucket_number("c").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("c")).alias("bits")).collect()
+    out = np.zeros(CELLS // 8, dtype=np.uint8)
+    for r in rows:
+        at = (r["b"] - 1) * 4096
+        out[at:at + 4096] = np.frombuffer(r["bits"], dtype=np.uint8)
+    return out
+
+
+def in_cells(bits: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    return (bits[cell >> 3] >> (cell & 7)) & 1 == 1
+
+
+def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, component) of every node of the links; component: its smallest node.
+
+    Alternating large-star and small-star rounds over the edges, which end when the edges are stars (a logarithmic number of rounds in
+    practice).  Every round is stored; a hot node only takes part in grouped minima, combined before the shuffle, and in joins that can be split.
+    """
+    import pyspark.sql.functions as F
+
+    def state(e: DataFrame) -> tuple:
+        return tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u") % 1_000_003)).first())
+
+    edges = stored(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u != v").distinct(), "edges")
+    now = state(edges)
+    while now[0]:
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+        edges = stored(large, "edges")
+        low = edges.groupBy("u").agg(F.min("v").alias("m"))
+        small = edges.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).filter("u != v").distinct()
+        edges = stored(small, "edges")
+        before, now = now, state(edges)
+        if now == before:
+            break
+    top = edges.select(F.col("v").alias("node")).distinct()
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(top.select("node", F.col("node").alias("component")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html, language, privacy, quality, tokens
+from . import html, jaccard, language, privacy, quality, tokens
 from .common import table
 
 
@@ -23,6 +23,10 @@ def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.digest(table(spark, sf_dir, "pages"))
 
 
+def op3_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op6_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return privacy.detect(table(spark, sf_dir, "documents"))
 
@@ -35,5 +39,5 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_tokens": op1_tokens, "op2_main_text": op2_main_text, "op6_privacy": op6_privacy, "op8_quality": op8_quality, "op10_language": op10_language}
+QUERIES = {"op1_tokens": op1_tokens, "op2_main_text": op2_main_text, "op3_near_copies": op3_near_copies, "op6_privacy": op6_privacy, "op8_quality": op8_quality, "op10_language": op10_language}
 ORACLE: dict[str, str] = {}
