@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html, jaccard, language, privacy, quality, tokens
+from . import html, jaccard, language, phrases, privacy, quality, tokens
 from .common import table
 
 
@@ -35,9 +35,13 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_tokens": op1_tokens, "op2_main_text": op2_main_text, "op3_near_copies": op3_near_copies, "op6_privacy": op6_privacy, "op8_quality": op8_quality, "op10_language": op10_language}
+QUERIES = {"op1_tokens": op1_tokens, "op2_main_text": op2_main_text, "op3_near_copies": op3_near_copies, "op6_privacy": op6_privacy, "op8_quality": op8_quality, "op9_repeats": op9_repeats, "op10_language": op10_language}
 ORACLE: dict[str, str] = {}
