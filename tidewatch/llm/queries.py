@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html, jaccard, language, phrases, privacy, quality, tokens
+from . import html, jaccard, language, leaks, phrases, privacy, quality, tokens
 from .common import table
 
 
@@ -31,6 +31,10 @@ def op6_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return privacy.detect(table(spark, sf_dir, "documents"))
 
 
+def op7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -43,5 +47,5 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_tokens": op1_tokens, "op2_main_text": op2_main_text, "op3_near_copies": op3_near_copies, "op6_privacy": op6_privacy, "op8_quality": op8_quality, "op9_repeats": op9_repeats, "op10_language": op10_language}
+QUERIES = {"op1_tokens": op1_tokens, "op2_main_text": op2_main_text, "op3_near_copies": op3_near_copies, "op6_privacy": op6_privacy, "op7_leaks": op7_leaks, "op8_quality": op8_quality, "op9_repeats": op9_repeats, "op10_language": op10_language}
 ORACLE: dict[str, str] = {}
