@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html, jaccard, language, leaks, phrases, privacy, quality, tokens
+from . import html, jaccard, language, leaks, mixing, multiindex, phrases, privacy, quality, tokens
 from .common import table
 
 
@@ -27,6 +27,14 @@ def op3_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.digest(table(spark, sf_dir, "documents"))
+
+
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiindex.digest(table(spark, sf_dir, "embeddings"))
+
+
 def op6_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return privacy.detect(table(spark, sf_dir, "documents"))
 
@@ -47,5 +55,5 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_tokens": op1_tokens, "op2_main_text": op2_main_text, "op3_near_copies": op3_near_copies, "op6_privacy": op6_privacy, "op7_leaks": op7_leaks, "op8_quality": op8_quality, "op9_repeats": op9_repeats, "op10_language": op10_language}
+QUERIES = {"op1_tokens": op1_tokens, "op2_main_text": op2_main_text, "op3_near_copies": op3_near_copies, "op4_mixing": op4_mixing, "op5_nearest": op5_nearest, "op6_privacy": op6_privacy, "op7_leaks": op7_leaks, "op8_quality": op8_quality, "op9_repeats": op9_repeats, "op10_language": op10_language}
 ORACLE: dict[str, str] = {}
