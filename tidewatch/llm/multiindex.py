@@ -28,7 +28,7 @@ from .common import stored
 #: Vectors the centroids are fitted on at most (smallest id hashes), entries in a cell aimed at, centroids of a half at most.
 SAMPLE, CELL, CENTROIDS = 20_000, 48, 1_024
 #: Entries that a query looks at, at least (whole cells).
-CANDIDATES = 20_000
+CANDIDATES = 26_000
 BLOCK = 4_096
 ROUNDS = 12
 
