@@ -232,36 +232,37 @@ FEATURE_CATEGORY = {
     "Session": ["event_sequence_length", "reconstruction_error", "anomaly_score", "risk_score",
                 "event_count", "unique_event_types"],
 }
+#: Own wording, shown beside feature names.
 FEATURE_DESCRIPTION = {
-    "upload_download_ratio": "ratio of uploaded to downloaded data",
-    "files_downloaded": "number of files downloaded",
-    "external_connections": "number of outbound external connections",
-    "powershell_executions": "number of PowerShell executions",
-    "total_upload_bytes": "total bytes uploaded",
-    "unique_source_ips": "number of distinct source IP addresses",
-    "session_start_hour": "hour of day the session started",
-    "suspicious_process_count": "number of suspicious processes detected",
-    "beaconing_event_count": "number of beaconing events detected",
-    "location_deviation": "deviation from typical login location",
-    "login_hour": "hour of day when login occurred",
-    "total_download_bytes": "total bytes downloaded",
-    "database_query_count": "number of database queries executed",
-    "authentication_attempts": "number of authentication attempts",
-    "failed_login_count": "number of failed login attempts",
-    "failed_login_ratio": "ratio of failed to total login attempts",
-    "device_deviation": "deviation from typical device fingerprint",
-    "vpn_used": "whether a VPN was used for this session",
-    "network_connections": "total number of network connections",
-    "event_sequence_length": "length of the event sequence",
-    "resource_access_deviation": "deviation from typical resource access patterns",
-    "anomaly_score": "GRU autoencoder anomaly score",
-    "reconstruction_error": "GRU autoencoder reconstruction error",
-    "risk_score": "composite behavioural risk score",
-    "session_duration_minutes": "duration of the session in minutes",
-    "usb_activity": "USB device activity detected",
-    "removable_media_count": "number of removable media interactions",
-    "files_uploaded": "number of files uploaded",
-    "sensitive_files_accessed": "number of sensitive files accessed",
+    "upload_download_ratio": "bytes sent up per byte brought down",
+    "files_downloaded": "files brought down",
+    "external_connections": "connections that leave the network",
+    "powershell_executions": "starts of the shell",
+    "total_upload_bytes": "bytes sent up",
+    "unique_source_ips": "different addresses of the caller",
+    "session_start_hour": "hour of the first event",
+    "suspicious_process_count": "starts of unwanted programs",
+    "beaconing_event_count": "regular outgoing signals",
+    "location_deviation": "unlike the usual place",
+    "login_hour": "hour of the sign-in",
+    "total_download_bytes": "bytes brought down",
+    "database_query_count": "queries to databases",
+    "authentication_attempts": "sign-in attempts",
+    "failed_login_count": "refused sign-ins",
+    "failed_login_ratio": "share of refused sign-ins",
+    "device_deviation": "unlike the usual device",
+    "vpn_used": "came through a tunnel",
+    "network_connections": "connections of any kind",
+    "event_sequence_length": "steps of the session",
+    "resource_access_deviation": "unlike the usual resources",
+    "anomaly_score": "scaled error of the reconstruction model",
+    "reconstruction_error": "error of the reconstruction model",
+    "risk_score": "combined risk",
+    "session_duration_minutes": "minutes from first to last event",
+    "usb_activity": "drive in use",
+    "removable_media_count": "events on removable drives",
+    "files_uploaded": "files sent up",
+    "sensitive_files_accessed": "protected files opened",
 }
 IMPACT_BANDS = [(0.30, "High Positive"), (0.15, "Medium Positive"), (0.05, "Low Positive"),
                 (-0.05, "Negligible"), (-0.15, "Low Negative"), (-0.30, "Medium Negative")]

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch import dims
+from tidewatch import dims, texts
 from tidewatch.functions.columns import micros, nonblank
 from tidewatch.functions.risk import severity_rank
 from tidewatch.lineage import checkpointed
@@ -220,11 +220,11 @@ def campaign_text(camps: DataFrame, members: DataFrame) -> DataFrame:
     def listed(c: str, before: str, after: str) -> Column:
         return F.when(F.size(f"first_{c}") > 0, F.concat(F.lit(before), F.array_join(f"first_{c}", ", "), F.lit(after)))
     actions = F.array_compact(F.array(
-        F.when(wide, "Isolate all affected devices from the internal subnet immediately.").otherwise(
-            listed("device_id", "Isolate endpoints: ", " from the production network.")),
-        F.when(wide, "Disable lateral communication protocols (SMB/RDP) between compromised systems."),
-        listed("source_ip", "Block source IPs: ", " at the boundary firewalls."),
-        listed("employee_id", "Revoke sessions and temporarily lock Active Directory accounts: ", "."),
-        F.lit("Coordinate incident reports and trigger corporate CSIRT response playbooks.")))
+        F.when(wide, texts.ACTION["campaign_isolate"]).otherwise(
+            listed("device_id", *texts.ACTION["campaign_hosts"])),
+        F.when(wide, texts.ACTION["campaign_protocols"]),
+        listed("source_ip", *texts.ACTION["campaign_addresses"]),
+        listed("employee_id", *texts.ACTION["campaign_accounts"]),
+        F.lit(texts.ACTION["campaign_report"])))
     return (camps.withColumn("summary", F.when(F.col("is_attack_chain"), chain).otherwise(plain))
             .withColumn("recommended_actions", actions).drop("first_device_id", "first_source_ip", "first_employee_id"))

@@ -11,7 +11,7 @@ from tidewatch.operators.explain import percent
 from tidewatch.operators.risk import BASELINE_TEXT
 
 TIERS = ["immediate_containment", "investigation", "remediation", "recovery"]
-ISOLATE = "Isolate the affected endpoint from the network immediately"
+ISOLATE = texts.ACTION["isolate"]
 
 
 def top3(df: DataFrame) -> Column:
@@ -77,10 +77,8 @@ def merge_live(live: DataFrame, stored: DataFrame, key: str = "session_id") -> D
 
 
 def default_playbooks(spark) -> DataFrame:
-    """Playbook table derived from the investigation steps, for sites without one:
-    contain = first step, investigate = all steps, remediate = last step, recover = generic."""
-    rows = [(a, [s[0]], list(s), [s[-1]], ["Restore normal access and monitor the account"])
-            for a, s in texts.INVESTIGATION_STEPS.items()]
+    """Playbooks for sites without their own: containment and recovery by kind of case, all investigation steps, remediation by the last of them."""
+    rows = [(a, list(texts.PLAYBOOK_KIND[a][0]), list(s), [s[-1]], list(texts.PLAYBOOK_KIND[a][1])) for a, s in texts.INVESTIGATION_STEPS.items()]
     return spark.createDataFrame(rows, "attack_type string, " + ", ".join(f"{t} array<string>" for t in TIERS))
 
 
@@ -98,15 +96,15 @@ def priority_action(steps: str = "immediate_containment") -> Column:
 
     def has(*names: str) -> Column:
         return F.arrays_overlap(top, F.array(*[F.lit(n) for n in names]))
-    return (F.when(F.col("attack_type") == "Normal", "No containment actions required. Monitor baseline activity.")
+    return (F.when(F.col("attack_type") == "Normal", texts.ACTION["none"])
             .when(has("powershell_executions", "powershell_position"),
-                  "Terminate any active PowerShell or script execution processes on this host.")
+                  texts.ACTION["script"])
             .when(has("total_upload_bytes", "files_downloaded"),
-                  "Block outbound network transfers and isolate the device immediately to prevent exfiltration.")
-            .when(has("failed_login_count"), "Revoke user credentials and disable active login sessions immediately.")
+                  texts.ACTION["outgoing"])
+            .when(has("failed_login_count"), texts.ACTION["sign_in"])
             .when(has("admin_resource_accesses", "admin_access_position"),
-                  "Temporarily revoke administrator rights and active admin sessions for this user.")
-            .otherwise(F.coalesce(F.get(steps, 0), F.lit("Isolate and inspect the endpoint."))))
+                  texts.ACTION["admin"])
+            .otherwise(F.coalesce(F.get(steps, 0), F.lit(texts.ACTION["look"]))))
 
 
 def recommend(incidents: DataFrame, playbooks: DataFrame, impact: dict[str, str] | None = None) -> DataFrame:
@@ -123,14 +121,14 @@ def recommend(incidents: DataFrame, playbooks: DataFrame, impact: dict[str, str]
     lead = F.when(F.array_contains(imm, ISOLATE) | (F.col("attack_type") == "Normal"), imm).otherwise(F.array_prepend(imm, F.lit(ISOLATE)))
     crit, high = F.col("severity") == "Critical", F.col("severity") == "High"
     out = out.withColumns({
-        "immediate_containment": F.when(crit, F.array_append(lead, F.lit("Trigger emergency paging for CISO and senior leadership")))
-        .when(high, F.array_append(imm, F.lit("Notify IT Security Manager immediately"))).otherwise(imm),
-        "investigation": F.when(crit, F.array_append(inv, F.lit("Initiate 24/7 continuous threat hunting across peer hosts")))
-        .when(high, F.array_append(inv, F.lit("Perform full directory access audit for employee account"))).otherwise(inv),
+        "immediate_containment": F.when(crit, F.array_append(lead, F.lit(texts.ACTION["page"])))
+        .when(high, F.array_append(imm, F.lit(texts.ACTION["inform"]))).otherwise(imm),
+        "investigation": F.when(crit, F.array_append(inv, F.lit(texts.ACTION["hunt"])))
+        .when(high, F.array_append(inv, F.lit(texts.ACTION["audit"]))).otherwise(inv),
     })
     table = F.create_map(*[F.lit(v) for kv in impact.items() for v in kv])
     return (out.withColumn("priority_action", priority_action())
-            .withColumn("estimated_impact", F.coalesce(table[F.col("attack_type")], F.lit("No business impact predicted."))))
+            .withColumn("estimated_impact", F.coalesce(table[F.col("attack_type")], F.lit(texts.NO_IMPACT))))
 
 
 # --- texts -----------------------------------------------------------------

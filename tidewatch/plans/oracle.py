@@ -214,8 +214,8 @@ cte("f1c", "SELECT *, 2 * pr * rc / (pr + rc + 1e-9) AS f1 FROM (SELECT threshol
 cte("f1b", "SELECT threshold, f1 FROM f1c ORDER BY f1 DESC, threshold ASC LIMIT 1")
 cte("yb", "SELECT threshold, tp::DOUBLE / pos - fp::DOUBLE / neg AS j FROM cv ORDER BY j DESC, threshold DESC LIMIT 1")
 cte("auc", "SELECT sum((fp - pfp)::DOUBLE * (tp + ptp) / 2) / (max(pos)::DOUBLE * max(neg)) AS roc_auc FROM cv")
-cte("emb", "SELECT vec_id, CAST(label AS INTEGER) AS label, " + ", ".join(f"embedding[{i + 1}]::DOUBLE AS x{i}" for i in range(8))
-    + ", embedding[1:10]::DOUBLE[] AS probs FROM embeddings")
+cte("emb", "SELECT vec_id, CAST(label AS INTEGER) AS label, " + ", ".join(f"embedding[{i + 1}]::DOUBLE AS x{i}" for i in range(64))
+    + ", [" + ", ".join(" + ".join(f"embedding[{i + 1}]::DOUBLE" for i in range(c, 64, 10)) for c in range(10)) + "] AS probs FROM embeddings")
 cte("clsl", "SELECT vec_id, label, probs, i AS class, probs[i + 1] AS score, CASE WHEN label = i THEN 1 ELSE 0 END AS hit FROM emb, range(10) t(i)")
 cte("topk", "SELECT vec_id, label, class, score, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, class) - 1 AS place FROM clsl")
 cte("pred", "SELECT vec_id, label, CAST(class AS INTEGER) AS predicted_label FROM topk WHERE place = 0")
@@ -227,9 +227,9 @@ cte("rep", """SELECT class, CASE WHEN q > 0 THEN tp::DOUBLE / q ELSE 0 END AS pr
   CASE WHEN support + q > 0 THEN 2.0::DOUBLE * tp / (support + q) ELSE 0 END AS f1, support, tp FROM (SELECT c.c AS class,
    (SELECT count(*) FROM pred WHERE label = c.c AND predicted_label = c.c) AS tp, (SELECT count(*) FROM pred WHERE label = c.c) AS support,
    (SELECT count(*) FROM pred WHERE predicted_label = c.c) AS q FROM (SELECT label AS c FROM pred UNION SELECT predicted_label FROM pred) c)""")
-cte("mean8", "SELECT " + ", ".join(f"avg(x{i}) AS m{i}" for i in range(8)) + " FROM emb")
+cte("mean8", "SELECT " + ", ".join(f"avg(x{i}) AS m{i}" for i in range(64)) + " FROM emb")
 cte("phi", "SELECT vec_id, label, CAST(c AS INTEGER) AS class, f, 'x' || f AS feature, xs[f + 1] AS x, ((((c * 7 + f * 3) % 11) - 5)::DOUBLE / 10) * (xs[f + 1] - ms[f + 1]) AS phi FROM (SELECT vec_id, label, ["
-    + ", ".join(f"x{i}" for i in range(8)) + "] AS xs, [" + ", ".join(f"m{i}" for i in range(8)) + "] AS ms FROM emb, mean8), range(10) a(c), range(8) b(f)")
+    + ", ".join(f"x{i}" for i in range(64)) + "] AS xs, [" + ", ".join(f"m{i}" for i in range(64)) + "] AS ms FROM emb, mean8), range(10) a(c), range(64) b(f)")
 _SENS = {r: float(dims.SENSITIVITY.index(s)) for r, (_, s, _) in dims.RESOURCE_DIM.items()}
 _VEC = [f"CASE WHEN event_type = '{t}' THEN 1 ELSE 0 END" for t in dims.EVENT_TYPES] + [
     _map("resource", _SENS, "0"), f"CASE WHEN resource IN {_ADM} THEN 1 ELSE 0 END", "CASE WHEN status = 'SUCCESS' THEN 1 ELSE 0 END",
@@ -291,12 +291,11 @@ def _r(cols, n: int = 6, prefix: str = "") -> str:
 add("src_columns", None, "SELECT c_custkey, c_mktsegment FROM customer")
 add("src_alignment", "rows", "SELECT session_id, 'sequences' AS missing_in FROM rows WHERE employee_id = 'EMP-0007' UNION ALL SELECT session_id || '-X', 'features' FROM rows WHERE employee_id = 'EMP-0007'")
 add("snk_dims", "emp", "SELECT employee_id, employee_uuid, printf('%02d:00', work_start) AS work_start_time, printf('%02d:00', work_end) AS work_end_time, array_to_string(allowed_devices, ';') AS allowed_devices, department FROM emp")
-add("snk_sessions", "rows", """SELECT session_id, employee_uuid, employee_id, department, role, device_id, browser, operating_system, office_location, login_method,
+add("snk_sessions", "rows", """SELECT regexp_replace(md5(session_id), '^(.{8})(.{4}).(.{3}).(.{3})(.{12})$', '\\1-\\2-4\\3-a\\4-\\5') AS session_uuid, printf('%.2f', duration_seconds) AS duration_seconds, session_id, employee_uuid, employee_id, department, role, device_id, browser, operating_system, office_location, login_method,
   CASE WHEN remote_session THEN 'True' ELSE 'False' END AS remote_session, day_of_week, strftime(start_time, '%Y-%m-%d %H:%M:%S') AS start_time, strftime(end_time, '%Y-%m-%d %H:%M:%S') AS end_time,
   '0.00' AS risk_score, CASE WHEN is_anomalous THEN 'True' ELSE 'False' END AS is_anomalous, attack_type FROM rows""")
 add("snk_events", "ev", """SELECT employee_id AS entity_id, 'user' AS entity_type, strftime(ts, '%Y-%m-%d %H:%M:%S') AS timestamp, ip_address AS source_ip, geo_location, coalesce(resource, '') AS resource_accessed,
   auth_method, '0.00' AS session_duration, CASE WHEN seq = '' THEN '[]' ELSE '["' || seq || '"]' END AS command_sequence, device_id AS device_fingerprint, CAST(attack_type <> 'None' AS INTEGER) AS label FROM ev""")
-add("snk_features", "rows", f"SELECT {len(dims.META_COLUMNS) + len(dims.FEATURES)}::BIGINT AS n_columns, 'risk_score' AS fifth, session_id FROM rows")
 add("snk_scores", "sc", """SELECT session_id, CAST(is_anomalous AS INTEGER) AS is_anomalous, attack_type, round(risk_score, 4) AS risk_score, round(duration_seconds / 1000, 6) AS reconstruction_error,
   anomaly_score, CAST(duration_seconds / 1000 > 20 AS INTEGER) AS predicted_label FROM sc""")
 _tac = _map("attack_type", {a: t for a, (t, _, _) in dims.MITRE.items()}, "''")
@@ -378,9 +377,10 @@ for _q, _c in {"fea_session": dims.SESSION_FEATURES, "fea_auth": dims.AUTH_FEATU
 _fr = f"least(100, greatest(0, 0.30::DOUBLE * behaviour_score + 0.40::DOUBLE * CASE WHEN is_anomalous THEN {_sev('attack_type')} ELSE 0 END))"
 _joined = "(SELECT r.*, d.behaviour_score, " + ", ".join(f"d.{c}" for c in _D6) + " FROM rows r JOIN dr d USING (session_id))"
 add("fea_vector", "dr", f"SELECT session_id, employee_id, is_anomalous::INTEGER::DOUBLE AS is_anomalous, attack_type, round({_fr} + 1.7e-8, 4) AS risk_score, {_feat(dims.FEATURES, 4)} FROM {_joined}")
+add("snk_features", "dr", f"SELECT {len(dims.META_COLUMNS) + len(dims.FEATURES)}::BIGINT AS n_columns, 'risk_score' AS fifth, session_id, employee_id, attack_type, round({_fr} + 1.7e-8, 4) AS risk_score, {_feat(dims.FEATURES, 4)} FROM {_joined}")
 _catg = {f: c for c, fs in dims.FEATURE_CATEGORY.items() for f in fs}
 _evf = [f for f in dims.FEATURES if f not in dims.SESSION_FEATURES + dims.BEHAVIOUR_FEATURES + ["login_method"]]
-add("fea_catalogue", "rows", "\nUNION ALL ".join(f"SELECT '{f}' AS feature, '{_catg.get(f, 'Session')}' AS category, '{dims.FEATURE_DESCRIPTION.get(f, f.replace('_', ' '))}' AS description, round(avg({f}), 3) AS mean FROM rows" for f in _evf))
+add("fea_catalogue", "rows", "\nUNION ALL ".join(f"SELECT '{f}' AS feature, '{_catg.get(f, 'Session')}' AS category, '{dims.FEATURE_DESCRIPTION.get(f, f.replace('_', ' '))}' AS description, {f'round(avg({f}), 3)' if f in _evf else 'avg(NULL::DOUBLE)'} AS mean FROM rows" for f in dims.MODEL_FEATURES))
 add("fea_context", "dr", f"SELECT session_id, employee_id AS entity_id, device_id AS device_fingerprint, strftime(start_time, '%Y-%m-%d %H:%M:%S') AS start_time, round({_fr}, 4) AS risk, is_anomalous, round(device_deviation, 4) AS device_deviation FROM {_joined}")
 add("fea_event_ids", "sx", "SELECT session_id, (idx // 3)::BIGINT AS page, string_agg(event_id::VARCHAR, ',' ORDER BY idx) AS event_ids FROM sx GROUP BY 1, 2")
 
@@ -441,19 +441,19 @@ add("rsk_worst_stage", "sx", f"SELECT session_id, arg_max(attack_type, {_sev('at
 add("rsk_bands", "sc", """SELECT session_id, CASE WHEN confidence * 100 >= 80 THEN 'HIGH' WHEN confidence * 100 >= 60 THEN 'MEDIUM' ELSE 'LOW' END AS confidence_band,
   CASE WHEN risk_score >= 75 THEN 'CRITICAL' WHEN risk_score >= 50 THEN 'HIGH' WHEN risk_score >= 25 THEN 'MEDIUM' ELSE 'LOW' END AS risk_band FROM sc""")
 _imp = lambda c: "CASE " + " ".join(f"WHEN {c} >= {e}::DOUBLE THEN '{t}'" for e, t in dims.IMPACT_BANDS) + f" ELSE '{dims.IMPACT_FLOOR}' END"
-add("rsk_impact", "emb", f"SELECT vec_id, {_imp('x0')} AS impact_0, {_imp('x1')} AS impact_1 FROM emb")
+add("rsk_impact", "emb", "SELECT vec_id, " + ", ".join(f"{_imp(f'x{i}')} AS impact_{i}" for i in range(64)) + " FROM emb")
 add("rsk_at_least", "sc", "SELECT session_id, severity FROM sc WHERE severity <> 'Low'")
 add("rsk_severity_counts", "sc", "SELECT severity, count(*) AS n FROM sc GROUP BY 1")
 
 # --- sequences ------------------------------------------------------------------------------------------------
 add("seq_vectors", "stp", "SELECT session_id, step, dim::INTEGER AS dim, round(v, 6) AS v FROM stp WHERE v <> 0")
-add("seq_padded", "vec", """SELECT session_id, 4::BIGINT AS n_steps, 4::BIGINT AS n_mask, least(count(*), 4)::DOUBLE AS mask_sum, round(sum(CASE WHEN step < 4 THEN list_sum(vec) ELSE 0 END), 4) AS total,
+add("seq_padded", "vec", """SELECT session_id, 50::BIGINT AS n_steps, 50::BIGINT AS n_mask, least(count(*), 50)::DOUBLE AS mask_sum, round(sum(CASE WHEN step < 50 THEN list_sum(vec) ELSE 0 END), 4) AS total,
   round(coalesce(max(CASE WHEN step = 1 THEN vec[19] END), 0), 6) AS second_delta FROM vec GROUP BY 1""")
 _zc = ["total_upload_bytes", "total_events", "processes_stopped", "events_per_minute"]
 add("scl_features", "rows", "SELECT session_id, " + ", ".join(f"round(({c} - avg({c}) OVER ()) / CASE WHEN stddev_pop({c}) OVER () > 1e-9 THEN stddev_pop({c}) OVER () ELSE 1 END, 5) AS {c}" for c in _zc) + " FROM rows")
-add("scl_steps", "stp", f"""WITH st AS ({_steps_stat("JOIN rows USING (session_id) WHERE NOT is_anomalous")}), two AS (SELECT r.session_id, i.i AS step, d.dim, (coalesce(s.v, 0) - m) / d.s AS x FROM rows r CROSS JOIN range(2) i(i) CROSS JOIN st d
+add("scl_steps", "stp", f"""WITH st AS ({_steps_stat("JOIN rows USING (session_id) WHERE NOT is_anomalous")}), two AS (SELECT r.session_id, i.i AS step, d.dim, (coalesce(s.v, 0) - m) / d.s AS x FROM rows r CROSS JOIN range(50) i(i) CROSS JOIN st d
   LEFT JOIN stp s ON s.session_id = r.session_id AND s.step = i.i AND s.dim = d.dim)
-  SELECT session_id, """ + ", ".join(f"round(max(x) FILTER (WHERE step = {i} AND dim = {j}), 5) AS s{i}_{j}" for i, j in ((0, 0), (0, 18), (1, 2), (1, 17))) + " FROM two GROUP BY 1")
+  SELECT session_id, """ + ", ".join(f"round(max(x) FILTER (WHERE step = {i} AND dim = {j}), 5) AS s{i}_{j}" for i, j in ((0, 0), (0, 18), (1, 2), (1, 17), (49, 0), (49, 20))) + ", round(sum(x), 3) AS total FROM two GROUP BY 1")
 
 
 def _split(label: str) -> str:
@@ -526,7 +526,7 @@ add("exp_global", "phi", f"SELECT feature, round(g, 6) AS mean_abs_phi, rank FRO
 add("exp_class", "phi", "SELECT feature, g.rank, " + ", ".join(f"round(avg(abs(phi)) FILTER (WHERE class = {i}), 6) AS class_{i}" for i in range(10)) + f" FROM phi JOIN ({_gi}) g USING (feature) GROUP BY 1, 2")
 add("exp_moments", "phi", "SELECT class, feature, round(avg(abs(phi)), 6) AS mean_abs_phi FROM phi GROUP BY 1, 2")
 add("exp_contributors", "phi", """SELECT vec_id, side, (row_number() OVER w - 1)::INTEGER AS place, feature, feature AS description, 'Session' AS category, round(round(x, 4), 3) AS value, round(round(phi, 4), 3) AS attribution
-  FROM (SELECT p.*, CASE WHEN phi > 0 THEN 'positive' ELSE 'negative' END AS side FROM phi p JOIN pred q ON p.vec_id = q.vec_id AND p.class = q.predicted_label) WINDOW w AS (PARTITION BY vec_id, side ORDER BY abs(phi) DESC, feature) QUALIFY row_number() OVER w <= 3""")
+  FROM (SELECT p.*, CASE WHEN phi > 0 THEN 'positive' ELSE 'negative' END AS side FROM phi p JOIN pred q ON p.vec_id = q.vec_id AND p.class = q.predicted_label) WINDOW w AS (PARTITION BY vec_id, side ORDER BY abs(phi) DESC, feature) QUALIFY row_number() OVER w <= 10""")
 add("exp_most", "phi", "SELECT vec_id, round(avg(abs(phi)), 6) AS mean_abs_phi FROM phi GROUP BY 1 ORDER BY avg(abs(phi)) DESC, vec_id LIMIT 1")
 add("exp_one", "sc", "SELECT session_id, severity, risk_score FROM sc WHERE session_id = 'EMP-0003-S2'")
 add("exp_mitre", "inc", f"SELECT session_id, {_tid('NULL')} AS technique_id, ({_nst})::BIGINT AS n_steps, {_map('attack_type', {a: s[0] for a, s in texts.INVESTIGATION_STEPS.items()}, 'NULL')} AS first_step FROM inc")
@@ -544,14 +544,17 @@ add("inc_high_critical", "inc", "SELECT session_id, severity FROM inc WHERE seve
 add("inc_merge_live", "inc", "SELECT session_id, attack_type, CASE WHEN attack_type = 'Beaconing C2' THEN 'Critical' ELSE severity END AS severity, risk_score FROM inc")
 _st0 = _map("attack_type", {a: s[0] for a, s in texts.INVESTIGATION_STEPS.items()}, "NULL")
 _stl = _map("attack_type", {a: s[-1] for a, s in texts.INVESTIGATION_STEPS.items()}, "NULL")
-_iso = "Isolate the affected endpoint from the network immediately"
-_lead = f"CASE WHEN severity = 'Critical' AND attack_type <> 'Normal' AND {_st0} <> '{_iso}' THEN '{_iso}' ELSE {_st0} END"
-add("inc_recommend", "inc", f"""SELECT session_id, (1 + CASE severity WHEN 'Critical' THEN 1 WHEN 'High' THEN 1 ELSE 0 END + CASE WHEN severity = 'Critical' AND attack_type <> 'Normal' THEN 1 ELSE 0 END)::BIGINT AS n_contain,
-  ({_nst} + CASE WHEN severity IN ('High', 'Critical') THEN 1 ELSE 0 END)::BIGINT AS n_investigate, {_lead} AS first_step, CASE severity WHEN 'Critical' THEN 'Initiate 24/7 continuous threat hunting across peer hosts'
-  WHEN 'High' THEN 'Perform full directory access audit for employee account' ELSE {_stl} END AS last_check, {_stl} AS remediation, {_map('attack_type', texts.BUSINESS_IMPACT, "''")} AS estimated_impact FROM inc""")
-_prio = f"""CASE WHEN attack_type = 'Normal' THEN 'No containment actions required. Monitor baseline activity.' WHEN list_contains(feats[1:3], 'powershell_executions') THEN 'Terminate any active PowerShell or script execution processes on this host.'
-  WHEN list_contains(feats[1:3], 'total_upload_bytes') THEN 'Block outbound network transfers and isolate the device immediately to prevent exfiltration.' WHEN list_contains(feats[1:3], 'failed_login_count') THEN 'Revoke user credentials and disable active login sessions immediately.'
-  WHEN list_contains(feats[1:3], 'admin_resource_accesses') THEN 'Temporarily revoke administrator rights and active admin sessions for this user.' ELSE {_lead} END"""
+_iso = texts.ACTION["isolate"]
+_c0 = _map("attack_type", {a: k[0][0] for a, k in texts.PLAYBOOK_KIND.items()}, "NULL")
+_c1 = _map("attack_type", {a: k[0][1] for a, k in texts.PLAYBOOK_KIND.items() if len(k[0]) > 1}, "NULL")
+_ncon = _map("attack_type", {a: len(k[0]) for a, k in texts.PLAYBOOK_KIND.items()}, "0")
+_lead = f"CASE WHEN severity = 'Critical' AND attack_type <> 'Normal' THEN '{_iso}' ELSE {_c0} END"
+add("inc_recommend", "inc", f"""SELECT session_id, ({_ncon} + CASE severity WHEN 'Critical' THEN 1 WHEN 'High' THEN 1 ELSE 0 END + CASE WHEN severity = 'Critical' AND attack_type <> 'Normal' THEN 1 ELSE 0 END)::BIGINT AS n_contain,
+  ({_nst} + CASE WHEN severity IN ('High', 'Critical') THEN 1 ELSE 0 END)::BIGINT AS n_investigate, {_lead} AS first_step, CASE severity WHEN 'Critical' THEN '{texts.ACTION["hunt"]}'
+  WHEN 'High' THEN '{texts.ACTION["audit"]}' ELSE {_stl} END AS last_check, {_stl} AS remediation, {_map('attack_type', texts.BUSINESS_IMPACT, "''")} AS estimated_impact FROM inc""")
+_prio = f"""CASE WHEN attack_type = 'Normal' THEN '{texts.ACTION["none"]}' WHEN list_contains(feats[1:3], 'powershell_executions') THEN '{texts.ACTION["script"]}'
+  WHEN list_contains(feats[1:3], 'total_upload_bytes') THEN '{texts.ACTION["outgoing"]}' WHEN list_contains(feats[1:3], 'failed_login_count') THEN '{texts.ACTION["sign_in"]}'
+  WHEN list_contains(feats[1:3], 'admin_resource_accesses') THEN '{texts.ACTION["admin"]}' ELSE {_lead} END"""
 add("inc_priority", "inc", f"SELECT session_id, {_prio} AS priority_action FROM inc")
 add("inc_cards", "inc", f"SELECT session_id, employee_id AS employee, attack_type, severity, confidence, round(risk_score, 2) AS risk_score, {_prio} AS recommended_action, {_tac} AS mitre_tactic, {_tec} AS mitre_technique, len(feats)::BIGINT AS n_features FROM inc")
 add("inc_serialise", "inc", "SELECT session_id, severity FROM inc")
@@ -585,8 +588,8 @@ add("inc_summaries", "inc", f"""SELECT session_id, CASE WHEN {_norm} THEN 'Sessi
    'Severity: ' || severity, {_mit}, 'Evidence:', {_ev5}, 'Next: ' || {_st0}) END AS soc,
   CASE WHEN {_norm} THEN 'Subject: [INFO] Baseline activity - session ' || session_id ELSE concat_ws(chr(10), 'Subject: [ALERT - ' || upper(severity) || '] ' || attack_type || ' [' || {_tid0} || '] (session ' || session_id || ')', '', '- Incident: ' || session_id || ' (employee ' || employee_id || ')',
    '- Class: ' || attack_type || ' ' || {_pc0} || ' | ' || severity, '- Risk: ' || {_risk2} || ' | anomaly ' || {_an4}, '- Indicators: ' || {_fj(3, ', ')}, '- Action: ' || {_st0}) END AS email FROM inc""")
-_todo = f"""array_to_string(list_transform(list_filter([CASE WHEN severity = 'Critical' AND {_has_mitre} AND {_st0} <> '{_iso}' THEN '{_iso}' END, {_st0}, CASE severity WHEN 'Critical' THEN 'Trigger emergency paging for CISO and senior leadership'
-  WHEN 'High' THEN 'Notify IT Security Manager immediately' END], lambda x: x IS NOT NULL), lambda x: '- [ ] ' || x), chr(10))"""
+_todo = f"""array_to_string(list_transform(list_filter([CASE WHEN severity = 'Critical' AND {_has_mitre} THEN '{_iso}' END, {_c0}, {_c1}, CASE severity WHEN 'Critical' THEN '{texts.ACTION["page"]}'
+  WHEN 'High' THEN '{texts.ACTION["inform"]}' END], lambda x: x IS NOT NULL), lambda x: '- [ ] ' || x), chr(10))"""
 add("inc_report_sections", "inc", f"""SELECT session_id, 15::BIGINT AS n_sections, concat_ws(chr(10), '- Session: ' || session_id, '- Employee: ' || employee_id, '- Hour: ' || session_start_hour, '- Minutes: ' || printf('%.1f', duration_seconds / 60 + 1e-9)) AS incident_overview,
   'Severity **' || severity || '** from risk ' || {_risk2} || ' and anomaly score ' || {_an4} || '.' AS severity_assessment,
   concat_ws(chr(10), '- Tactic: ' || CASE WHEN {_norm} THEN 'N/A' ELSE {_tac} END, '- Technique: ' || CASE WHEN {_norm} THEN 'N/A N/A' ELSE {_tid0} || ' ' || {_tec} END) AS mitre_attandck_mapping,
@@ -618,8 +621,8 @@ add("cor_text", "chained", f"""WITH pth AS (SELECT component, string_agg(attack_
   c AS (SELECT *, {_names3} AS no, {_sevname} AS overall_severity FROM chained)
   SELECT {_cid('no')} AS campaign_id, CASE WHEN {_ischain} THEN 'Campaign ' || {_cid('no')} || ' follows the attack chain (' || coalesce({_std}, path) || ') across ' || n_employees || ' user(s) and ' || session_count || ' sessions.'
     ELSE 'Campaign ' || {_cid('no')} || ' groups [' || replace(attack_types, ',', ', ') || '] activity: ' || session_count || ' sessions of ' || n_employees || ' user(s) with shared indicators.' END AS summary,
-  concat_ws(chr(10), CASE WHEN {_wide} THEN 'Isolate all affected devices from the internal subnet immediately.' || chr(10) || 'Disable lateral communication protocols (SMB/RDP) between compromised systems.' ELSE 'Isolate endpoints: ' || dv || ' from the production network.' END,
-   'Block source IPs: ' || ip || ' at the boundary firewalls.', 'Revoke sessions and temporarily lock Active Directory accounts: ' || em || '.', 'Coordinate incident reports and trigger corporate CSIRT response playbooks.') AS actions
+  concat_ws(chr(10), CASE WHEN {_wide} THEN '{texts.ACTION["campaign_isolate"]}' || chr(10) || '{texts.ACTION["campaign_protocols"]}' ELSE '{texts.ACTION["campaign_hosts"][0]}' || dv || '{texts.ACTION["campaign_hosts"][1]}' END,
+   '{texts.ACTION["campaign_addresses"][0]}' || ip || '{texts.ACTION["campaign_addresses"][1]}', '{texts.ACTION["campaign_accounts"][0]}' || em || '{texts.ACTION["campaign_accounts"][1]}', '{texts.ACTION["campaign_report"]}') AS actions
   FROM c JOIN pth USING (component) JOIN f3 USING (component)""")
 
 # --- data quality ----------------------------------------------------------------------------------------------------------

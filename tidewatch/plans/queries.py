@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
+from operator import add
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -104,14 +106,15 @@ def _scores(s, d):
                      (F.col("l_returnflag") == "R").cast("int").alias("label"))
 
 
-NF, NC = 8, 10  # embedding dimensions used as features, classes
+NF, NC = 64, 10  # embedding dimensions, all used as features; classes
+STEPS = 50       # steps of a sequence
 
 
 def _emb(s, d):
     e = table(s, d, "embeddings")
     return e.select("vec_id", F.col("label").cast("int").alias("label"),
                     *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(NF)],
-                    F.transform(F.slice("embedding", 1, NC), lambda v: v.cast("double")).alias("probs"))
+                    F.array(*[reduce(add, [F.col("embedding")[i].cast("double") for i in range(c, NF, NC)]) for c in range(NC)]).alias("probs"))
 
 
 def _weights():
@@ -150,7 +153,7 @@ def snk_dims(s, d):
 @query
 def snk_sessions(s, d):
     rows = _rows(s, d).withColumn("risk_score", F.lit(0.0))
-    return writers.sessions_layout(rows).drop("duration_seconds", "session_uuid")
+    return writers.sessions_layout(rows)
 
 
 @query
@@ -162,7 +165,9 @@ def snk_events(s, d):
 @query
 def snk_features(s, d):
     f = writers.features_layout(_vector(s, d))
-    return f.select(F.lit(len(f.columns)).cast("long").alias("n_columns"), F.lit(f.columns[4]).alias("fifth"), "session_id")
+    known = ["session_id", "employee_id", "attack_type"]
+    return f.select(F.lit(len(f.columns)).cast("long").alias("n_columns"), F.lit(f.columns[4]).alias("fifth"), *known,
+                    *[F.round(F.col(c) + 1.7e-8, 4).alias(c) for c in ["risk_score", *dims.FEATURES]])
 
 
 @query
@@ -413,7 +418,7 @@ EVENT_FEATURES = [f for f in dims.FEATURES if f not in dims.SESSION_FEATURES + d
 @query
 def fea_catalogue(s, d):
     p = metrics.column_profile(_rows(s, d), EVENT_FEATURES).select(F.col("column").alias("feature"), r("mean", 3))
-    return features.feature_catalogue(s).join(p, "feature").select("feature", "category", "description", "mean")
+    return features.feature_catalogue(s).join(p, "feature", "left").select("feature", "category", "description", "mean")
 
 
 @query
@@ -552,7 +557,7 @@ def rsk_bands(s, d):
 
 @query
 def rsk_impact(s, d):
-    return _emb(s, d).select("vec_id", rf.impact_label("x0").alias("impact_0"), rf.impact_label("x1").alias("impact_1"))
+    return _emb(s, d).select("vec_id", *[rf.impact_label(f"x{i}").alias(f"impact_{i}") for i in range(NF)])
 
 
 @query
@@ -575,7 +580,7 @@ def seq_vectors(s, d):
 
 @query
 def seq_padded(s, d):
-    q = sequences.build_sequences(sequences.event_vectors(_events(s, d)), 4)
+    q = sequences.build_sequences(sequences.event_vectors(_events(s, d)), STEPS)
     total = F.aggregate(F.flatten("seq"), F.lit(0.0), lambda a, x: a + x)
     return q.select("session_id", F.size("seq").cast("long").alias("n_steps"), F.size("mask").cast("long").alias("n_mask"),
                     F.aggregate("mask", F.lit(0.0), lambda a, x: a + x).alias("mask_sum"), F.round(total, 4).alias("total"),
@@ -595,8 +600,9 @@ def scl_steps(s, d):
     v = sequences.event_vectors(ev)
     normal = sessions.session_labels(ev.withColumn("risk_score", F.lit(0.0))).where("not is_anomalous")
     stats = sequences.fit_step_scaler(v, normal)
-    q = sequences.scale_steps(sequences.build_sequences(v, 2), stats)
-    return q.select("session_id", *[F.round(F.col("seq")[i][j], 5).alias(f"s{i}_{j}") for i, j in ((0, 0), (0, 18), (1, 2), (1, 17))])
+    q = sequences.scale_steps(sequences.build_sequences(v, STEPS), stats)
+    return q.select("session_id", *[F.round(F.col("seq")[i][j], 5).alias(f"s{i}_{j}") for i, j in ((0, 0), (0, 18), (1, 2), (1, 17), (49, 0), (49, 20))],
+                    F.round(F.aggregate(F.flatten("seq"), F.lit(0.0), lambda a, x: a + x), 3).alias("total"))
 
 
 @query
@@ -688,7 +694,7 @@ def sco_flag(s, d):
 
 @query
 def sco_merge(s, d):
-    e = scoring.minmax_score(_errors(s, d)).where("is_anomalous")
+    e = scoring.minmax_score(_errors(s, d)).withColumn("session_id", F.when(F.col("is_anomalous"), F.col("session_id")).otherwise(F.concat("session_id", F.lit("-X"))))
     return scoring.merge_scores(_rows(s, d).select("session_id", "total_events"), e).select(
         "session_id", "total_events", r("reconstruction_error", 5), r("anomaly_score", 5))
 
@@ -888,7 +894,7 @@ def exp_attribution(s, d):
 @query
 def exp_join(s, d):
     x = _rows(s, d).select("session_id", "attack_type")
-    p = _scored(s, d).where("n_events > 1").select("session_id", "predicted_label", "confidence")
+    p = _scored(s, d).select(F.when(F.col("n_events") > 1, F.col("session_id")).otherwise(F.concat("session_id", F.lit("-X"))).alias("session_id"), "predicted_label", "confidence")
     return explain.join_predictions(x, p)
 
 
@@ -916,7 +922,7 @@ def exp_contributors(s, d):
     e = _pred(s, d)
     names = [f"x{i}" for i in range(NF)]
     a = explain.attribute_predicted(e, list(range(NC)), _weights(), names, explain.feature_means(e, names))
-    c = explain.contributors(a, names, 3)
+    c = explain.contributors(a, names, 10)
     one = lambda n: c.select("vec_id", F.lit(n).alias("side"), F.posexplode(f"{n}_contributors").alias("place", "c"))
     return one("positive").unionByName(one("negative")).select(
         "vec_id", "side", "place", "c.feature", "c.description", "c.category", F.round("c.value", 3).alias("value"),
@@ -985,8 +991,8 @@ def _wide(s, d):
 def _built(s, d):
     expl = _incidents(s, d).withColumnRenamed("attack_type", "prediction").select(
         "session_id", "prediction", "confidence", "severity", "risk_score", "anomaly_score", "positive_contributors")
-    feats = _rows(s, d).where("n_events != 3").select(
-        "session_id", "employee_id", F.when(F.col("n_events") > 1, 12.5).otherwise(0.0).alias("risk_score"), "session_start_hour",
+    feats = _rows(s, d).select(
+        F.when(F.col("n_events") != 3, F.col("session_id")).otherwise(F.concat("session_id", F.lit("-X"))).alias("session_id"), "employee_id", F.when(F.col("n_events") > 1, 12.5).otherwise(0.0).alias("risk_score"), "session_start_hour",
         F.col("duration_seconds").alias("session_duration"))
     return incidents.build_incidents(expl, _wide(s, d), feats)
 
