@@ -22,7 +22,7 @@ KINDS = {"location": "office_location", "device": "device_id", "browser": "brows
          "operating_system": "operating_system", "method": "login_method"}
 
 
-def number_sessions(sessions: DataFrame, min_rows: int = od.HOT_ROWS, check: bool = False) -> DataFrame:
+def number_sessions(sessions: DataFrame, min_rows: int = od.HOT_ROWS, check: bool = True) -> DataFrame:
     """0-based ``n_before``: how many earlier sessions the entity has.
 
     Gap sessions of an entity are at least the gap apart, so their number is
@@ -74,7 +74,7 @@ def baseline_maps(shares: DataFrame) -> DataFrame:
             F.when(F.col("kind") == k, F.struct("value", "share"))))).alias(f"{k}_shares") for k in small])
 
 
-def baseline_asof(numbered: DataFrame, min_rows: int = od.HOT_ROWS, check: bool = False) -> DataFrame:
+def baseline_asof(numbered: DataFrame, min_rows: int = od.HOT_ROWS, check: bool = True) -> DataFrame:
     """Baseline of the earlier sessions only, at every session.
 
     Scalars are running moments; for each kind the share is that of the
@@ -113,7 +113,7 @@ def baseline_asof(numbered: DataFrame, min_rows: int = od.HOT_ROWS, check: bool
     return out
 
 
-def baseline_history(numbered: DataFrame, min_rows: int = od.HOT_ROWS, check: bool = False) -> DataFrame:
+def baseline_history(numbered: DataFrame, min_rows: int = od.HOT_ROWS, check: bool = True) -> DataFrame:
     """Change log of every value's running count: the distribution as of any
     session is, per value, the latest row with ``valid_from`` <= ``n_before``."""
     vals = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("value")) for k, c in KINDS.items()])
@@ -141,7 +141,7 @@ def department_resources_baseline(emp: DataFrame) -> DataFrame:
 
 
 def effective_baseline(numbered: DataFrame, emp: DataFrame, min_history: int = 3,
-                       min_rows: int = od.HOT_ROWS, check: bool = False) -> DataFrame:
+                       min_rows: int = od.HOT_ROWS, check: bool = True) -> DataFrame:
     """Which baseline applies at each session and its working hours.
 
     At least ``min_history`` earlier sessions: personal; else role, department,
@@ -217,7 +217,8 @@ def window_deviations(numbered: DataFrame, size: int = dims.DRIFT_WINDOW, block:
     names = {"office_location": "location_deviation", "device_id": "device_deviation",
              "browser": "browser_deviation", "operating_system": "operating_system_deviation"}
     for c in [*names, "resource_mask"]:
-        b = b.withColumn(f"_w_{c}", F.collect_list(c).over(w))
+        # structs, because collect_list leaves NULLs out and a missing value counts in the window's size
+        b = b.withColumn(f"_w_{c}", F.transform(F.collect_list(F.struct(F.col(c).alias("v"))).over(w), lambda x: x["v"]))
     b = b.withColumn("_mean", F.avg("_hour").over(w))
     for c, d in names.items():
         b = b.withColumn(d, categorical_deviation(c, f"_w_{c}"))
@@ -313,7 +314,7 @@ def drift_scores(numbered: DataFrame, size: int = dims.DRIFT_WINDOW, accept: flo
 
 # --- novelty ---------------------------------------------------------------
 
-def novelty_flags(numbered: DataFrame, min_rows: int = od.HOT_ROWS, check: bool = False) -> DataFrame:
+def novelty_flags(numbered: DataFrame, min_rows: int = od.HOT_ROWS, check: bool = True) -> DataFrame:
     """0/1 flags: value never seen in an earlier session of the entity; hour more
     than two standard deviations off with three or more earlier sessions.  All zero
     for the first session.

@@ -163,8 +163,7 @@ def campaign_members(members: DataFrame, kind: str, page_size: int = 1000) -> Da
         d = od.done(od.position_and_lag(d, o, "_p"))
         return od.paged_lists(d, ["component"], "_p", "session_id", "values", page_size)
     d = members.select("component", F.col(KINDS[kind]).alias("v")).where(nonblank("v").isNotNull()).distinct()
-    by = F.conv(F.rpad(F.hex(F.substring("v", 1, 7)), 14, "0"), 16, 10).cast("double")
-    d, o = od.order_by(d, ["component"], by, ["v"])
+    d, o = od.order_by(d, ["component"], F.lit(0), ["v"])
     return od.paged_lists(od.done(od.position_and_lag(d, o, "_p")), ["component"], "_p", "v", "values", page_size)
 
 

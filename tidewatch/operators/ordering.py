@@ -1,26 +1,27 @@
 """Ordered computations per key that survive hot keys.
 
-A plain ``Window.partitionBy(key)`` puts one key into one task.  When a key may
-hold a third of all rows that task never ends, so hot keys are cut into value
-slices of the order column: each slice is windowed on its own and the slice
-totals (at most MAX_HOT * SLICES rows, hence safe to broadcast) carry position,
-previous row and running sums across the cut.  The result equals the plain
-window in every row; only the physical layout changes.
+A plain ``Window.partitionBy(key)`` puts one key into one task.  Keys with more
+rows than ``HOT_ROWS`` are therefore dealt by ranges of (key, order, ties): a
+range is a slice, windowed on its own, and slice totals carry position, previous
+row and running sums across the cuts.  Ranges are cut on the ties as well, so
+rows with one equal order value are spread too, and there are as many as the
+rows need.  Every row has the value of the plain window and every path gives the
+same columns; only the layout changes.  Keys may be NULL.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_ROWS = 2_000_000   # a key below this stays one window partition
-MAX_HOT = 1_000        # keys above 1/1000 of all rows: there are at most 1000
-SLICES = 256           # cuts per hot key
-_TRACKED = 20_000      # counters of the frequent-items sketch
+from tidewatch.lineage import checkpointed
 
-_SLICE, _HOT, _BY, _CUTS, _KEY = "_slice", "_hot", "_by", "_cuts", "_hot_key"
+HOT_ROWS = 2_000_000   # rows that one window partition takes
+
+_SLICE, _HOT, _BY, _TOTAL = "_slice", "_hot", "_by", "_total"
 
 
 @dataclass(frozen=True)
@@ -34,53 +35,40 @@ class Order:
         return Window.partitionBy(*part).orderBy(_BY, *self.ties)
 
 
-def _key_text(keys) -> Column:
-    return F.concat_ws("\u0001", *[F.col(k).cast("string") for k in keys])
-
-
-def hot_keys(df: DataFrame, keys: list[str], min_rows: int = HOT_ROWS) -> list[str]:
-    """Texts of the keys that may hold more than ``min_rows`` rows.
-
-    One map-side sketch pass; at most MAX_HOT texts reach the driver.  The
-    sketch decides the layout only, so its error never touches a result.
-    """
-    top = df.select(_key_text(keys).alias("k")).agg(
-        F.expr(f"approx_top_k(k, {MAX_HOT}, {_TRACKED})").alias("top")).first()["top"]
-    return [r["item"] for r in (top or []) if r["count"] > min_rows]
+def _join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left") -> DataFrame:
+    """Join on equal or both NULL; the columns of ``on`` come from the left."""
+    right = right.select(*[F.col(c).alias(f"_r_{c}") if c in on else F.col(c) for c in right.columns])
+    same = reduce(lambda x, y: x & y, [left[c].eqNullSafe(right[f"_r_{c}"]) for c in on])
+    return left.join(right, same, how).drop(*[f"_r_{c}" for c in on])
 
 
 def order_by(df: DataFrame, keys: list[str], by: Column, ties: list[str],
              min_rows: int = HOT_ROWS, check: bool = True) -> tuple[DataFrame, Order]:
-    """Prepare ``df`` for ordered work per ``keys``; ``by`` must be numeric.
+    """Prepare ``df`` for ordered work per ``keys``.
 
     ``check=False`` skips the look for hot keys where the group size is bounded
-    by construction.  With no keys the whole frame is one hot group.
+    by construction.  Without keys the whole frame is one group.  The rows of hot
+    keys are stored once (a checkpoint), so that all totals see the same slices;
+    no row and no key reaches the driver.
     """
     df = df.withColumn(_BY, by)
-    marks = [i / SLICES for i in range(1, SLICES)]
-    if not keys:
-        row = df.agg(F.percentile_approx(_BY, marks, 2_000).alias("cuts"), F.count("*").alias("n")).first()
-        if not row["cuts"] or row["n"] <= min_rows:
-            return df, Order((), tuple(ties), False)
-        cuts = F.array(*[F.lit(c) for c in sorted(set(row["cuts"]))])
-        df = df.withColumn(_HOT, F.lit(True)).withColumn(
-            _SLICE, F.size(F.filter(cuts, lambda c: c <= F.col(_BY))))
-        return df, Order((), tuple(ties), True)
-    hot = hot_keys(df, keys, min_rows) if check else []
-    if not hot:
-        return df, Order(tuple(keys), tuple(ties), False)
-    spark = df.sparkSession
-    hot_df = spark.createDataFrame([(h,) for h in hot], f"{_KEY} string")
-    rows = (df.withColumn(_KEY, _key_text(keys)).join(F.broadcast(hot_df), _KEY)
-            .groupBy(_KEY).agg(F.percentile_approx(_BY, marks, 2_000).alias(_CUTS)).collect())
-    kind = df.schema[_BY].dataType.simpleString()
-    layout = spark.createDataFrame([(r[_KEY], sorted(set(r[_CUTS]))) for r in rows],
-                                   f"{_KEY} string, {_CUTS} array<{kind}>")
-    df = (df.withColumn(_KEY, _key_text(keys)).join(F.broadcast(layout), _KEY, "left")
-          .withColumn(_HOT, F.col(_CUTS).isNotNull())
-          .withColumn(_SLICE, F.coalesce(F.size(F.filter(_CUTS, lambda c: c <= F.col(_BY))), F.lit(0)))
-          .drop(_KEY, _CUTS))
-    return df, Order(tuple(keys), tuple(ties), True)
+    plain = df, Order(tuple(keys), tuple(ties), False)
+    if not check:
+        return plain
+    sizes = df.groupBy(*keys).agg(F.count("*").alias(_TOTAL)).where(F.col(_TOTAL) > min_rows)
+    hot_rows = sizes.agg(F.sum(_TOTAL).alias("n")).first()["n"]
+    if not hot_rows:
+        return plain
+    hot, cold = df, None
+    if keys:
+        hot = _join(df, sizes, list(keys), "left_semi")
+        cold = _join(df, sizes, list(keys), "left_anti")
+    n = -(-hot_rows // min_rows) + 1
+    hot = hot.repartitionByRange(n, *keys, _BY, *ties)
+    hot = checkpointed(hot.withColumn(_SLICE, F.spark_partition_id()).withColumn(_HOT, F.lit(True)))
+    if cold is not None:
+        hot = hot.unionByName(cold.withColumn(_SLICE, F.lit(0)).withColumn(_HOT, F.lit(False)))
+    return hot, Order(tuple(keys), tuple(ties), True)
 
 
 def _totals(df: DataFrame, o: Order, aggs: list[Column]) -> DataFrame:
@@ -88,7 +76,8 @@ def _totals(df: DataFrame, o: Order, aggs: list[Column]) -> DataFrame:
 
 
 def _attach(df: DataFrame, totals: DataFrame, o: Order) -> DataFrame:
-    return df.join(F.broadcast(totals), [*o.keys, _SLICE], "left")
+    """Totals by key and slice; cold keys get none."""
+    return _join(df, totals.withColumn("_of_hot", F.lit(True)), [*o.keys, _SLICE]).drop("_of_hot")
 
 
 def position_and_lag(df: DataFrame, o: Order, pos: str = "pos",
@@ -164,16 +153,21 @@ def first_of(df: DataFrame, o: Order, within: str, name: str, value: Column) ->
     """``name`` = 1 on the first row of each distinct ``value`` within ``within``
     (a column that the keys and the order determine), 0 elsewhere and for NULL.
 
-    Costs a sort but no shuffle, because the rows are already partitioned by the
-    keys; summing it replaces a distinct count.  Not available on sliced frames,
-    where one value could fill a task: those keep the distinct count.
+    Costs a sort but no shuffle on plain frames, because the rows are already
+    partitioned by the keys; summing it replaces a distinct count.  On sliced
+    frames a row is first if it is first in its slice and no earlier slice has
+    the value.
     """
-    if o.sliced:
-        return df
-    w = Window.partitionBy(*o.keys, *([within] if within not in o.keys else []), "_value").orderBy(_BY, *o.ties)
-    return (df.withColumn("_value", value)
-            .withColumn(name, F.when(F.col("_value").isNotNull() & (F.row_number().over(w) == 1), 1).otherwise(0))
-            .drop("_value"))
+    df = df.withColumn("_value", value)
+    more = [within] if within not in o.keys else []
+    w = Window.partitionBy(*o.keys, *([_SLICE] if o.sliced else []), *more, "_value").orderBy(_BY, *o.ties)
+    first = F.col("_value").isNotNull() & (F.row_number().over(w) == 1)
+    if not o.sliced:
+        return df.withColumn(name, F.when(first, 1).otherwise(0)).drop("_value")
+    lead = df.where(F.col(_HOT) & F.col("_value").isNotNull()).groupBy(*o.keys, *more, "_value").agg(F.min(_SLICE).alias("_lead"))
+    out = _join(df.withColumn("_first", first), lead, [*o.keys, *more, "_value"])
+    here = F.coalesce(F.col("_lead") == F.col(_SLICE), F.lit(True)) | ~F.col(_HOT)
+    return out.withColumn(name, F.when(F.col("_first") & here, 1).otherwise(0)).drop("_value", "_first", "_lead")
 
 
 def done(df: DataFrame) -> DataFrame:

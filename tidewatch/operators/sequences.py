@@ -158,8 +158,7 @@ def encode_ordinal(df: DataFrame, column: str, name: str | None = None) -> DataF
     """Ordinal of the value among the sorted distinct values; -1 for NULL."""
     name = name or f"{column}_code"
     vals = df.where(F.col(column).isNotNull()).select(column).distinct()
-    prefix = F.conv(F.rpad(F.hex(F.substring(F.col(column).cast("string"), 1, 7)), 14, "0"), 16, 10)
-    vals, o = od.order_by(vals, [], prefix.cast("double"), [column])
+    vals, o = od.order_by(vals, [], F.lit(0), [column])
     vals = od.done(od.position_and_lag(vals, o, name))
     return df.join(vals, column, "left").withColumn(name, F.coalesce(name, F.lit(-1)).cast("int"))
 

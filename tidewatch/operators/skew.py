@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tidewatch.operators import ordering as od
 
@@ -12,17 +11,8 @@ def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner",
               min_rows: int = od.HOT_ROWS) -> DataFrame:
     """Join ``left`` to ``right`` on ``key``; ``right`` has each key once.
 
-    Hot keys of ``left`` (at most ``od.MAX_HOT`` by construction) meet their
-    right rows by broadcast, all other keys by an ordinary join.  Same rows as
-    the plain join.
+    Each right row is small, so adaptive execution can split a hot key's left
+    rows over tasks and read its right row in each of them.  ``min_rows`` is kept for
+    callers that pass one threshold to several operators.
     """
-    hot = od.hot_keys(left, [key], min_rows)
-    if not hot:
-        return left.join(right, key, how)
-    names = left.sparkSession.createDataFrame([(h,) for h in hot], "_hot string")
-    lk = F.col(key).cast("string") == F.col("_hot")
-    hot_right = right.join(F.broadcast(names), lk, "left_semi")
-    hot_left = left.join(F.broadcast(names), lk, "left_semi")
-    cold_left = left.join(F.broadcast(names), lk, "left_anti")
-    return (hot_left.join(F.broadcast(hot_right), key, how)
-            .unionByName(cold_left.join(right, key, how)))
+    return left.join(right, key, how)

@@ -356,6 +356,10 @@ add("ses_enrich", "rows", """SELECT session_id, CASE WHEN employee_no % 9 = 0 TH
 add("ses_dedup_timestamps", "dedup", "SELECT event_id, session_id, new_second FROM dedup")
 add("ses_extended_bounds", "dedup", """SELECT session_id, min(epoch_us(ts) // 1000000) AS start_second, greatest(max(epoch_us(ts) // 1000000), max(new_second)) AS end_second,
   (greatest(max(epoch_us(ts) // 1000000), max(new_second)) - min(epoch_us(ts) // 1000000))::DOUBLE AS duration_seconds FROM dedup GROUP BY 1""")
+add("ses_hot_keys", "ev", """WITH h AS (SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN employee_id END AS employee_id, CASE WHEN event_id % 6 < 2 THEN TIMESTAMP '2024-05-05 10:00:00' ELSE ts END AS ts, ip_address FROM ev),
+  g AS (SELECT *, row_number() OVER w - 1 AS pos, lag(ts) OVER w AS p FROM h WINDOW w AS (PARTITION BY employee_id ORDER BY ts, event_id)),
+  n AS (SELECT *, (sum(CASE WHEN p IS NULL OR epoch_us(ts) - epoch_us(p) > 21600000000 THEN 1 ELSE 0 END) OVER (PARTITION BY employee_id ORDER BY ts, event_id))::BIGINT AS session_no FROM g)
+  SELECT event_id, employee_id, pos, session_no, CASE WHEN ip_address <> '' AND row_number() OVER (PARTITION BY employee_id, session_no, ip_address ORDER BY ts, event_id) = 1 THEN 1 ELSE 0 END::BIGINT AS new_ip FROM n""")
 add("ses_summary", "rows", """SELECT count(*) AS sessions, sum(n_events)::BIGINT AS events, count(DISTINCT employee_id) AS employees, round(avg(duration_seconds / 60), 6) AS avg_minutes,
   round(avg(CASE WHEN login_method = 'Office' THEN 1 ELSE 0 END), 6) AS office_share, round(avg(CASE WHEN login_method = 'VPN' THEN 1 ELSE 0 END), 6) AS vpn_share, round(avg(is_anomalous::INTEGER), 6) AS anomaly_share,
   round(count(*)::DOUBLE / count(DISTINCT employee_id), 6) AS sessions_per_employee, round(sum(n_events)::DOUBLE / count(*), 6) AS events_per_session FROM rows""")

@@ -319,6 +319,15 @@ def ses_gap(s, d):
     return ev.select("event_id", "session_no", "pos", F.round("gap", 6).alias("gap"))
 
 
+@query
+def ses_hot_keys(s, d):
+    """Sessions where a third of all rows has no employee and a third of all times are equal, through the sliced layout."""
+    log = (_log(s, d).withColumn("employee_id", F.when(F.col("event_id") % 3 != 0, F.col("employee_id")))
+           .withColumn("ts", F.when(F.col("event_id") % 6 < 2, F.to_timestamp(F.lit("2024-05-05 10:00:00"))).otherwise(F.col("ts"))))
+    cut = sessions.sessionize(log, ["employee_id"], gap_s=GAP, min_rows=500)
+    return cut.select("event_id", "employee_id", "pos", F.col("session_no").cast("long").alias("session_no"), F.col("new_ip").cast("long").alias("new_ip"))
+
+
 @query
 def ses_employee_device(s, d):
     return sessions.sessionize(_log(s, d), ["employee_id", "device_id"], gap_s=GAP).select("event_id", "session_id")
