@@ -13,7 +13,7 @@ def test_drift_over_micro_batches(spark):
     rows = q._rows(spark, SF).select("employee_id", "session_id", "start_time", "office_location", "device_id", "browser", "operating_system", "resource_mask")
     from tidewatch.streaming.drift import drift_stream
 
-    out = q._drain(spark, drift_stream(q._stream(spark, rows, "rows", "start_time", 1)), "drift")
+    out = q._drain(spark, drift_stream(q._stream(spark, rows, "rows", "start_time")), "drift")
     want = behavior.drift_scores(behavior.number_sessions(rows))
     cols = ["session_id", "accepted", F.round("behaviour_score", 9).alias("b")]
     assert sorted(out.select(cols).collect()) == sorted(want.select(cols).collect())
@@ -28,3 +28,19 @@ def test_alerts_written_once(spark, tmp_path):
         write_alerts(alert_stream(stream), f"{tmp_path}/out", f"{tmp_path}/ck", available_now=True).awaitTermination()
     got = spark.read.parquet(f"{tmp_path}/out")
     assert got.count() == got.select("session_id").distinct().count() == x.where("risk_score >= 35").count() > 0
+
+
+def test_sessions_over_micro_batches(spark):
+    """Several batches, state carried between them, and every session comes out at the end."""
+    from tidewatch.operators import sessions as ss
+    from tidewatch.streaming.sessions import sessionize_stream
+
+    log = q._log(spark, SF).select("ts", "employee_id", "event_type", "status", "is_anomalous", "event_id")
+    stream = sessionize_stream(q._stream(spark, log, "events"))
+    query = stream.writeStream.format("memory").queryName("seen").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sum(p["numInputRows"] > 0 for p in query.recentProgress) > 2
+    got = {(r["employee_id"], r["n_events"], r["start_us"], r["end_us"]) for r in q.str_sessions(spark, SF).collect()}
+    batch = ss.sessionize(log, ["employee_id"]).groupBy("employee_id", "session_no").agg(
+        F.count("*").alias("n"), F.unix_micros(F.min("ts")).alias("a"), F.unix_micros(F.max("ts")).alias("b"))
+    assert got == {(r["employee_id"], r["n"], r["a"], r["b"]) for r in batch.collect()}

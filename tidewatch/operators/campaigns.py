@@ -181,7 +181,8 @@ def campaigns(members: DataFrame, chains: list[list[str]] | None = None, min_row
     rank = F.when((F.col("session_count") >= 3) & (F.col("_rank") == 2), 3).otherwise(F.col("_rank"))
     path = attack_path(members, min_rows=min_rows)
     pages = path.groupBy("component").agg(F.count("*").alias("path_pages"),
-                                          F.min_by(F.array_join("path", " → "), "page").alias("_path"))
+                                          F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", F.array_join("path", " → ").alias("steps")))),
+                                                                         lambda x: x["steps"]), " → ").alias("_path"))
     names = F.array(*[F.lit(" → ".join(c)) for c in chains])
     out = (agg.join(attack_chains(members, chains, min_rows), "component", "left").join(pages, "component", "left")
            .withColumn("overall_severity", severity_label(rank))

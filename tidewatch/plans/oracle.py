@@ -674,6 +674,6 @@ add("dim_primary_device", "emp", "SELECT employee_id, allowed_devices[1] AS prim
 # --- streaming -----------------------------------------------------------------------------------------------------------------
 ORACLE["str_sessions"] = _gap_sql.format(c=_evc, k="employee_id", g=1800000000) + """, g AS (SELECT employee_id, session_no, count(*) AS n_events, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) AS end_us,
   count(*) FILTER (WHERE event_type = 'Login' AND status = 'FAILED') AS failed_login_count, max((attack_type <> 'None')::BIGINT) AS is_anomalous FROM q GROUP BY 1, 2)
-  SELECT employee_id, n_events, start_us, end_us, failed_login_count, is_anomalous FROM g WHERE end_us + 1800000000 <= ((SELECT epoch_us(max(ts)) FROM ev) // 1000) * 1000 - 3600000000"""
+  SELECT employee_id, n_events, start_us, end_us, failed_login_count, is_anomalous FROM g"""
 add("str_drift", "dr", f"SELECT session_id, behaviour_score < 25 AS accepted, {_r(_D6)}, round(behaviour_score, 6) AS behaviour_score FROM dr")
 add("str_alerts", "sc", "SELECT session_id, risk_score FROM sc WHERE risk_score >= 35")

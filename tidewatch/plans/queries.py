@@ -1316,11 +1316,14 @@ def dim_primary_device(s, d):
 def _work_folder(s, name: str) -> str:
     base = s.conf.get("spark.checkpoint.dir", None)
     if not base:
+        import atexit
+        import shutil
         import tempfile
 
-        if not s.sparkContext.master.startswith("local"):
+        if not s.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a shared folder")
         base = tempfile.mkdtemp(prefix="tidewatch-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
@@ -1333,11 +1336,23 @@ def _drain(s, stream: DataFrame, name: str) -> DataFrame:
     return s.read.schema(stream.schema).parquet(f"{base}/out")
 
 
-def _stream(s, df: DataFrame, name: str, by=None, files: int = 4) -> DataFrame:
-    """A batch table written as ordered files and read back as a stream, one file per trigger."""
+def _stream(s, df: DataFrame, name: str, by: str = "ts", files: int = 4, closing: DataFrame | None = None) -> DataFrame:
+    """A batch table as a stream in time order, one file per trigger.
+
+    The files are written one after the other, because the file source takes
+    them in that order; each has a quantile range of ``by``.  ``closing`` rows make
+    one more file at the end.
+    """
     base = f"{_work_folder(s, name)}/in"
-    df.repartitionByRange(files, by or "ts").sortWithinPartitions(by or "ts").write.parquet(base)
-    return s.readStream.schema(df.schema).parquet(base)
+    t = micros(by)
+    cuts = sorted(set(df.agg(F.percentile_approx(t, [i / files for i in range(1, files)], 10_000).alias("q")).first()["q"] or []))
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        part = df if low is None else df.where(t > low)
+        part = part if high is None else part.where(t <= high)
+        part.coalesce(1).write.mode("append").parquet(base)
+    if closing is not None:
+        closing.coalesce(1).write.mode("append").parquet(base)
+    return s.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(base)
 
 
 @query
@@ -1345,8 +1360,11 @@ def str_sessions(s, d):
     from tidewatch.streaming.sessions import sessionize_stream
 
     log = _log(s, d).select("ts", "employee_id", "event_type", "status", "is_anomalous")
-    out = _drain(s, sessionize_stream(_stream(s, log, "events")), "sessions")
-    return out.select("employee_id", "n_events", micros("start_time").alias("start_us"), micros("end_time").alias("end_us"), "failed_login_count",
+    # a row far in the future moves the watermark past every open session
+    end = log.agg((F.max("ts") + F.expr("INTERVAL 3650 DAYS")).alias("ts")).select(
+        "ts", F.lit("~end").alias("employee_id"), *[F.lit(None).cast(log.schema[c].dataType).alias(c) for c in log.columns[2:]])
+    out = _drain(s, sessionize_stream(_stream(s, log, "events", closing=end)), "sessions")
+    return out.where("employee_id != '~end'").select("employee_id", "n_events", micros("start_time").alias("start_us"), micros("end_time").alias("end_us"), "failed_login_count",
                       F.col("is_anomalous").cast("long").alias("is_anomalous"))
 
 
@@ -1355,7 +1373,7 @@ def str_drift(s, d):
     from tidewatch.streaming.drift import drift_stream
 
     rows = _rows(s, d).select("employee_id", "session_id", "start_time", "office_location", "device_id", "browser", "operating_system", "resource_mask")
-    out = _drain(s, drift_stream(_stream(s, rows, "rows", "start_time", 1)), "drift")
+    out = _drain(s, drift_stream(_stream(s, rows, "rows", "start_time")), "drift")
     return out.select("session_id", "accepted", *[r(c) for c in dims.DEVIATIONS], r("behaviour_score"))
 
 
