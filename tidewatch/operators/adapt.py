@@ -180,18 +180,26 @@ def standardize(df: DataFrame) -> DataFrame:
         number("risk_score").alias("risk_score"))
 
 
-def adapter_report(raw: DataFrame, internal: DataFrame, sessions: DataFrame, match: SchemaMatch) -> DataFrame:
-    """One row: totals, sessions, employees, score, level, warnings, status."""
+def adapter_report(raw: DataFrame, internal: DataFrame, sessions: DataFrame, match: SchemaMatch,
+                   features: DataFrame | None = None) -> DataFrame:
+    """One row: totals, sessions, employees, score, level, warnings, status.
+
+    ``features`` is checked against the model's features: EMPTY without sessions,
+    WARNING if features are missing or in another order, else READY.
+    """
     a = raw.agg(F.count("*").alias("total_rows"))
     b = internal.agg(F.count("*").alias("mapped_rows"))
     c = sessions.agg(F.count("*").alias("sessions_built"), F.countDistinct("employee_id").alias("unique_employees"))
+    present, ordered = (True, True) if features is None else check_feature_schema(features)
+    warnings = [*match.warnings, *([] if present else ["features are missing"]), *([] if ordered or not present else ["features are in another order"])]
     return a.crossJoin(b).crossJoin(c).select(  # three one-row frames
         "total_rows", "mapped_rows", (F.col("total_rows") - F.col("mapped_rows")).alias("skipped_rows"),
         "sessions_built", "unique_employees",
         F.lit(len(match.mapped)).alias("mapped_columns"), F.lit(len(match.missing)).alias("missing_columns"),
         F.lit(match.score).alias("compatibility_score"), F.lit(match.level).alias("compatibility_level"),
-        F.lit("; ".join(match.warnings)).alias("warnings"),
-        F.when(F.col("sessions_built") > 0, "READY").otherwise("EMPTY").alias("pipeline_status"))
+        F.lit(present).alias("features_present"), F.lit(ordered).alias("features_ordered"),
+        F.lit("; ".join(warnings)).alias("warnings"),
+        F.when(F.col("sessions_built") == 0, "EMPTY").when(F.lit(present and ordered), "READY").otherwise("WARNING").alias("pipeline_status"))
 
 
 def check_feature_schema(df: DataFrame, expected: list[str] | None = None) -> tuple[bool, bool]:

@@ -132,25 +132,35 @@ def check_event_shape(events: DataFrame, sessions: DataFrame) -> DataFrame:
     ])
 
 
-def check_events(events: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Duplicate uuid, parent mismatches, bounds, strictly increasing and unique
-    timestamps, enum membership.
+def check_events(events: DataFrame, sessions: DataFrame, order: str | None = None, min_rows: int = od.HOT_ROWS) -> DataFrame:
+    """Duplicate id, uuid format (column ``event_uuid``, if there), parent mismatches, bounds, strictly
+    increasing and unique timestamps, enum membership.
 
-    In time order a timestamp that does not increase is a gap of 0.
+    ``order`` names the input position: an event must be strictly later than the
+    one before it in the input.  Without it the frame's own time order counts,
+    where a timestamp that does not increase is a gap of 0.
     """
     s = sessions.select("session_id", F.col("employee_id").alias("_emp"), F.col("device_id").alias("_dev"), "start_time", "end_time")
+    late = F.col("gap") <= 0
+    if order:
+        events, o = od.order_by(events, ["session_id"], F.col(order), ["event_id"], min_rows)
+        events = od.done(od.position_and_lag(events, o, "_p", {"_before": "ts"}))
+        late = F.col("ts") <= F.col("_before")
     j = events.join(s, "session_id", "left")
-    rows = _hits(j, "event_id", [
+    rules = [
         ("event_no_session", F.col("_emp").isNull(), F.col("session_id")),
         ("event_employee", F.col("employee_id") != F.col("_emp"), F.col("employee_id")),
         ("event_device", F.col("device_id") != F.col("_dev"), F.col("device_id")),
         ("event_bounds", (F.col("ts") < F.col("start_time")) | (F.col("ts") > F.col("end_time")), ""),
-        ("event_not_increasing", F.col("gap") <= 0, ""),
+        ("event_not_increasing", late, ""),
         ("event_type", ~F.coalesce(F.col("event_type").isin(dims.EVENT_TYPES), F.lit(False)), F.col("event_type")),
         ("event_status", ~F.coalesce(F.col("status").isin("SUCCESS", "FAILED"), F.lit(False)), F.col("status")),
         ("event_attack", ~F.coalesce(F.col("attack_type").isin(dims.ATTACK_TYPES), F.lit(False)), F.col("attack_type")),
         ("event_resource", ~F.col("resource").isin(dims.RESOURCES), F.col("resource")),
-    ])
+    ]
+    if "event_uuid" in events.columns:
+        rules.append(("event_uuid_format", ~F.coalesce(F.col("event_uuid").rlike(UUID4), F.lit(False)), F.col("event_uuid")))
+    rows = _hits(j, "event_id", rules)
     dup_ts = (events.groupBy("session_id", "ts").agg(F.count("*").alias("n")).where("n > 1")
               .select(F.lit("event_duplicate_ts").alias("rule_id"), F.col("session_id").alias("key"), F.col("n").cast("string").alias("detail")))
     return union_rules(rows, _duplicates(events, "event_id", "event_duplicate_id"), dup_ts)

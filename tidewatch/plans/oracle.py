@@ -324,7 +324,7 @@ add("adp_internal", None, f"""SELECT event_id, CAST(user_id AS VARCHAR) AS emplo
   'Office' AS geo_location, 'Password' AS auth_method, 'SUCCESS' AS status, 0::DOUBLE AS bytes_transferred, NULL::VARCHAR AS resource, true AS has_props, epoch_us(ts) AS ts_us FROM events""")
 add("adp_report", None, """WITH o AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events),
   n AS (SELECT count(*) FILTER (WHERE p IS NULL OR epoch_us(ts) - epoch_us(p) > 1800000000) AS s, count(*) AS c, count(DISTINCT user_id) AS u FROM o)
-  SELECT c AS total_rows, c AS mapped_rows, 0::BIGINT AS skipped_rows, s AS sessions_built, u AS unique_employees, 76.4::DOUBLE AS compatibility_score, 'PARTIAL' AS compatibility_level, 'READY' AS pipeline_status FROM n""")
+  SELECT c AS total_rows, c AS mapped_rows, 0::BIGINT AS skipped_rows, s AS sessions_built, u AS unique_employees, 76.4::DOUBLE AS compatibility_score, 'PARTIAL' AS compatibility_level, 'WARNING' AS pipeline_status, false AS features_present, false AS features_ordered FROM n""")
 _unlow = "CASE lower(resource_accessed) " + " ".join(f"WHEN '{x.lower()}' THEN '{x}'" for x in dims.RESOURCES) + " END"
 add("adp_standardize", "xt", f"""SELECT event_id, CASE WHEN entity_id <> '' THEN entity_id WHEN employee_id IS NOT NULL THEN employee_id ELSE 'USER-X' END AS employee_id,
   CASE WHEN source_ip = '' THEN '127.0.0.1' ELSE source_ip END AS ip_address, {_unlow} AS resource, session_duration, len(cmds)::BIGINT AS n_commands,
@@ -645,7 +645,7 @@ add("dq_event_shape", "rows", """WITH g AS (SELECT session_id, count(*) AS n, ma
   SELECT 'event_first_login' AS rule_id, session_id AS key, f AS detail FROM j WHERE f <> 'Login' UNION ALL SELECT 'event_last_logout', session_id, l FROM j WHERE l <> 'Logout'
   UNION ALL SELECT 'event_second_connect', session_id, s2 FROM j WHERE n >= 4 AND s2 <> CASE WHEN rm THEN 'VPNConnect' ELSE 'NetworkConnect' END
   UNION ALL SELECT 'event_penultimate_disconnect', session_id, pen FROM j WHERE n >= 4 AND pen <> CASE WHEN rm THEN 'VPNDisconnect' ELSE 'NetworkDisconnect' END""")
-add("dq_events", "rows", "SELECT 'event_device' AS rule_id, s.event_id::VARCHAR AS key, s.device_id AS detail FROM se s JOIN rows r USING (session_id) WHERE s.device_id <> r.device_id UNION ALL SELECT 'event_not_increasing', event_id::VARCHAR, '' FROM se WHERE gap <= 0")
+add("dq_events", "rows", "SELECT 'event_device' AS rule_id, s.event_id::VARCHAR AS key, s.device_id AS detail FROM se s JOIN rows r USING (session_id) WHERE s.device_id <> r.device_id UNION ALL SELECT 'event_not_increasing', event_id::VARCHAR, '' FROM (SELECT *, lag(ts) OVER (PARTITION BY session_id ORDER BY xor(event_id, 1)) AS before FROM se) WHERE ts <= before UNION ALL SELECT 'event_duplicate_ts', session_id, count(*)::VARCHAR FROM se GROUP BY session_id, ts HAVING count(*) > 1 UNION ALL SELECT 'event_uuid_format', event_id::VARCHAR, 'bad' FROM se WHERE event_id % 97 = 0")
 add("dq_labels", "rows", """SELECT 'label_session_normal_risk' AS rule_id, session_id AS key, '7.0' AS detail FROM rows WHERE NOT is_anomalous AND n_events = 5
   UNION ALL SELECT 'label_event_session', event_id::VARCHAR, '' FROM se s JOIN rows r USING (session_id) WHERE (s.attack_type <> 'None') <> r.is_anomalous
   UNION ALL SELECT 'label_event_normal_risk', event_id::VARCHAR, '' FROM se WHERE attack_type = 'None' AND k = 1""")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tidewatch import dims
 from tidewatch.functions import normalise as nz
 from tidewatch.functions import risk as rf
-from tidewatch.functions.columns import micros
+from tidewatch.functions.columns import micros, uuid4_text
 from tidewatch.lineage import checkpointed
 from tidewatch.operators import (adapt, behavior, campaigns, classify, explain, features, incidents, metrics, org, quality, risk,
                                  scoring, sequences, sessions)
@@ -254,8 +254,9 @@ def adp_report(s, d):
     match = adapt.detect_schema(raw.columns)
     i = adapt.to_internal(raw, match)
     ev = sessions.sessionize(i, ["employee_id", "device_id"])
-    return adapt.adapter_report(raw, i, sessions.build_sessions(ev), match).select(
-        "total_rows", "mapped_rows", "skipped_rows", "sessions_built", "unique_employees", "compatibility_score",
+    built = sessions.build_sessions(ev)
+    return adapt.adapter_report(raw, i, built, match, built).select(  # a session table without features: a warning
+        "features_present", "features_ordered", "total_rows", "mapped_rows", "skipped_rows", "sessions_built", "unique_employees", "compatibility_score",
         "compatibility_level", "pipeline_status")
 
 
@@ -1205,7 +1206,9 @@ def dq_event_shape(s, d):
 
 @query
 def dq_events(s, d):
-    return quality.check_events(_events(s, d), _rows(s, d))
+    ev = _events(s, d).withColumn("input_no", F.col("event_id").bitwiseXOR(F.lit(1))).withColumn(
+        "event_uuid", F.when(F.col("event_id") % 97 == 0, "bad").otherwise(uuid4_text("event_id")))
+    return quality.check_events(ev, _rows(s, d), "input_no")
 
 
 def _labelled(s, d):
