@@ -672,6 +672,15 @@ add("dim_policy", "emp", f"SELECT department, {_gb} FROM emp WHERE department =
 add("dim_primary_device", "emp", "SELECT employee_id, allowed_devices[1] AS primary_device FROM emp")
 
 # --- streaming -----------------------------------------------------------------------------------------------------------------
+# --- written and read again ------------------------------------------------------------------------------------------
+ORACLE["io_events"] = ORACLE["snk_events"]
+add("io_external", None, "SELECT event_id::VARCHAR AS event_id, user_id::VARCHAR AS user_id, event_type FROM events")
+add("io_employees", "emp", "SELECT employee_id, employee_uuid, department, work_start::BIGINT AS work_start, work_end::BIGINT AS work_end, array_to_string(allowed_devices, ';') AS allowed_devices FROM emp")
+add("io_features", "dr", f"SELECT session_id, employee_id, attack_type, round({_fr} + 1.7e-8, 4) AS risk_score, {_feat(dims.FEATURES, 4)} FROM {_joined}")
+add("io_sequences", "vec", "SELECT session_id, 50::BIGINT AS n_steps, least(count(*), 50)::DOUBLE AS mask_sum FROM vec GROUP BY 1")
+add("io_incidents", "inc", """SELECT session_id, attack_type, 'Case "' || session_id || '", ' || severity AS summary, severity, attack_type AS report FROM inc""")
+add("io_metrics", None, "SELECT (l_returnflag = 'R')::INTEGER AS label, count(*) AS n FROM lineitem GROUP BY 1")
+
 ORACLE["str_sessions"] = _gap_sql.format(c=_evc, k="employee_id", g=1800000000) + """, g AS (SELECT employee_id, session_no, count(*) AS n_events, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) AS end_us,
   count(*) FILTER (WHERE event_type = 'Login' AND status = 'FAILED') AS failed_login_count, max((attack_type <> 'None')::BIGINT) AS is_anomalous FROM q GROUP BY 1, 2)
   SELECT employee_id, n_events, start_us, end_us, failed_login_count, is_anomalous FROM g"""

@@ -1314,6 +1314,69 @@ def dim_primary_device(s, d):
     return _emp(s, d).select("employee_id", org.primary_device().alias("primary_device"))
 
 
+# --- written and read again -----------------------------------------------------------------------------------------------------
+
+@query
+def io_events(s, d):
+    path = _work_folder(s, "events")
+    writers.write_events(_log(s, d).withColumn("session_duration", F.lit(0.0)), path)
+    e = readers.read_events(s, path)
+    return e.select("entity_id", "entity_type", "timestamp", "source_ip", "geo_location", F.coalesce("resource_accessed", F.lit("")).alias("resource_accessed"),
+                    "auth_method", "session_duration", "command_sequence", "device_fingerprint", F.col("label").cast("int").alias("label"))
+
+
+@query
+def io_external(s, d):
+    """The raw log as JSON lines, all columns as text."""
+    path = f"{_work_folder(s, 'log')}/log.jsonl"
+    table(s, d, "events").select("event_id", "user_id", "event_type").write.json(path)
+    return readers.read_external(s, path).select("event_id", "user_id", "event_type")
+
+
+@query
+def io_employees(s, d):
+    path = _work_folder(s, "dims")
+    writers.write_dims(_emp(s, d), demo.devices(_log(s, d)), demo.resources(s), path)
+    e = readers.read_employees(s, f"{path}/employees")
+    return e.select("employee_id", "employee_uuid", "department", F.col("work_start").cast("long").alias("work_start"), F.col("work_end").cast("long").alias("work_end"),
+                    F.array_join("allowed_devices", ";").alias("allowed_devices"))
+
+
+@query
+def io_features(s, d):
+    path = _work_folder(s, "features")
+    v = _vector(s, d)
+    writers.write_features(v, v, path)
+    f = readers.read_features(s, f"{path}/tabular_features", [c for c in v.columns if c not in dims.META_COLUMNS])
+    return f.select("session_id", "employee_id", "attack_type", *[F.round(F.col(c) + 1.7e-8, 4).alias(c) for c in ["risk_score", *dims.FEATURES]])
+
+
+@query
+def io_sequences(s, d):
+    path = _work_folder(s, "sequences")
+    writers.write_sequences(sequences.build_sequences(sequences.event_vectors(_events(s, d)), STEPS), path)
+    q = readers.read_sequences(s, path)
+    return q.select("session_id", F.size("seq").cast("long").alias("n_steps"), F.aggregate("mask", F.lit(0.0), lambda a, x: a + x).alias("mask_sum"))
+
+
+@query
+def io_incidents(s, d):
+    """Cards, summaries and reports; the summaries come back from CSV, the cards from JSON."""
+    path = _work_folder(s, "incidents")
+    x = _incidents(s, d).withColumn("executive", F.concat(F.lit('Case "'), F.col("session_id"), F.lit('", '), F.col("severity")))
+    writers.write_incidents(x.select("session_id", "severity"), x, x.select("session_id", "attack_type"), path)
+    sums = s.read.options(header=True, escape='"').csv(f"{path}/executive_summaries").select("session_id", "attack_type", "summary")
+    return sums.join(s.read.json(f"{path}/dashboard_cards"), "session_id").join(
+        s.read.json(f"{path}/incident_reports").withColumnRenamed("attack_type", "report"), "session_id")
+
+
+@query
+def io_metrics(s, d):
+    path = _work_folder(s, "metrics")
+    writers.write_metrics(_scores(s, d).groupBy("label").agg(F.count("*").alias("n")), path)
+    return s.read.json(path).select(F.col("label").cast("int").alias("label"), "n")
+
+
 # --- streaming -----------------------------------------------------------------------------------------------------------------
 
 def _work_folder(s, name: str) -> str:
