@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from helpers import SCHEMA, documents, table
 
@@ -56,3 +58,14 @@ def test_representatives_and_empty_table(spark):
     kept = {r["doc_id"] for r in jaccard.representatives(table(spark)).collect()}
     assert kept == {i for i, (_, c) in brute(documents(), 85, 4).items() if i == c}
     assert jaccard.join(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("dense,tile", [(1, 3), (2, 100)])
+def test_tiles_give_the_same(spark, monkeypatch, dense, tile):
+    monkeypatch.setattr(jaccard, "DENSE", dense)
+    monkeypatch.setattr(jaccard, "TILE", tile)
+    r = random.Random(8)
+    base = [f"v{i}" for i in range(60)]
+    rows = [(i, " ".join(f"x{i}" if r.random() < 0.012 else w for w in base), "en", "a") for i in range(60)] + [(100 + d[0], *d[1:]) for d in documents()]
+    got = jaccard.join(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute(rows, 85, 4)

@@ -48,6 +48,28 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: What operators keep in a Python worker between tasks: a function for each operator that lets go of it.
+KEPT: dict[str, object] = {}
+
+
+def enter(operator: str) -> None:
+    """At the start of a task: a worker process serves all operators in turn, so what others have kept goes, and freed memory returns to the system."""
+    for name, forget in KEPT.items():
+        if name != operator:
+            forget()
+    give_back()
+
+
+def give_back() -> None:
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: memory stays with the worker
+        pass
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective scrambling of 64-bit numbers."""
     x = x.astype(np.uint64, copy=True)
@@ -60,6 +82,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _POWERS: dict[int, np.ndarray] = {}
+KEPT["hashes"] = _POWERS.clear
 
 
 def _powers(base: int, n: int) -> np.ndarray:

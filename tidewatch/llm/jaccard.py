@@ -10,29 +10,36 @@ n-grams share at least ceil(t n), so they share at least k of the first n - ceil
 * Large (heavy) sets scan the inverted lists of single n-grams of the prefix with k = 1; the lists hold all sets large enough to link with one.
 * The boundary is the size for which the estimated cost (subsets listed, against entries scanned) is least, over the sizes of all documents.
 
-Sets under one key are first compared with the smallest class only, and components are formed.  Then, wherever a key still holds several
-components, every pair across components is compared.  So large groups of near copies cost one comparison each, and no link between
-components is missed.
+Sets of about one size under one key are first compared with the smallest class only, and components are formed.  Then, wherever a key still
+holds several components, every pair across components whose sizes and places allow a link is compared.  Keys that very many classes share (a
+large group of near copies around the threshold) list no pairs: their classes are dealt over tiles, and whole sets meet tile by tile.  No link between components is
+missed, and no group's pairs are listed.
 
 Null and empty texts, and texts without words, have no n-grams and link with nothing.  Repeated rows are copies of each other.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
-from .common import CELLS, M64, MIX, byte_hashes, cells, components, in_cells, long_batches, merged, mix, shingle_hashes, stored, word_spans
+from .common import CELLS, M64, MIX, byte_hashes, cells, components, enter, give_back, in_cells, long_batches, merged, mix, shingle_hashes, stored, word_spans
 
 #: Counters of the n-gram order: a fixed array whatever the corpus; it decides the order only, never a result.
 COUNTERS, BLOCK = 1 << 21, 1 << 15
 #: Sets of this size and more are always heavy (their subsets would be too many).
 LARGEST_LIGHT = 256
-_SLICE = 2 << 20
+#: Keys of more classes than DENSE are compared in blocks of about TILE sets.
+DENSE, TILE = 128, 384
+_SLICE = 1 << 19
+#: Buckets of the histogram of a set's hashes, and hashes that a task gathers before it counts them.
+BUCKETS, GATHERED = 64, 1 << 21
 
 
 def shingle_sets(texts: pa.Array, width: int, lower: bool) -> list[np.ndarray]:
@@ -56,29 +63,47 @@ def _class(x: np.ndarray) -> int | None:
 
 
 def _slices(batches: Iterator[pa.RecordBatch], width: int, lower: bool) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    enter("hashes")
     for whole in batches:
         for b in long_batches(whole, "text", _SLICE):
             yield b, shingle_sets(b.column(1), width, lower)
+    give_back()
 
 
 def signatures(docs: DataFrame, width: int, lower: bool, key: str, text: str) -> DataFrame:
-    """Stored: (key, n, class) of each document, and rows with only ``block`` and ``counts``: each task's counters."""
+    """Stored: (key, n, class, histogram) of each document, and rows with only ``block`` and ``counts``: each task's counters.
+
+    histogram: how many of the set's hashes fall into each of BUCKETS equal ranges.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "n", "class", "block", "counts"]
-        counts = np.zeros(COUNTERS, dtype=np.uint32)
+        names = ["key", "n", "class", "histogram", "block", "counts"]
+        counts, waiting, held = np.zeros(COUNTERS, dtype=np.uint32), [], 0
+
+        def count() -> None:
+            if waiting:
+                cell, n = np.unique(np.concatenate(waiting), return_counts=True)
+                counts[cell] += n.astype(np.uint32)
+                waiting.clear()
+
         for b, sets in _slices(batches, width, lower):
-            every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-            counts += np.bincount((every & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
+            for x in sets:
+                waiting.append((x & np.uint64(COUNTERS - 1)).astype(np.int32))
+                held += len(x)
+            if held > GATHERED:
+                count()
+                held = 0
             n = len(sets)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([_class(x) for x in sets], pa.int64()),
+            shape = [np.bincount((x >> np.uint64(58)).astype(np.int64), minlength=BUCKETS).astype("<u4").tobytes() if len(x) else None for x in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([_class(x) for x in sets], pa.int64()), pa.array(shape, pa.binary()),
                                               pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
+        count()
         for k in range(COUNTERS // BLOCK):
             own = counts[k * BLOCK:(k + 1) * BLOCK]
             if own.any():
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([k], pa.int32()),
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([k], pa.int32()),
                                                   pa.array([np.minimum(own, 0xFFFF).astype("<u2").tobytes()], pa.binary())], names)
 
-    return stored(_narrow(docs, key, text).mapInArrow(run, "key long, n long, class long, block int, counts binary"), "signatures")
+    return stored(_narrow(docs, key, text).mapInArrow(run, "key long, n long, class long, histogram binary, block int, counts binary"), "signatures")
 
 
 def _narrow(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -107,14 +132,17 @@ def boundary(sizes: dict[int, int], scan: float, percent: int, largest: int = LA
 
 
 def postings(docs: DataFrame, counts: np.ndarray, edge: int, percent: int, width: int, lower: bool, key: str, text: str) -> DataFrame:
-    """Stored (k, class, n): the keys of each class, once in each task: 2-subsets for light sets, single n-grams for the inverted lists."""
+    """Stored (k, class, n, i): the keys of each class, once in each task: 2-subsets for light sets, single n-grams for the inverted lists.
+
+    i: the place of the (first) n-gram in the order of its set.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(np.minimum(counts, 0xFFFF).astype(np.uint16))
     partner = least_shared(edge, percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, seen = sent.value, set()
         for b, sets in _slices(batches, width, lower):
-            keys, owners, sizes = [], [], []
+            keys, owners, sizes, places = [], [], [], []
             for x in sets:
                 own = _class(x)
                 if own is None or own in seen:
@@ -124,20 +152,48 @@ def postings(docs: DataFrame, counts: np.ndarray, edge: int, percent: int, width
                 rank = order[(x & np.uint64(COUNTERS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(48) | x >> np.uint64(16)
                 p = n - least_shared(n, percent)
                 first = np.sort(np.partition(rank, p + 1)[:p + 2]) if n > p + 2 else np.sort(rank)
-                found = []
+                found, at = [], []
                 if n < edge:
                     i, j = np.triu_indices(len(first), 1)
                     found.append(mix(first[i] * np.uint64(MIX[2]) + first[j]))
+                    at.append(i)
                 if n >= partner:
                     found.append(mix(first[:p + 1]))
+                    at.append(np.arange(len(found[-1])))
                 got = np.concatenate(found)
+                places.append(np.concatenate(at))
                 keys.append(got)
                 owners.append(np.full(len(got), own, dtype=np.int64))
-                sizes.append(np.full(len(got), n, dtype=np.int64))
+                sizes.append(np.full(len(got), n, dtype=np.int32))
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(owners)), pa.array(np.concatenate(sizes))], ["k", "class", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(owners)), pa.array(np.concatenate(sizes), pa.int32()),
+                                                  pa.array(np.concatenate(places), pa.int32())], ["k", "class", "n", "i"])
+
+    return stored(_narrow(docs, key, text).mapInArrow(run, "k long, class long, n int, i int"), "postings")
+
+
+def _shared(posted: DataFrame) -> DataFrame:
+    """The postings under keys of two classes or more, one for each key and class.  A bitmap of fixed size keeps most others out of the shuffle."""
+    keys = stored(posted.groupBy("k").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low < high").select("k"), "keys")
+    sent = posted.sparkSession.sparkContext.broadcast(cells(keys, "k"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kept = b.filter(pa.array(in_cells(sent.value, b.column(4).to_numpy())))
+            yield pa.RecordBatch.from_arrays(kept.columns[:4], kept.schema.names[:4])
+
+    cell = F.pmod(F.xxhash64("k"), F.lit(CELLS)).alias("cell")
+    passed = posted.select("k", "class", "n", "i", cell).mapInArrow(run, "k long, class long, n int, i int")
+    return passed.join(keys, "k", "left_semi").groupBy("k", "class").agg(F.min("n").alias("n"), F.min("i").alias("i"))
 
-    return stored(_narrow(docs, key, text).mapInArrow(run, "k long, class long, n long"), "postings")
+
+def _possible(percent: int):
+    """Sizes n and m that can link, when the first n-gram that both sets have stands at i in one and at j in the other.
+
+    Where it is not the first, the pair meets under the first as well; so this drops no link.
+    """
+    need = F.ceil(percent * (F.col("n") + F.col("m")) / (100 + percent) - 1e-9)
+    return (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (F.col("n") - F.col("i") >= need) & (F.col("m") - F.col("j") >= need)
 
 
 def _sets(docs: DataFrame, involved: DataFrame, width: int, lower: bool, key: str, text: str) -> DataFrame:
@@ -157,8 +213,27 @@ def _sets(docs: DataFrame, involved: DataFrame, width: int, lower: bool, key: st
     return got.join(involved, ["key", "class"], "left_semi").select("class", "members")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that link, by whole sets."""
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int, width: int, lower: bool, key: str, text: str) -> DataFrame:
+    """The pairs (a, b) of classes that link, by whole sets; the sets are made again for the classes in the pairs, from a document of each.
+
+    Two sets share no more than the sum of the smaller counts of their histograms, bucket by bucket; pairs that can't reach the wanted overlap
+    go before any set is made.
+    """
+    def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("")
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), "<u4").reshape(-1, BUCKETS).astype(np.int64) for i in (2, 3))
+            most = np.minimum(x, y).sum(1)
+            keep = 100 * most >= percent * (x.sum(1) + y.sum(1) - most)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    shapes = classes.select("class", "histogram")
+    met = pairs.join(shapes.select(F.col("class").alias("a"), F.col("histogram").alias("x")), "a").join(shapes.select(F.col("class").alias("b"), F.col("histogram").alias("y")), "b")
+    pairs = stored(met.select("a", "b", "x", "y").mapInArrow(reach, "a long, b long"), "reachable")
+    involved = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
+    involved = stored(classes.join(involved, "class", "left_semi").select("key", "class"), "involved")
+    sets = stored(_sets(docs, involved, width, lower, key, text), "sets")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
@@ -175,42 +250,103 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
+def _tiled(dense: DataFrame, docs: DataFrame, classes: DataFrame, percent: int, width: int, lower: bool, key: str, text: str) -> DataFrame:
+    """Links (a, b) within the groups of classes that dense keys connect: (k, class, component).
+
+    A group's classes are dealt over tiles; every two tiles meet in one task, which returns only links that join components (a
+    spanning forest at most).
+    """
+    low = dense.groupBy("k").agg(F.min("class").alias("low"))
+    group = components(dense.join(low, "k").select(F.col("low").alias("a"), F.col("class").alias("b")).distinct())
+    member = stored(dense.select("class", "component").distinct().join(group.select(F.col("node").alias("class"), F.col("component").alias("team")), "class"), "dense")
+    tiles = member.groupBy("team").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
+    sets = _sets(docs, classes.join(member.select("class"), "class", "left_semi").select("key", "class"), width, lower, key, text).dropDuplicates(["class"])
+    own = member.join(tiles, "team").withColumn("tile", F.pmod(F.xxhash64("class"), F.col("tiles")).cast("int")).join(sets, "class")
+    met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
+        "team", F.least("tile", "other").alias("one"), F.greatest("tile", "other").alias("two"), "tile", "class", "component", "members")
+
+    def compare(part: pd.DataFrame) -> pd.DataFrame:
+        enter("")
+        x = [np.frombuffer(m, np.uint64) for m in part["members"]]
+        ids, size, first = part["class"].to_numpy(), np.array([len(m) for m in x]), (part["tile"] == part["one"]).to_numpy()
+        owner = np.repeat(np.arange(len(x)), size)
+        column = np.unique(np.concatenate(x), return_inverse=True)[1] if len(x) else owner
+        order = np.argsort(column, kind="stable")
+        column, owner = column[order], owner[order]
+        same = np.zeros((len(x), len(x)), dtype=np.float32)
+        at, width_ = 0, 4096
+        while at < len(column):
+            to = int(np.searchsorted(column, column[at] + width_))
+            grid = np.zeros((len(x), width_), dtype=np.float32)
+            grid[owner[at:to], column[at:to] - column[at]] = 1
+            same += grid @ grid.T
+            at = to
+        same = same.round().astype(np.int64)
+        linked = 100 * same >= percent * (size[:, None] + size[None, :] - same)
+        parent = {c: c for c in part["component"]}
+
+        def root(c):
+            while parent[c] != c:
+                parent[c] = c = parent[parent[c]]
+            return c
+
+        out, placed = [], part["component"].to_numpy()
+        for i, j in np.argwhere(np.triu(linked, 1)):
+            if part["one"].iat[0] != part["two"].iat[0] and first[i] == first[j]:
+                continue
+            r, t = root(placed[i]), root(placed[j])
+            if r != t:
+                parent[max(r, t)] = min(r, t)
+                out.append((ids[i], ids[j]))
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    return met.groupBy("team", "one", "two").applyInPandas(compare, "a long, b long")
+
+
 def join(docs: DataFrame, percent: int = 85, width: int = 4, lower: bool = True, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each document: key, n_shingles (size of its set), component_id (smallest key reachable by links, its own included)."""
     signed = signatures(docs, width, lower, key, text)
-    rows = signed.filter(F.col("block").isNull()).select("key", "n", "class")
+    rows = signed.filter(F.col("block").isNull()).select("key", "n", "class", "histogram")
     counts = merged(signed.filter(F.col("block").isNotNull()), "block", "counts")
     if counts is None:
         return rows.select(F.col("key").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("key").alias("component_id"))
-    classes = rows.filter(F.col("class").isNotNull()).groupBy("class").agg(F.min("key").alias("key"), F.min("n").alias("n"))
+    shapes = rows.filter(F.col("class").isNotNull()).select("class", "histogram").dropDuplicates(["class"])
+    classes = stored(rows.filter(F.col("class").isNotNull()).groupBy("class").agg(F.min("key").alias("key"), F.min("n").alias("n")).join(shapes, "class"), "classes")
     sizes = {r["n"]: r["count"] for r in classes.filter(F.col("n") < LARGEST_LIGHT).groupBy("n").count().collect()}
     rare = counts[counts <= np.quantile(counts, 0.9)].astype(np.float64)
     scan = max(2.0, 1 + float((rare ** 2).sum() / max(rare.sum(), 1) - rare.mean()))
     posted = postings(docs, counts, boundary(sizes, scan, percent), percent, width, lower, key, text)
-    shared = posted.groupBy("k").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low < high")
-    hits = stored(posted.join(shared.select("k", "low"), "k").distinct(), "hits")
-    near = hits.filter("class > low").select(F.col("low").alias("a"), F.col("class").alias("b")).distinct()
-    involved = stored(classes.join(hits.select("class").distinct(), "class", "left_semi").select("key", "class"), "involved")
-    sets = stored(_sets(docs, involved, width, lower, key, text), "sets")
-    links = stored(_verified(near, sets, percent), "links")
+    hits = stored(_shared(posted), "hits")
+    # first against the smallest class of about the same size under each key
+    bucket = F.floor(F.log("n") / math.log(100 / percent)).alias("bucket")
+    sized = hits.select("*", bucket)
+    lows = sized.groupBy("k", "bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low < high").select("k", "bucket", "low")
+    others = sized.join(lows, ["k", "bucket"])
+    low = others.filter(F.col("class") == F.col("low")).select("k", "bucket", F.col("n").alias("m"), F.col("i").alias("j"))
+    near = others.filter("class > low").join(low, ["k", "bucket"]).filter(_possible(percent)).select(F.col("low").alias("a"), F.col("class").alias("b")).distinct()
+    near = stored(near, "near")
+    links = stored(_verified(near, docs, classes, percent, width, lower, key, text), "links")
     label = components(links)
-    # what a key still holds of several components, and linkable sizes
-    placed = hits.select("k", "class", "n").join(label.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    mixed = placed.groupBy("k").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("k")
-    placed = stored(placed.join(mixed, "k", "left_semi"), "mixed")
-    one, two = (placed.select("k", *(F.col(c).alias(c + s) for c in ("class", "n", "component"))) for s in ("1", "2"))
-    across = one.join(two, "k").filter((F.col("class1") < F.col("class2")) & (F.col("component1") != F.col("component2"))
-                                       & (100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2")))
-    far = across.select(F.col("class1").alias("a"), F.col("class2").alias("b")).distinct().join(near, ["a", "b"], "left_anti")
-    more = stored(_verified(far, sets, percent), "links")
-    label = components(links.unionByName(more)) if more.limit(1).count() else label
-    named = stored(rows.join(label.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class")), "named")
+    # then, where a key still holds several components, all pairs across them
+    placed = hits.join(label.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    mixed = placed.groupBy("k").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("classes")).filter("x < y").select("k", "classes")
+    placed = stored(placed.join(mixed, "k").select("k", "class", "n", "i", "component", "classes"), "mixed")
+    dense = placed.filter(F.col("classes") > DENSE).select("k", "class", "component")
+    if dense.limit(1).count():
+        links = stored(links.unionByName(_tiled(dense, docs, classes, percent, width, lower, key, text)), "links")
+    placed = placed.filter(F.col("classes") <= DENSE)
+    other = placed.select("k", F.col("class").alias("second"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("component").alias("third"))
+    across = placed.join(other, "k").filter((F.col("class") < F.col("second")) & (F.col("component") != F.col("third")) & _possible(percent))
+    far = stored(across.select(F.col("class").alias("a"), F.col("second").alias("b")).distinct().join(near, ["a", "b"], "left_anti"), "far")
+    more = stored(_verified(far, docs, classes, percent, width, lower, key, text), "links")
+    label = components(links.unionByName(more))
+    named = stored(rows.drop("histogram").join(label.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class")), "named")
     smallest = named.filter(F.col("component").isNotNull()).groupBy("component").agg(F.min("key").alias("component_id"))
     return named.join(smallest, "component", "left").select(F.col("key").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id"))
 
 
 def representatives(docs: DataFrame, **options) -> DataFrame:
-    """The documents with the smallest id of their group; of rows that repeat that id, one.  The columns of ``docs``."""
+    """The documents with the smallest id of their group (rows that repeat it are the same document and stay).  The columns of ``docs``."""
     key = options.get("key", "doc_id")
     found = join(docs, **options)
     gone = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(key)).distinct()
