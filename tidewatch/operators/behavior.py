@@ -136,7 +136,7 @@ def department_resources_baseline(emp: DataFrame) -> DataFrame:
     n = emp.groupBy("department").agg(F.count("*").alias("_n"))
     long = emp.select("department", F.explode("resource_probabilities").alias("resource", "p"))
     return (long.groupBy("department", "resource").agg(F.sum("p").alias("_p"))
-            .join(F.broadcast(n), "department")  # one row per department, a fixed small set
+            .join(n, "department")
             .select("department", "resource", (F.col("_p") / F.col("_n")).alias("probability")))
 
 
@@ -160,7 +160,7 @@ def effective_baseline(numbered: DataFrame, emp: DataFrame, min_history: int = 3
     org = group_baseline(emp).select(F.struct("work_start", "work_end").alias("_o"))
     e = emp.select("employee_id", F.col("role").alias("_role"), F.col("department").alias("_dept"))
     out = (out.join(e, "employee_id", "left").join(role, "_role", "left")
-           .join(F.broadcast(dept), "_dept", "left").crossJoin(F.broadcast(org)))  # org is one row
+           .join(dept, "_dept", "left").crossJoin(F.broadcast(org)))  # org is one row
     own = F.col("n_before") >= min_history
     pick = F.coalesce("_r", "_d", "_o")
     return out.select(

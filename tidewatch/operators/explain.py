@@ -76,7 +76,7 @@ def global_importance(attr: DataFrame) -> DataFrame:
 def class_importance(attr: DataFrame, classes: list) -> DataFrame:
     """Mean |phi| per feature with one column per class, in global rank order."""
     wide = attr.groupBy("feature").pivot("class", classes).agg(F.avg(F.abs("phi")))
-    return wide.join(F.broadcast(global_importance(attr).select("feature", "rank")), "feature").orderBy("rank")
+    return wide.join(global_importance(attr).select("feature", "rank"), "feature").orderBy("rank")
 
 
 def importance_from_moments(df: DataFrame, classes: list, weights: list[list[float]], names: list[str],

@@ -110,11 +110,11 @@ def priority_action(steps: str = "immediate_containment") -> Column:
 def recommend(incidents: DataFrame, playbooks: DataFrame, impact: dict[str, str] | None = None) -> DataFrame:
     """Four-tier playbook, adjusted for severity, with priority action and impact.
 
-    The playbook table has one row per attack class, so it is broadcast.
+    The playbook table has one row per attack class.
     """
     impact = impact or texts.BUSINESS_IMPACT
     base = playbooks.where(F.col("attack_type") == "Normal").select(*[F.col(t).alias(f"_n_{t}") for t in TIERS])
-    out = (incidents.join(F.broadcast(playbooks.select("attack_type", *TIERS)), "attack_type", "left")
+    out = (incidents.join(playbooks.select("attack_type", *TIERS), "attack_type", "left")
            .crossJoin(F.broadcast(base)))
     out = out.withColumns({t: F.coalesce(t, f"_n_{t}") for t in TIERS}).drop(*[f"_n_{t}" for t in TIERS])
     imm, inv = F.col("immediate_containment"), F.col("investigation")

@@ -30,7 +30,7 @@ def score_curve(df: DataFrame, score: str, label: str, by=None, min_rows: int =
     d = od.done(od.running_sum(d, o, {"tp": "_p", "fp": "_n"}))
     tot = df.groupBy(*keys).agg(F.sum(F.col(label).cast("long")).alias("pos"),
                                 F.sum(1 - F.col(label).cast("long")).alias("neg"))
-    d = d.join(F.broadcast(tot), keys) if keys else d.crossJoin(F.broadcast(tot))  # one row per class
+    d = d.join(tot, keys) if keys else d.crossJoin(F.broadcast(tot))  # the one-row frame alone is hinted
     return d.select(*keys, "threshold", "tp", "fp", "pos", "neg",
                     (F.col("tp") - F.col("_p")).alias("ptp"), (F.col("fp") - F.col("_n")).alias("pfp"))
 
@@ -205,7 +205,7 @@ def histogram(df: DataFrame, column: str, bins: int, by: str | None = None, dens
         "right_edge", F.col("_lo") + (F.col("bin") + 1) * width)
     if density:
         tot = g.groupBy(*keys).agg(F.sum("n").alias("_t"))
-        out = (out.join(F.broadcast(tot), keys) if keys else out.crossJoin(F.broadcast(tot))).withColumn(
+        out = (out.join(tot, keys) if keys else out.crossJoin(F.broadcast(tot))).withColumn(
             "density", F.col("n") / (F.col("_t") * F.when(width > 0, width).otherwise(1.0))).drop("_t")
     return out.drop("_lo", "_hi")
 
