@@ -19,7 +19,7 @@ HEADLINE = {  # query -> input table whose rows give the rate
     "beh_window_deviations": "events", "beh_novelty": "events", "seq_padded": "events", "scl_features": "events",
     "rsk_rule": "events", "thr_f1": "lineitem", "met_roc_auc": "lineitem", "met_histogram": "lineitem", "spl_stratified": "events",
     "exp_attribution": "embeddings", "inc_recommend": "events", "cor_components": "events", "cor_campaigns": "events",
-    "dq_events": "events", "adp_internal": "events", "sco_reconstruct": "events", "cls_fit_predict": "embeddings",
+    "dq_events": "events", "adp_internal": "events", "sco_reconstruct": "events", "cls_fit_predict": "events",
     "inc_summaries": "events", "snk_events": "events", "str_sessions": "events",
 }
 

@@ -475,6 +475,7 @@ add("enc_vector", "rows", "SELECT session_id, total_events AS f0, 0::DOUBLE AS f
 # --- scoring, thresholds ----------------------------------------------------------------------------------------
 for _l, _e in {"mse": "x * x", "mae": "abs(x)", "huber": "CASE WHEN abs(x) < 1 THEN 0.5::DOUBLE * x * x ELSE abs(x) - 0.5::DOUBLE END"}.items():
     add(f"sco_masked_{_l}", "z", f"SELECT session_id, round(sum({_e}) / greatest(count(*), 1), 5) AS reconstruction_error FROM z GROUP BY 1")
+add("sco_all_components", "rows", "SELECT session_id, 0::DOUBLE AS reconstruction_error FROM rows")
 add("sco_minmax", "rows", "SELECT session_id, round((e - min(e) OVER ()) / greatest(max(e) OVER () - min(e) OVER (), 1e-9), 6) AS anomaly_score FROM (SELECT session_id, duration_seconds / 1000 AS e FROM rows)")
 add("sco_calibrated", "rows", "SELECT session_id, round(least(1, greatest(0, (duration_seconds / 1000 - 1) / 29)), 6) AS score, CASE WHEN duration_seconds / 1000 > 20 THEN 1 ELSE 0 END::DOUBLE AS degenerate FROM rows")
 add("sco_flag", "rows", "SELECT session_id, (duration_seconds / 1000 > 20)::BIGINT AS predicted_label, CASE WHEN duration_seconds / 1000 > 20 THEN 'Anomalous' ELSE 'Normal' END AS prediction FROM rows")

@@ -675,11 +675,19 @@ for _loss in ("mse", "mae", "huber"):
 
 @query
 def sco_reconstruct(s, d):
-    v = sequences.event_vectors(_events(s, d))
-    stats = sequences.fit_step_scaler(v)
-    x = v.select("session_id", "step", sequences.scale_vector("vec", stats).alias("x"))
-    err = scoring.masked_error(scoring.reconstruct(x, scoring.fit_reconstructor(x, 8)))
-    return scoring.minmax_score(err).select("session_id", r("reconstruction_error"), r("anomaly_score"))
+    """Scaler and model fitted on the normal training sessions, all sessions scored."""
+    from tidewatch.plans.pipeline import score_sessions
+
+    return score_sessions(_events(s, d), _rows(s, d)).select("session_id", r("reconstruction_error"), r("anomaly_score"))
+
+
+@query
+def sco_all_components(s, d):
+    """With as many components as dimensions nothing is lost."""
+    v = sequences.event_vectors(_events(s, d)).where(F.col("step") < sequences.MAX_LEN)
+    x = v.select("session_id", "step", sequences.scale_vector("vec", sequences.fit_step_scaler(v)).alias("x"))
+    err = scoring.masked_error(scoring.reconstruct(x, scoring.fit_reconstructor(x, 21)))
+    return err.select("session_id", F.abs(F.round("reconstruction_error", 5)).alias("reconstruction_error"))
 
 
 def _errors(s, d):
@@ -874,9 +882,13 @@ def _model_rows(s, d):
 
 @query
 def cls_fit_predict(s, d):
+    """Fitted on the training split, applied to the others."""
     data = _model_rows(s, d)
-    model = classify.fit_classifier(data, EVENT_FEATURES, kind="forest", params={"numTrees": 20})
-    return classify.prediction_table(classify.apply_model(data, model, EVENT_FEATURES))
+    split = checkpointed(sequences.stratified_split(data.select("session_id", "attack_type"), "attack_type").select("session_id", "split"))
+    train = data.join(split.where("split = 'train'"), "session_id", "left_semi")
+    model = classify.fit_classifier(train, EVENT_FEATURES, kind="forest", params={"numTrees": 20})
+    rest = data.join(split.where("split != 'train'"), "session_id", "left_semi")
+    return classify.prediction_table(classify.apply_model(rest, model, EVENT_FEATURES))
 
 
 @query
