@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch import dims
+from tidewatch import dims, texts
 from tidewatch.operators import adapt, campaigns, classify, explain, features, incidents, quality, sequences
 from tidewatch.plans import queries as q
 from tidewatch.sources import demo_tables as demo
@@ -105,7 +105,7 @@ def test_playbook_file(spark, tmp_path):
                                 "session_id string, attack_type string, severity string, positive_contributors array<struct<feature:string>>")
     got = {r["session_id"]: r for r in incidents.recommend(inc, pb).collect()}
     assert got["s"]["immediate_containment"][0] == incidents.ISOLATE and len(got["s"]["immediate_containment"]) == 3
-    assert got["s"]["priority_action"].startswith("Block outbound") and got["t"]["recovery"] == ["Normal recovery"]
+    assert got["s"]["priority_action"] == texts.ACTION["outgoing"] and got["t"]["recovery"] == ["Normal recovery"]
 
 
 def test_models(spark, tmp_path, vector):
