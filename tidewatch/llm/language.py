@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import M64, MIX, long_batches, mix
+from .common import KEPT, M64, MIX, enter, long_batches, mix
 
 DIMENSIONS = 1024
 #: Labelled documents that the prototypes are bundled from, at most (those with the smallest id hashes).
@@ -45,6 +45,7 @@ class _Letters:
 
 
 _LETTERS: dict[int, _Letters] = {}
+KEPT["language"] = _LETTERS.clear
 
 
 def _letters(dimensions: int) -> _Letters:
@@ -89,6 +90,7 @@ def bundles(texts: list[str | None], dimensions: int = DIMENSIONS) -> np.ndarray
 
 def _slices(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
     """Slices of about 128 KB of text, with the bundles of their texts and their lengths as vectors."""
+    enter("language")
     for whole in batches:
         for b in long_batches(whole, whole.schema.names[text], 128 << 10):
             v = bundles(b.column(text).to_pylist())

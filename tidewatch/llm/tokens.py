@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import long_batches, partitions, stored
+from .common import KEPT, enter, long_batches, partitions, stored
 
 END_ID = 1
 #: Words kept with their ids in a Python worker; beyond that the store starts anew (this bounds memory, not the result).
@@ -42,7 +42,7 @@ class WordCoder:
         self.model = self.tokenizer.model
         mark = self.tokenizer.pre_tokenizer.pre_tokenize_str
         self.letters = {ord(c): "".join(x for x, _ in mark(c)) for c in (chr(i) for i in range(33, 256)) if _PLAIN.fullmatch(c)}
-        self.words: dict[str, bytes] = {}
+        self.words: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
     def _piece(self, piece: str) -> bytes:
@@ -54,28 +54,30 @@ class WordCoder:
             self.pieces[piece] = found
         return found
 
-    def learn(self, words: set[str]) -> None:
+    def learn(self, words: set[bytes]) -> None:
         if len(self.words) + len(words) > CACHED_WORDS:
             self.words = {w: self.words[w] for w in words if w in self.words}
         odd = []
-        for w in words:
-            if w in self.words:
-                continue
+        for raw in words.difference(self.words):
+            w = raw.decode("utf-8", "surrogatepass")
             if _PLAIN.fullmatch(w) and "<|" not in w:
-                self.words[w] = b"".join(map(self._piece, _PIECES.findall(w.lower())))
+                self.words[raw] = b"".join(map(self._piece, _PIECES.findall(w.lower())))
             else:
-                odd.append(w)
-        for w, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)) if odd else ():
+                odd.append(raw)
+        texts = [w.decode("utf-8", "surrogatepass") for w in odd]
+        for w, e in zip(odd, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)) if odd else ():
             self.words[w] = np.array(e.ids, dtype="<u4").tobytes()
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        split = [re.split(r"[ \t-\r]+", t) if t else [] for t in texts]
+        # bytes.split cuts at ASCII white space only
+        split = [t.encode("utf-8", "surrogatepass").split() if t else [] for t in texts]
         self.learn(set().union(*split))
         get = self.words.__getitem__
         return [np.frombuffer(b"".join(map(get, w)), dtype="<u4") for w in split]
 
 
 _CODERS: dict[str, WordCoder] = {}
+KEPT["tokens"] = _CODERS.clear
 
 
 def coder(path: str) -> WordCoder:
@@ -129,6 +131,7 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
 def tokenize(docs: DataFrame, path: str, end_id: int = END_ID, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_tokens, ids): little-endian ids of each whole text with the end id; a null text counts as empty.  Other columns are left out."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("tokens")
         tail, code = np.array([end_id], dtype="<u4"), coder(path)
         narrow = code.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16
         for whole in batches:
