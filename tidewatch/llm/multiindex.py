@@ -5,7 +5,8 @@ walks the pairs in the order of the summed squared distances with a heap, until
 their exact Euclidean distance in double precision.
 
 Equal vectors are one entry with their smallest ids (one more than neighbours asked for), so a vector that very many rows share costs one comparison.
-Entries of a full cell are dealt over blocks of bounded size, as are the queries that visit it.
+Neighbouring cells share a shelf of bounded size, where a query's nearest entries of all its cells are found at once; a cell that is larger is dealt over
+parts, and the queries that visit a shelf over teams.
 
 Vectors that are null, zero, or hold null or non-finite components take no part, nor do those of another length than the most frequent.  Ties go to the smaller id.
 Rows that repeat an id and vector are one; an id with several vectors is found by each of them.
@@ -74,6 +75,16 @@ def walk(first: np.ndarray, second: np.ndarray, counts: np.ndarray, want: int) -
     return out
 
 
+def shelves(counts: np.ndarray) -> np.ndarray:
+    """A shelf for each cell: neighbouring cells with about BLOCK entries together; cells of more than BLOCK entries stand alone."""
+    out, shelf, held = np.zeros(len(counts), dtype=np.int64), 0, 0
+    for c, n in enumerate(counts.tolist()):
+        if held and held + n > BLOCK:
+            shelf, held = shelf + 1, 0
+        out[c], held = shelf, held + n
+    return out
+
+
 def vectors(rows: DataFrame, key: str, column: str) -> DataFrame:
     """(id, size, raw): valid vectors as little-endian doubles."""
     v = F.col(column).cast("array<double>")
@@ -119,46 +130,52 @@ def search(rows: DataFrame, queries: DataFrame, neighbours: int = 10, candidates
     counts = np.zeros(len(books[0]) * len(books[1]), dtype=np.int64)
     for r in index.groupBy("cell").count().collect():
         counts[r["cell"]] = r["count"]
-    blocks = spark.sparkContext.broadcast((counts, -(-counts // BLOCK)))
+    blocks = spark.sparkContext.broadcast((counts, -(-counts // BLOCK), shelves(counts)))
     split = max(1, math.ceil(asked.count() * min(1, candidates / total) / BLOCK))
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two = sent.value
-        held, parts = blocks.value
+        held, parts, shelf = blocks.value
         for b in batches:
             raws = b.column(1).to_pylist()
             x = np.frombuffer(b"".join(raws), "<f8").reshape(-1, width)
             first, second = (_squares(x[:, :half], one), _squares(x[:, half:], two)) if len(x) else ((), ())
             for i, (q, raw) in enumerate(zip(b.column(0).to_pylist(), raws)):
-                cells = [(c, p) for c in walk(first[i], second[i], held, candidates) for p in range(parts[c])]
-                yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in cells], pa.int32()), pa.array([p for _, p in cells], pa.int32()), pa.array([q % split] * len(cells), pa.int32()),
-                                                  pa.array([q] * len(cells), pa.int64()), pa.array([raw] * len(cells), pa.binary())], ["cell", "part", "team", "query_id", "raw"])
+                on: dict[tuple[int, int], list[int]] = {}
+                for c in walk(first[i], second[i], held, candidates):
+                    for p in range(parts[c]):
+                        on.setdefault((int(shelf[c]), p), []).append(c)
+                n = len(on)
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in on], pa.int32()), pa.array([p for _, p in on], pa.int32()), pa.array([q % split] * n, pa.int32()),
+                                                  pa.array([q] * n, pa.int64()), pa.array([raw] * n, pa.binary()), pa.array(list(on.values()), pa.list_(pa.int32()))],
+                                                 ["shelf", "part", "team", "query_id", "raw", "cells"])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = blocks.value[1]
+        _, parts, shelf = blocks.value
         for b in batches:
             cell, h = b.column(2).to_numpy(), b.column(3).to_numpy()
             part = (h & 0x7FFFFFFF) % parts[cell]
             n, team = len(cell), np.tile(np.arange(split), len(cell))
             back = pa.array(np.repeat(np.arange(n), split))
-            yield pa.RecordBatch.from_arrays([b.column(2).take(back), pa.array(np.repeat(part, split), pa.int32()), pa.array(team, pa.int32()), b.column(0).take(back), b.column(1).take(back)],
-                                             ["cell", "part", "team", "raw", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(shelf[cell], split), pa.int32()), pa.array(np.repeat(part, split), pa.int32()), pa.array(team, pa.int32()),
+                                              b.column(0).take(back), b.column(1).take(back), b.column(2).take(back)], ["shelf", "part", "team", "raw", "ids", "cell"])
 
     def rank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(left) and len(right):
-            v = np.frombuffer(b"".join(right["raw"]), "<f8").reshape(-1, width)
-            for q, raw in zip(left["query_id"], left["raw"]):
-                d = np.sqrt(((v - np.frombuffer(raw, "<f8")) ** 2).sum(1))
+            every, ids, cell = np.frombuffer(b"".join(right["raw"]), "<f8").reshape(-1, width), right["ids"].to_numpy(), right["cell"].to_numpy()
+            for q, raw, cells in zip(left["query_id"], left["raw"], left["cells"]):
+                mine = np.flatnonzero(np.isin(cell, cells))
+                d = np.sqrt(((every[mine] - np.frombuffer(raw, "<f8")) ** 2).sum(1))
                 top = neighbours + 1
                 near = np.flatnonzero(d <= np.partition(d, top - 1)[top - 1]) if len(d) > top else range(len(d))
-                found = sorted((d[i], x) for i in near for x in right["ids"].iat[i] if x != q)[:neighbours]
+                found = sorted((d[i], x) for i in near for x in ids[mine[i]] if x != q)[:neighbours]
                 out += [(q, x, s) for s, x in found]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
-    placed = index.select("raw", "ids", "cell", F.xxhash64("raw").alias("h")).mapInArrow(deal, "cell int, part int, team int, raw binary, ids array<long>")
-    visited = asked.select("id", "raw").distinct().mapInArrow(visits, "cell int, part int, team int, query_id long, raw binary")
-    by = ["cell", "part", "team"]
+    placed = index.select("raw", "ids", "cell", F.xxhash64("raw").alias("h")).mapInArrow(deal, "shelf int, part int, team int, raw binary, ids array<long>, cell int")
+    visited = asked.select("id", "raw").distinct().mapInArrow(visits, "shelf int, part int, team int, query_id long, raw binary, cells array<int>")
+    by = ["shelf", "part", "team"]
     found = visited.groupBy(*by).cogroup(placed.groupBy(*by)).applyInPandas(rank, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= neighbours).select("query_id", "rank", "vec_id", "score")
