@@ -98,7 +98,8 @@ def interleave(docs: DataFrame, weights: dict[str, float] | None = None, power:
     short = sorted((_slots(p, s, np.array([blocks[s] - 1]))[0], blocks[s] * block - sizes[s]) for s, (_, p) in last.items())
     sent = spark.sparkContext.broadcast((phases, np.array([x for x, _ in short], dtype=np.int64), np.array([0, *np.cumsum([m for _, m in short])], dtype=np.int64)))
 
-    slices = 1 << max(0, (max(sizes.values(), default=0) // SLICE).bit_length())
+    # hashes are even, so the slices of a hot source are as well; at least as many as there are tasks
+    slices = 1 << max(max(sizes.values(), default=0) // SLICE, partitions(spark) - 1).bit_length()
     cut = F.pmod(F.shiftright("_hash", 40), F.lit(slices)).cast("int")
     counted = keyed.groupBy("_source", cut.alias("_cut")).agg(F.count(F.lit(1)).alias("_n"))
     before = counted.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy("_source").orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
