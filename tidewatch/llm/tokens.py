@@ -23,7 +23,7 @@ from .common import KEPT, enter, long_batches, partitions, stored
 
 END_ID = 1
 #: Words kept with their ids in a Python worker; beyond that the store starts anew (this bounds memory, not the result).
-CACHED_WORDS = 400_000
+CACHED_WORDS = 900_000
 #: Characters that neither normalising nor splitting treats specially beyond lower case: printable ASCII and Latin letters with accents.
 _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 _PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
