@@ -62,3 +62,12 @@ def test_few_and_no_vectors(spark):
     assert found(spark, two) == brute(two)
     assert found(spark, [(0, None, "", 1)]) == set()
     assert found(spark, [(0, [1.0] * 6, "", 1)]) == set()
+
+
+def test_walks_grow_with_the_table(spark):
+    r = np.random.default_rng(11)
+    rows = [(i, r.normal(size=6).astype(np.float32).tolist(), "x", 1) for i in range(6_000)]
+    got, want = found(spark, rows, candidates=60), brute(rows)
+    assert len({x[::2] for x in got} & {x[::2] for x in want}) >= 0.9 * len(want)
+    few, recall = found(spark, rows, candidates=60, recall=0.01), 0.9 * len(want)
+    assert len({x[::2] for x in few} & {x[::2] for x in want}) < recall

@@ -1,8 +1,9 @@
 """Approximate nearest neighbours with an inverted multi-index.
 
 Vectors are cut into two halves, each with its own k-means centroids (fitted on a bounded sample); a vector's cell is its pair of nearest centroids.  A query
-walks the pairs in the order of the summed squared distances with a heap, until their cells hold ``CANDIDATES`` vectors, and the vectors there are ranked by
-their exact Euclidean distance in double precision.
+walks the pairs in the order of the summed squared distances with a heap, until their cells hold the wanted number of vectors, and the vectors there are ranked by
+their exact Euclidean distance in double precision.  That number follows the table: a fixed-size set of the queries is compared with all entries, block by block, and
+the walk is made as long as it takes to reach ``RECALL`` of their true neighbours, and ``CANDIDATES`` at least.
 
 Equal vectors are one entry with their smallest ids (one more than neighbours asked for), so a vector that very many rows share costs one comparison.
 Neighbouring cells share a shelf of bounded size, where a query's nearest entries of all its cells are found at once; a cell that is larger is dealt over
@@ -30,6 +31,8 @@ from .common import stored
 SAMPLE, CELL, CENTROIDS = 20_000, 48, 1_024
 #: Entries that a query looks at, at least (whole cells).
 CANDIDATES = 26_000
+#: The recall that the walks' length is measured for (0.9 is wanted; the rest is a margin for the sample), and queries it is measured with at most (smallest hashes).
+RECALL, PROBES = 0.94, 256
 BLOCK = 4_096
 ROUNDS = 12
 
@@ -98,8 +101,57 @@ def vectors(rows: DataFrame, key: str, column: str) -> DataFrame:
     return rows.select(F.col(key).cast("long").alias("id"), v.alias("v")).filter(ok).mapInArrow(run, "id long, size int, raw binary")
 
 
-def search(rows: DataFrame, queries: DataFrame, neighbours: int = 10, candidates: int = CANDIDATES, key: str = "vec_id", column: str = "embedding") -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: the nearest ``neighbours`` of each query among all other rows.  ``queries``: rows of the same columns."""
+def needed(index: DataFrame, probes: list[tuple[int, bytes]], books: tuple[np.ndarray, np.ndarray], counts: np.ndarray, neighbours: int, recall: float) -> int:
+    """Entries that a walk must want so that it comes to ``recall`` of the probes' true neighbours.
+
+    Each task keeps the nearest entries of every probe; a neighbour at cell c is found by a walk that wants more entries than the cells before c hold.  One
+    number for each probe and neighbour reaches the driver.
+    """
+    spark = index.sparkSession
+    asked, top = np.stack([np.frombuffer(raw, "<f8") for _, raw in probes]), neighbours + 1
+    half = books[0].shape[1]
+    sent = spark.sparkContext.broadcast((asked, [q for q, _ in probes], books, counts))
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x = sent.value[0]
+        best, cells, ids = np.zeros((len(x), 0)), np.zeros((len(x), 0), np.int32), np.zeros((len(x), 0), object)
+        for b in batches:
+            for lo in range(0, len(b), BLOCK):
+                part = b.slice(lo, BLOCK)
+                n, own = len(part), np.frombuffer(b"".join(part.column(0).to_pylist()), "<f8").reshape(-1, x.shape[1])
+                names = np.empty(n, object)
+                names[:] = part.column(1).to_pylist()
+                best = np.concatenate([best, _squares(x, own)], axis=1)
+                cells, ids = (np.concatenate([old, np.broadcast_to(new, (len(x), n))], axis=1) for old, new in ((cells, part.column(2).to_numpy()), (ids, names)))
+                if best.shape[1] > top:
+                    at = np.argpartition(best, top - 1, axis=1)[:, :top]
+                    best, cells, ids = (np.take_along_axis(y, at, axis=1) for y in (best, cells, ids))
+        out = [(i, v, d, c) for i, q in enumerate(sent.value[1]) for d, c, own in zip(best[i].tolist(), cells[i].tolist(), ids[i]) for v in own if v != q]
+        yield pa.RecordBatch.from_pylist([dict(zip(("probe", "vec_id", "score", "cell"), o)) for o in out],
+                                         pa.schema([("probe", pa.int32()), ("vec_id", pa.int64()), ("score", pa.float64()), ("cell", pa.int32())]))
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x, _, (one, two), n = sent.value
+        for b in batches:
+            want = []
+            for i, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                sums = (_squares(x[i:i + 1, :half], one)[0][:, None] + _squares(x[i:i + 1, half:], two)[0]).ravel()
+                want.append(int(n[sums <= sums[c]].sum() - n[c]) + 1)
+            yield pa.RecordBatch.from_arrays([pa.array(want, pa.int64())], ["want"])
+
+    found = index.select("raw", "ids", "cell").mapInArrow(nearest, "probe int, vec_id long, score double, cell int")
+    once = found.groupBy("probe", "vec_id").agg(F.min(F.struct("score", "cell")).alias("m")).select("probe", "vec_id", "m.*")
+    best = Window.partitionBy("probe").orderBy("score", "vec_id")
+    true = once.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= neighbours)
+    wants = sorted(r["want"] for r in true.select("probe", "cell").mapInArrow(held, "want long").collect())
+    return wants[math.ceil(recall * len(wants)) - 1] if wants else 1
+
+
+def search(rows: DataFrame, queries: DataFrame, neighbours: int = 10, candidates: int = CANDIDATES, key: str = "vec_id", column: str = "embedding", recall: float = RECALL) -> DataFrame:
+    """query_id, rank (from 1), vec_id, score: the nearest ``neighbours`` of each query among all other rows.  ``queries``: rows of the same columns.
+
+    A walk wants ``candidates`` entries, or as many more as a sample of the queries needs for ``recall``.
+    """
     spark = rows.sparkSession
     every = stored(vectors(rows, key, column), "vectors")
     asked = vectors(queries, key, column)
@@ -130,6 +182,9 @@ def search(rows: DataFrame, queries: DataFrame, neighbours: int = 10, candidates
     counts = np.zeros(len(books[0]) * len(books[1]), dtype=np.int64)
     for r in index.groupBy("cell").count().collect():
         counts[r["cell"]] = r["count"]
+    if candidates < total:
+        probes = asked.select("id", "raw").distinct().orderBy(F.xxhash64("id", "raw"), "id", "raw").limit(PROBES).collect()
+        candidates = max(candidates, needed(index, [(r["id"], r["raw"]) for r in probes], books, counts, neighbours, recall)) if probes else candidates
     blocks = spark.sparkContext.broadcast((counts, -(-counts // BLOCK), shelves(counts)))
     split = max(1, math.ceil(asked.count() * min(1, candidates / total) / BLOCK))
 
