@@ -71,3 +71,11 @@ def test_walks_grow_with_the_table(spark):
     assert len({x[::2] for x in got} & {x[::2] for x in want}) >= 0.9 * len(want)
     few, recall = found(spark, rows, candidates=60, recall=0.01), 0.9 * len(want)
     assert len({x[::2] for x in few} & {x[::2] for x in want}) < recall
+
+
+def test_repeated_rows_push_nothing_out(spark):
+    for times in (2, 12):
+        assert found(spark, data() * times) == brute(data())
+    r = np.random.default_rng(4)
+    near = [(7, np.round(r.normal(size=6) / 100 + 1, 3).astype(np.float32).tolist(), "x", 1) for _ in range(40)]
+    assert found(spark, data() + near + [(5000, [1.0] * 6, "x", 1)]) == brute(data() + near + [(5000, [1.0] * 6, "x", 1)])

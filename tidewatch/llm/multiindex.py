@@ -162,7 +162,7 @@ def search(rows: DataFrame, queries: DataFrame, neighbours: int = 10, candidates
     width = common["size"]
     every, asked = every.filter(F.col("size") == width), asked.filter(F.col("size") == width)
     own = Window.partitionBy("raw").orderBy("id")
-    few = every.select("id", "raw").withColumn("r", F.row_number().over(own)).filter(F.col("r") <= neighbours + 1)
+    few = every.select("id", "raw").distinct().withColumn("r", F.row_number().over(own)).filter(F.col("r") <= neighbours + 1)
     entries = stored(few.groupBy("raw").agg(F.array_sort(F.collect_list("id")).alias("ids")), "entries")
     total = entries.count()
     sample = np.stack([np.frombuffer(r["raw"], "<f8") for r in entries.select("raw").orderBy(F.xxhash64("raw"), "raw").limit(SAMPLE).collect()])
@@ -223,9 +223,15 @@ def search(rows: DataFrame, queries: DataFrame, neighbours: int = 10, candidates
                 mine = np.flatnonzero(np.isin(cell, cells))
                 d = np.sqrt(((every[mine] - np.frombuffer(raw, "<f8")) ** 2).sum(1))
                 top = neighbours + 1
-                near = np.flatnonzero(d <= np.partition(d, top - 1)[top - 1]) if len(d) > top else range(len(d))
-                found = sorted((d[i], x) for i in near for x in ids[mine[i]] if x != q)[:neighbours]
-                out += [(q, x, s) for s, x in found]
+                while True:
+                    near = np.flatnonzero(d <= np.partition(d, top - 1)[top - 1]) if len(d) > top else range(len(d))
+                    once: dict[int, float] = {}
+                    for s, x in sorted((d[i], x) for i in near for x in ids[mine[i]] if x != q):
+                        once.setdefault(x, s)
+                    if len(once) >= neighbours or len(near) == len(d):
+                        break
+                    top *= 4  # the nearest entries belong to too few ids
+                out += [(q, x, s) for x, s in list(once.items())[:neighbours]]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
     placed = index.select("raw", "ids", "cell", F.xxhash64("raw").alias("h")).mapInArrow(deal, "shelf int, part int, team int, raw binary, ids array<long>, cell int")
