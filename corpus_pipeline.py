@@ -1,7 +1,7 @@
 """A corpus from raw documents: languages, near copies, leaks, mixing, tokens.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again before the next.  All but the last
-return the columns of ``documents``.
+return the columns of ``documents``.  The order in which mixing writes its rows is that of its part files and the rows in them; the token files follow it.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewatch.llm import jaccard, language, leaks, mixing, tokens
-from tidewatch.llm.common import stored, table
+from tidewatch.llm.common import in_file_order, stored, table
 from tidewatch.llm.queries import vocabulary
 
 
@@ -34,8 +34,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files; doc_id, start, n_tokens and checksum of each document as read back."""
-    return tokens.digest(docs, vocabulary())
+    """Token files in the order of the mix, as its files have it; doc_id, start, n_tokens and checksum of each document as read back."""
+    return tokens.digest(in_file_order(docs, "_place"), vocabulary(), order_by="_place")
 
 
 STAGES = [

@@ -10,7 +10,8 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 M64 = (1 << 64) - 1
 #: Fixed odd multipliers for mixing 64-bit words (the splitmix64 finaliser).
@@ -44,6 +45,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def in_file_order(docs: DataFrame, name: str) -> DataFrame:
+    """Adds a column ``name`` (long) that ascends with the rows of a table read from Spark's part files: by part number, file name and row in the file.
+
+    A writer's partitions become parts in their order, so rows keep the order they were written in.  One row for each file is numbered.
+    """
+    whole = docs.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    part = F.coalesce(F.regexp_extract("file", r"part-(\d+)", 1).try_cast("long"), F.lit(0))
+    files = docs.select(F.col("_metadata.file_name").alias("file")).distinct()
+    numbered = files.select("file", (F.row_number().over(Window.orderBy(part, "file")) - 1).cast("long").alias("_part"))
+    return whole.join(F.broadcast(numbered), F.col("_file") == F.col("file")).withColumn(name, F.shiftleft("_part", 40) + F.col("_row")).drop("_file", "_row", "file", "_part")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -128,8 +128,9 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 # ---------------------------------------------------------------- the jobs
 
-def tokenize(docs: DataFrame, path: str, end_id: int = END_ID, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_tokens, ids): little-endian ids of each whole text with the end id; a null text counts as empty.  Other columns are left out."""
+def tokenize(docs: DataFrame, path: str, end_id: int = END_ID, key: str = "doc_id", text: str = "text", order: str | None = None) -> DataFrame:
+    """(key, n_tokens, ids): little-endian ids of each whole text with the end id; a null text counts as empty.  Other columns are left out, but for
+    ``order`` (long), as ``place``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("tokens")
         tail, code = np.array([end_id], dtype="<u4"), coder(path)
@@ -138,10 +139,11 @@ def tokenize(docs: DataFrame, path: str, end_id: int = END_ID, key: str = "doc_i
             for b in long_batches(whole, "text"):
                 ids = [np.append(x, tail).astype("<u2" if narrow else "<u4") for x in code.encode(b.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([len(x) * 0 + x.itemsize for x in ids], pa.int32()),
-                                                  pa.array([x.tobytes() for x in ids], pa.binary())], ["key", "n_tokens", "width", "ids"])
+                                                  pa.array([x.tobytes() for x in ids], pa.binary()), *b.columns[2:]], ["key", "n_tokens", "width", "ids", *b.schema.names[2:]])
 
-    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(
-        run, "key long, n_tokens long, width int, ids binary")
+    place = [F.col(order).cast("long").alias("place")] if order else []
+    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"), *place).mapInArrow(
+        run, "key long, n_tokens long, width int, ids binary" + ", place long" * len(place))
 
 
 def ranks(tokens: DataFrame, floor: tuple[int, ...] = (END_ID,)) -> list[int]:
@@ -163,23 +165,26 @@ def ranks(tokens: DataFrame, floor: tuple[int, ...] = (END_ID,)) -> list[int]:
 
 @dataclass
 class TokenFiles:
-    """``documents``: bucket, key, n_tokens, control, data; buckets and the keys in them ascend.  ``order``: the id of each rank."""
+    """``documents``: bucket, key, n_tokens, control, data, and place where an order was given; buckets and the keys (or places) in them ascend.
+    ``order``: the id of each rank."""
 
     documents: DataFrame
     order: list[int]
 
 
-def write_files(docs: DataFrame, path: str, end_id: int = END_ID, key: str = "doc_id", text: str = "text") -> TokenFiles:
-    """Tokenizes all documents once, ranks the ids by their counts over all of them, and writes the coded documents in ascending key order.
+def write_files(docs: DataFrame, path: str, end_id: int = END_ID, key: str = "doc_id", text: str = "text", order_by: str | None = None) -> TokenFiles:
+    """Tokenizes all documents once, ranks the ids by their counts over all of them, and writes the coded documents in ascending order of the key, or
+    of the column ``order_by`` (long).
 
-    One shuffle, of coded bytes.  Buckets are quantile ranges of the key (null keys: the first bucket, first in it); a bucket is a folder with one
+    One shuffle, of coded bytes.  Buckets are quantile ranges of the key or that column (null keys: the first bucket, first in it); a bucket is a folder with one
     sorted file.  Rows that repeat a key stay, next to each other.  No rows: empty files.
     """
     spark = docs.sparkSession
-    tokens = stored(tokenize(docs, path, end_id, key, text), "ids")
+    tokens = stored(tokenize(docs, path, end_id, key, text, order_by), "ids")
+    by, more = ("place", ["place"]) if order_by else ("key", [])
     order = ranks(tokens, (end_id,))
     n = partitions(spark)
-    cuts = tokens.agg(F.percentile_approx("key", [i / n for i in range(1, n)] or [0.5], 10_000).alias("q")).first()["q"] or []
+    cuts = tokens.agg(F.percentile_approx(by, [i / n for i in range(1, n)] or [0.5], 10_000).alias("q")).first()["q"] or []
     cuts = np.array(sorted(set(cuts)), dtype=np.int64) if n > 1 else np.zeros(0, np.int64)
     place = np.zeros(max(order) + 1, dtype=np.uint32)
     place[order] = np.arange(len(order))
@@ -189,20 +194,20 @@ def write_files(docs: DataFrame, path: str, end_id: int = END_ID, key: str = "do
         for whole in batches:
             for b in long_batches(whole, "ids"):
                 out = [pack(sent.value[np.frombuffer(x.as_buffer(), dtype=f"<u{w}")]) for w, x in zip(b.column(2).to_pylist(), b.column(3))]
-                keys = b.column(0)
-                bucket = np.searchsorted(cuts, keys.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), side="right")
-                yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), keys, b.column(1), pa.array([c for c, _ in out], pa.binary()),
-                                                  pa.array([d for _, d in out], pa.binary())], ["bucket", "key", "n_tokens", "control", "data"])
+                bucket = np.searchsorted(cuts, b.column(by).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), side="right")
+                yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), b.column(0), b.column(1), pa.array([c for c, _ in out], pa.binary()),
+                                                  pa.array([d for _, d in out], pa.binary()), *b.columns[4:]], ["bucket", "key", "n_tokens", "control", "data", *more])
 
-    coded = tokens.select("key", "n_tokens", "width", "ids").mapInArrow(run, "bucket int, key long, n_tokens long, control binary, data binary")
-    files = coded.repartition(n, "bucket").sortWithinPartitions("bucket", F.col("key").asc_nulls_first())
+    coded = tokens.select("key", "n_tokens", "width", "ids", *more).mapInArrow(run, "bucket int, key long, n_tokens long, control binary, data binary" + ", place long" * len(more))
+    files = coded.repartition(n, "bucket").sortWithinPartitions("bucket", F.col(by).asc_nulls_first())
     return TokenFiles(stored(files, "tokens", "bucket"), order)
 
 
 def read_files(files: TokenFiles, with_ids: bool = False) -> DataFrame:
-    """Decodes the files: bucket, key, n_tokens, ids_crc32, and the ids themselves (array of int) if asked for."""
+    """Decodes the files: bucket, key, n_tokens, ids_crc32, the ids themselves (array of int) if asked for, and place where the files have it."""
     spark = files.documents.sparkSession
     sent = spark.sparkContext.broadcast(np.array(files.order, dtype="<u4"))
+    more = [c for c in files.documents.columns if c == "place"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -212,24 +217,24 @@ def read_files(files: TokenFiles, with_ids: bool = False) -> DataFrame:
                     ids = sent.value[unpack(c.as_py(), d.as_py(), n)]
                     crc.append(zlib.crc32(ids.tobytes()))
                     lists.append(ids.astype(np.int32) if with_ids else None)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(crc, pa.int64()), pa.array(lists, pa.list_(pa.int32()))],
-                                                 ["bucket", "key", "n_tokens", "ids_crc32", "ids"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(crc, pa.int64()), pa.array(lists, pa.list_(pa.int32())), *b.columns[5:]],
+                                                 ["bucket", "key", "n_tokens", "ids_crc32", "ids", *more])
 
-    got = files.documents.select("bucket", "key", "n_tokens", "control", "data").mapInArrow(
-        run, "bucket int, key long, n_tokens long, ids_crc32 long, ids array<int>")
+    got = files.documents.select("bucket", "key", "n_tokens", "control", "data", *more).mapInArrow(
+        run, "bucket int, key long, n_tokens long, ids_crc32 long, ids array<int>" + ", place long" * len(more))
     return got if with_ids else got.drop("ids")
 
 
 def starts(read: DataFrame) -> DataFrame:
-    """Adds ``start``: ids of all rows before, in (bucket, key) order.  A running sum in each bucket and an offset from the bucket totals
+    """Adds ``start``: ids of all rows before, in (bucket, key) order, or (bucket, place) where there is one.  A running sum in each bucket and an offset from the bucket totals
     (one row for each bucket); nulls first, repeated keys in the order of their checksum."""
     per = read.groupBy("bucket").agg(F.sum("n_tokens").alias("total"))
     before = per.select("bucket", F.coalesce(F.sum("total").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    own = Window.partitionBy("bucket").orderBy(F.col("key").asc_nulls_first(), "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
+    own = Window.partitionBy("bucket").orderBy(*([F.col("place").asc_nulls_first()] if "place" in read.columns else []), F.col("key").asc_nulls_first(), "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
     return read.withColumn("inner", F.coalesce(F.sum("n_tokens").over(own), F.lit(0))).join(before, "bucket").withColumn("start", F.col("inner") + F.col("before")).drop("inner", "before")
 
 
-def digest(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
+def digest(docs: DataFrame, path: str, end_id: int = END_ID, order_by: str | None = None) -> DataFrame:
     """Writes the files, reads them back, and gives doc_id, start, n_tokens, ids_crc32 of every document."""
-    read = stored(read_files(write_files(docs, path, end_id)), "decoded")
+    read = stored(read_files(write_files(docs, path, end_id, order_by=order_by)), "decoded")
     return starts(read).select(F.col("key").alias("doc_id"), F.col("start").cast("long").alias("start"), "n_tokens", "ids_crc32")
