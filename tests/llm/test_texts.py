@@ -1,6 +1,7 @@
 """Extraction, personal data, quality, language."""
 
 import hashlib
+import random
 import re
 
 import pytest
@@ -94,3 +95,13 @@ def test_language_held_out(spark):
     assert kept >= set(range(300)) | {903} and not kept & {900, 901, 902}
     assert {r["lang_pred"] for r in language.digest(spark.createDataFrame([(1, "abc", None, None)], SCHEMA)).collect()} == {"und"}
     assert language.digest(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_unlearned_scripts_and_noise_go(spark):
+    r = random.Random(8)
+    noise = lambda letters: " ".join("".join(r.choice(letters) for _ in range(r.randint(2, 9))) for _ in range(r.randint(5, 80)))
+    other = lambda i: " ".join(w[::-1] + "ß" for w in prose(i, 50).split())
+    rows = [(i, prose(i, 50) if i % 2 else other(i), "en" if i % 2 else "xx", "a") for i in range(300)] + [(i, prose(i, 2), "en", "a") for i in range(300, 340)]
+    scripts = ["αβγδεζηθικλμνξοπρστυφχψω", "абвгдежзийклмнопрстуфхцчшщы", "".join(chr(0x4E00 + i) for i in range(200)), "cfghjqwxyz"]
+    rows += [(1_000 + i, noise(scripts[i % 4]), None, "a") for i in range(400)] + [(1_400, "ДА НЕТ", None, "a")]
+    assert {x["doc_id"] for x in language.kept_languages(table(spark, rows)).collect()} == set(range(340))

@@ -10,6 +10,7 @@ Null texts, and texts without a letter, get ``und`` and score 0.  Ties go to the
 from __future__ import annotations
 
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,8 @@ from .common import KEPT, M64, MIX, enter, long_batches, mix
 DIMENSIONS = 1024
 #: Labelled documents that the prototypes are bundled from, at most (those with the smallest id hashes).
 TRAINING_DOCUMENTS = 20_000
+#: Documents of chance that may pass as some language, and as the language of their own label (shares).
+CHANCE, CHANCE_LABELLED = 1e-5, 0.01
 UNKNOWN = "und"
 GAP = 32
 
@@ -164,8 +167,18 @@ def digest(docs: DataFrame) -> DataFrame:
     return identify(docs.select("doc_id", held.alias("held_out"), F.col("text").cast("string").alias("text")), found).drop("text")
 
 
-def kept_languages(docs: DataFrame, least: float = 0.02) -> DataFrame:
-    """The documents whose language is found with a cosine of ``least`` or more; the columns of ``docs``."""
-    found = learn(docs)
+def chance_level(prototypes: int, share: float, dimensions: int = DIMENSIONS) -> float:
+    """The cosine that the best of so many prototypes exceeds by chance in a share of texts: each cosine is normal with a deviation of 1 / sqrt(dimensions)."""
+    return NormalDist().inv_cdf(1 - share / max(prototypes, 1)) / dimensions ** 0.5
+
+
+def kept_languages(docs: DataFrame, label: str = "lang") -> DataFrame:
+    """The documents nearer to a language than chance; the columns of ``docs``.
+
+    A document whose label is the language found needs to be nearer than chance to that one only; short texts of a language are not far above it.
+    """
+    found = learn(docs, label)
     tagged = identify(docs.select("*"), found, name="_language", score="_cosine")
+    own = F.coalesce(F.col(label).cast("string") == F.col("_language"), F.lit(False))
+    least = F.when(own, chance_level(1, CHANCE_LABELLED)).otherwise(chance_level(len(found), CHANCE))
     return tagged.filter((F.col("_language") != UNKNOWN) & (F.col("_cosine") >= least)).select(*docs.columns)
