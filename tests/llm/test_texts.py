@@ -105,3 +105,23 @@ def test_unlearned_scripts_and_noise_go(spark):
     scripts = ["αβγδεζηθικλμνξοπρστυφχψω", "абвгдежзийклмнопрстуфхцчшщы", "".join(chr(0x4E00 + i) for i in range(200)), "cfghjqwxyz"]
     rows += [(1_000 + i, noise(scripts[i % 4]), None, "a") for i in range(400)] + [(1_400, "ДА НЕТ", None, "a")]
     assert {x["doc_id"] for x in language.kept_languages(table(spark, rows)).collect()} == set(range(340))
+
+
+LONG = "This sentence belongs to the article and is long enough to count as its text."
+
+
+@pytest.mark.parametrize("page, want", [
+    (f"<div class='content-sidebar-wrap'><main><p>{LONG}</p></main></div><p>{LONG[::-1]}</p>", LONG),
+    (f"<div class='has-sidebar'><div id='no-comments'><p>{LONG}</p></div></div>", LONG),
+    (f"<form action=x><article><p>{LONG}</p></article></form>", LONG),
+    (f"<article><p>{LONG}</p></article><div class=related><article><p>{LONG[::-1]}</p></article></div>", LONG),
+    (f"<p>{LONG}</p><div class=comments><p>{LONG[::-1]} {LONG}</p></div>", LONG),
+    (f"<article><h2><a href=/x>Linked heading</a></h2><p>{LONG}</p><ul><li><a href=/y>Linked item</a></li></ul></article>", f"Linked heading\n\n{LONG}\n\nLinked item"),
+    (f"<div><a name='top'/><p>{LONG}</p></div>", LONG),
+    (f"<div><a name=top><p>{LONG}</p></div>", LONG),
+    (f"<div><a href='#x'/><p>{LONG}</p></div>", LONG),
+    (f"<div><p><a href='#x'>Up</p><p>{LONG}</p><p>{LONG} <a href=/z/>more</a></p></div>", f"{LONG}\n\n{LONG} more"),
+    (f"<div><a href=/x>Up<p>{LONG}</p></div>", LONG),
+])
+def test_wrappers_links_and_anchors(page, want):
+    assert html.extract(page) == want

@@ -3,7 +3,7 @@
 Markup is stripped to lines: one for each block element, with the number of characters of its own text that is not link text.  Lines of
 menus, headers, footers, sidebars, notices, adverts, forms and reader comments count 0.  The lengths are summed over sliding
 windows of lines; where the sum rises from nothing is a surge, where it falls back is a dive, and the lines between them are kept (those that count 0
-left out).  Where a page marks its article, lines outside it count 0 too; where it does not, stretches much weaker than the strongest are dropped.
+left out).  A form, or an element that only its class, id or role marks, stays if the page's marked article is nowhere else, or hardly any text is.  Where a page marks its article, lines outside it count 0 too; where it does not, stretches much weaker than the strongest are dropped.
 
 Null and empty pages, and pages without text, give an empty text.
 """
@@ -34,6 +34,9 @@ _BLOCK = {"address", "article", "aside", "blockquote", "body", "center", "dd", "
           "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary",
           "table", "tbody", "tfoot", "thead", "tr", "ul"}
 _MAIN = {"article", "main"}
+#: Next anchor tag, and a self-closing slash (not the end of an unquoted value).
+_ANCHOR, _CLOSED = re.compile(r"<(/?)a(?=[\s/>])", re.I), re.compile(r"(?:^|[\s\"'])/$")
+_HREF = re.compile(r"(?:^|[\s\"'/])href\s*=", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 #: Fixed words of class, id and role values that mark what is not the article.
@@ -44,30 +47,53 @@ _MARKS = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising
           "pagination", "pager", "skip", "search", "complementary", "contentinfo", "hidden"}
 
 
-def _away(name: str, rest: str, inside: bool) -> bool:
-    if name in _AWAY and not (name == "header" and inside):
-        return True
+#: Why an element is away: by what it is, or by a mark that may be a wrapper's.
+_HARD, _SOFT = 1, 2
+
+
+def _away(name: str, rest: str, inside: bool) -> int:
+    if name in _AWAY and name not in ("form", "fieldset") and not (name == "header" and inside):
+        return _HARD
+    soft = _SOFT if name in ("form", "fieldset") else 0
     if name in ("html", "body") or name in _MAIN or not rest:
-        return False
+        return soft
     for m in _ATTRIBUTE.finditer(rest):
         kind, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if kind == "hidden" or kind == "aria-hidden" and value == "true" or kind == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
+            return _HARD
         if kind in ("class", "id", "role"):
             words = _SPLIT.split(_CAMEL.sub("-", value).lower())
             if not _MARKS.isdisjoint(words) or "header" in words and not inside:
-                return True
-    return False
+                soft = _SOFT
+    return soft
+
+
+def _wrappers(weights: list[int], inside: list[bool], over: list[tuple[int, ...]]) -> set[int]:
+    """Softly marked elements that stay.  ``over``: those around each line (-1: an element that is away for good)."""
+    lines_ = [(w, a, o) for w, a, o in zip(weights, inside, over) if w and -1 not in o]
+    if not any(o for _, _, o in lines_) or any(a and not o for _, a, o in lines_):
+        return set()
+    if any(a for _, a, _ in lines_):
+        return {e for _, a, o in lines_ if a for e in o}
+    held: dict[int, int] = {}
+    for w, _, o in lines_:
+        for e in o:
+            held[e] = held.get(e, 0) + w
+    total, bare = sum(w for w, _, _ in lines_), sum(w for w, _, o in lines_ if not o)
+    return {e for e, w in held.items() if 2 * w > total and bare < WEAKEST * w}
 
 
 def lines(page: str) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Text of each line in page order, its weight (characters of own text outside links; 0 for what is not the article), and whether it lies in a marked article."""
+    """Text of each line in page order, its weight (characters of own text, outside links where no article is marked; 0 for what is not the article), and whether it lies in a marked article."""
     texts: list[str] = []
     weights: list[int] = []
     inside: list[bool] = []
     parts: list[tuple[str, bool]] = []
-    stack: list[tuple[str, bool]] = []
-    away = depth = links = 0
+    stack: list[tuple[str, int]] = []
+    over: list[tuple[int, ...]] = []
+    depth = marks = 0
+    # of the open link: open elements at its start (0: no link), and whether its end tag is missing
+    links, loose = 0, False
 
     def flush() -> None:
         text = " ".join(references.unescape("".join(x for x, _ in parts)).split())
@@ -75,8 +101,9 @@ def lines(page: str) -> tuple[list[str], np.ndarray, np.ndarray]:
             linked = " ".join(references.unescape("".join(x for x, a in parts if a)).split())
             own = len(text) - len(linked)
             texts.append(text)
-            weights.append(0 if away else own if 2 * own >= len(text) or depth else 0)
+            weights.append(len(text) if depth else own if 2 * own >= len(text) else 0)
             inside.append(depth > 0)
+            over.append(tuple(g for _, g in stack if g))
         parts.clear()
 
     at, size = 0, len(page)
@@ -98,30 +125,38 @@ def lines(page: str) -> tuple[list[str], np.ndarray, np.ndarray]:
             continue
         if name in _BLOCK:
             flush()
+            if loose:
+                links, loose = 0, False
         elif name in ("br", "td", "th", "img"):
             parts.append((" ", False))
         if name == "a":
-            links = 0 if m["close"] else 1
+            links, loose = 0, False
+            if not m["close"] and _HREF.search(m["rest"]) and not _CLOSED.search(m["rest"]):
+                follow = _ANCHOR.search(page, at)
+                links, loose = len(stack) + 1, not (follow and follow[1])
         if name in _VOID or m["rest"].endswith("/") and name not in _BLOCK:
             continue
         if m["close"]:
             if any(x == name for x, _ in stack):
                 while stack:
-                    open_name, open_away = stack.pop()
-                    away -= open_away
+                    open_name, _ = stack.pop()
                     depth -= open_name in _MAIN
                     if open_name == name:
                         break
+                links = links if links <= len(stack) + 1 else 0
         elif name in _BLOCK or _away(name, m["rest"], depth > 0):
             if name in ("p", "li", "dt", "dd", "tr") and stack and stack[-1][0] == name:
-                away -= stack.pop()[1]
+                stack.pop()
+                links = links if links <= len(stack) + 1 else 0
             gone = _away(name, m["rest"], depth > 0)
             if gone and name not in _BLOCK:
                 flush()
-            stack.append((name, gone))
-            away += gone
+            marks += gone == _SOFT
+            stack.append((name, marks if gone == _SOFT else -gone))
             depth += name in _MAIN
     flush()
+    stay = _wrappers(weights, inside, over)
+    weights = [w if stay.issuperset(o) else 0 for w, o in zip(weights, over)]
     return texts, np.array(weights, dtype=np.int64), np.array(inside, dtype=bool)
 
 
