@@ -9,30 +9,99 @@ The vocabulary is bounded (one row for each id of the tokenizer), which bounds t
 
 from __future__ import annotations
 
-import re
+import itertools
+import json
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import KEPT, enter, long_batches, partitions, stored
 
 END_ID = 1
-#: Words kept with their ids in a Python worker; beyond that the store starts anew (this bounds memory, not the result).
-CACHED_WORDS = 900_000
-#: Characters that neither normalising nor splitting treats specially beyond lower case: printable ASCII and Latin letters with accents.
-_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
-_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
-
-
-class WordCoder:
-    """Ids of single words.  For a tokenizer that never joins what white space separates, the ids of a text are those of its words.
+#: Pieces kept with their ids in a Python worker; beyond that the store starts anew (this bounds memory, not the result).
+CACHED_PIECES = 1_000_000
+#: The normaliser and splitter of the tokenizer whose texts ``Coder`` cuts itself.  Any other file gets whole texts.
+KNOWN = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+}
+SPACE, LETTER, DIGIT, OTHER, ODD = range(5)
+
+
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Class and lower case of single bytes, and whether a byte after 0xC3 ends a Latin letter."""
+    kind = np.full(256, ODD, np.uint8)
+    for x in range(33, 127):
+        kind[x] = LETTER if chr(x).isalpha() else DIGIT if chr(x).isdigit() else OTHER
+    kind[[9, 10, 11, 12, 13, 32]] = SPACE
+    kind[ord("'")] = ODD
+    low = np.arange(256, dtype=np.uint8)
+    low[65:91] += 32
+    latin = np.zeros(256, bool)
+    latin[0x80:0xC0] = True
+    latin[[0x97, 0xB7]] = False
+    return kind, low, latin
+
+
+_KIND, _LOW, _LATIN = _tables()
+
+
+class Items:
+    """Texts cut into items for a tokenizer of the known kind: pieces of plain words (lower case, printable ASCII and Latin letters with accents), and odd words as they are.
+
+    All items of all texts, in order: ``raw`` (Arrow dictionary of byte strings), ``odd`` for each distinct one, and ``bounds``, the number of items before each text.
+    """
 
-    Plain words go straight to the tokenizer's model, piece by piece; all others through its whole pipeline.
+    def __init__(self, texts: pa.Array):
+        texts = pc.fill_null(pc.cast(texts, pa.large_string()), "")
+        edge = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset:texts.offset + len(texts) + 1]
+        body = texts.buffers()[2]
+        data = np.frombuffer(body, dtype=np.uint8)[edge[0]:edge[-1]] if body is not None else np.zeros(0, np.uint8)
+        edge = edge - edge[0]
+        n = len(data)
+        kind, low = _KIND[data], _LOW[data]
+        lead = np.flatnonzero(data[:-1] == 0xC3)
+        lead = lead[_LATIN[data[lead + 1]]]
+        kind[lead] = kind[lead + 1] = LETTER
+        low[lead + 1] |= 0x20  # capital letters with accents are 32 below their small ones
+        low[lead[data[lead + 1] == 0x9F] + 1] = 0x9F  # sharp s is small already
+        angle = np.flatnonzero((data[:-1] == ord("<")) & (data[1:] == ord("|")))
+        kind[angle] = ODD
+        inside = kind != SPACE
+        fresh = np.ones(n + 1, bool)  # a text starts here
+        fresh[1:n] = False
+        fresh[edge] = True
+        word = inside.copy()
+        word[1:] &= ~inside[:-1] | fresh[1:n]
+        number = np.cumsum(word) - 1
+        oddness = np.zeros(number[-1] + 1 if n else 0, bool)
+        oddness[number[kind == ODD]] = True
+        strange = inside & oddness[number] if n else inside
+        begin = word.copy()
+        begin[1:] |= inside[1:] & ~strange[1:] & ((kind[1:] != kind[:-1]) | (kind[1:] == DIGIT))
+        starts = np.flatnonzero(begin)
+        keep = np.flatnonzero(inside)
+        offsets = np.append(np.searchsorted(keep, starts), len(keep)).astype(np.int64)
+        low[strange] = data[strange]
+        buffers = [None, pa.py_buffer(offsets), pa.py_buffer(low[keep])]
+        self.raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), buffers).dictionary_encode()
+        self.odd = np.zeros(len(self.raw.dictionary), bool)
+        self.odd[self.raw.indices.to_numpy()[strange[starts]]] = True
+        self.bounds = np.searchsorted(starts, edge)
+
+
+class Coder:
+    """Ids of whole texts.  The known kind of tokenizer never joins what white space or its splitter separates, so pieces are looked up and only new ones
+    go to its model; odd words go through its whole pipeline.  Texts of any other tokenizer go through its pipeline whole.
     """
 
     def __init__(self, path: str):
@@ -40,50 +109,61 @@ class WordCoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        mark = self.tokenizer.pre_tokenizer.pre_tokenize_str
-        self.letters = {ord(c): "".join(x for x, _ in mark(c)) for c in (chr(i) for i in range(33, 256)) if _PLAIN.fullmatch(c)}
-        self.words: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def _piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
-        if found is None:
-            found = np.array([t.id for t in self.model.tokenize(piece.translate(self.letters))], dtype="<u4").tobytes()
-            if len(self.pieces) >= CACHED_WORDS:
-                self.pieces.clear()
-            self.pieces[piece] = found
-        return found
-
-    def learn(self, words: set[bytes]) -> None:
-        if len(self.words) + len(words) > CACHED_WORDS:
-            self.words = {w: self.words[w] for w in words if w in self.words}
-        odd = []
-        for raw in words.difference(self.words):
-            w = raw.decode("utf-8", "surrogatepass")
-            if _PLAIN.fullmatch(w) and "<|" not in w:
-                self.words[raw] = b"".join(map(self._piece, _PIECES.findall(w.lower())))
+        own = json.loads(self.tokenizer.to_str())
+        plain = own["model"].get("type") == "BPE" and not own["model"].get("dropout") and not own["post_processor"] and not own["truncation"] and not own["padding"]
+        # an added token is known by its "<|"; any other kind could stand inside a plain word
+        self.known = plain and all(own[k] == v for k, v in KNOWN.items()) and all(t["content"].startswith("<|") for t in own["added_tokens"])
+        mark = self.tokenizer.pre_tokenizer.pre_tokenize_str if self.known else None
+        self.letters = {i: "".join(x for x, _ in mark(chr(i))) for i in [*range(33, 127), *range(0xC0, 0x100)]} if self.known else {}
+        self.pieces: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
+
+    def _ids(self, raw: list[bytes], odd: np.ndarray) -> list[bytes]:
+        """Ids of distinct items.  What is not asked for while half the store fills goes."""
+        if len(self.pieces) > CACHED_PIECES // 2:
+            self.before, self.pieces = self.pieces, {}
+        kept, before, tokenize, letters = self.pieces, self.before, self.model.tokenize, self.letters
+        strange = []
+        for w in [w for w in raw if w not in kept]:
+            if w in before:
+                kept[w] = before[w]
             else:
-                odd.append(raw)
-        texts = [w.decode("utf-8", "surrogatepass") for w in odd]
-        for w, e in zip(odd, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)) if odd else ():
-            self.words[w] = np.array(e.ids, dtype="<u4").tobytes()
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        # bytes.split cuts at ASCII white space only
-        split = [t.encode("utf-8", "surrogatepass").split() if t else [] for t in texts]
-        self.learn(set().union(*split))
-        get = self.words.__getitem__
-        return [np.frombuffer(b"".join(map(get, w)), dtype="<u4") for w in split]
-
-
-_CODERS: dict[str, WordCoder] = {}
+                strange.append(w)
+        if strange:
+            whole = set(itertools.compress(raw, odd.tolist()))
+            odd_new = [w for w in strange if w in whole]
+            for w in strange:
+                if w not in whole:
+                    kept[w] = array("I", [t.id for t in tokenize(w.decode().translate(letters))]).tobytes()
+            for w, e in zip(odd_new, self.tokenizer.encode_batch_fast([w.decode() for w in odd_new], add_special_tokens=False)) if odd_new else ():
+                kept[w] = array("I", e.ids).tobytes()
+        return [kept[w] for w in raw]
+
+    def flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row (null: none), and the number of ids before each text (one entry more than texts)."""
+        if not self.known:
+            lists = [e.ids for e in self.tokenizer.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)] if len(texts) else []
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in lists], dtype=np.int64)]).astype(np.int64)
+            return np.fromiter((i for x in lists for i in x), np.uint32, int(ends[-1])), ends
+        items = Items(texts)
+        raw, at = items.raw.dictionary.to_pylist(), items.raw.indices.to_numpy()
+        got = self._ids(raw, items.odd)
+        size = np.fromiter(map(len, got), np.int64, len(got)) // 4
+        ids = np.frombuffer(b"".join(got), dtype="<u4")
+        begin = np.concatenate([[0], np.cumsum(size)])[:-1]
+        count = size[at]
+        ends = np.concatenate([[0], np.cumsum(count)]).astype(np.int64)
+        return ids[np.arange(ends[-1]) + np.repeat(begin[at] - ends[:-1], count)], ends[items.bounds]
+
+
+_CODERS: dict[str, Coder] = {}
 KEPT["tokens"] = _CODERS.clear
 
 
-def coder(path: str) -> WordCoder:
+def coder(path: str) -> Coder:
     """One for each worker process and vocabulary file."""
     if path not in _CODERS:
-        _CODERS[path] = WordCoder(path)
+        _CODERS[path] = Coder(path)
     return _CODERS[path]
 
 
@@ -128,18 +208,26 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 # ---------------------------------------------------------------- the jobs
 
+def encoded(code: Coder, texts: pa.Array, end_id: int, kind: np.dtype) -> tuple[np.ndarray, pa.Array]:
+    """Number of ids and ids (bytes, ``kind`` each) of every text, with the end id."""
+    flat, ends = code.flat(texts)
+    ids = np.insert(flat.astype(kind), ends[1:], end_id)
+    ends = ends + np.arange(len(ends))
+    return np.diff(ends), pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(ends * kind.itemsize), pa.py_buffer(ids)]).cast(pa.binary())
+
+
 def tokenize(docs: DataFrame, path: str, end_id: int = END_ID, key: str = "doc_id", text: str = "text", order: str | None = None) -> DataFrame:
     """(key, n_tokens, ids): little-endian ids of each whole text with the end id; a null text counts as empty.  Other columns are left out, but for
     ``order`` (long), as ``place``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("tokens")
-        tail, code = np.array([end_id], dtype="<u4"), coder(path)
-        narrow = code.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16
+        code = coder(path)
+        kind = np.dtype("<u2" if code.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else "<u4")
         for whole in batches:
             for b in long_batches(whole, "text"):
-                ids = [np.append(x, tail).astype("<u2" if narrow else "<u4") for x in code.encode(b.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([len(x) * 0 + x.itemsize for x in ids], pa.int32()),
-                                                  pa.array([x.tobytes() for x in ids], pa.binary()), *b.columns[2:]], ["key", "n_tokens", "width", "ids", *b.schema.names[2:]])
+                n, lists = encoded(code, b.column(1), end_id, kind)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(np.full(len(n), kind.itemsize), pa.int32()), lists, *b.columns[2:]],
+                                                 ["key", "n_tokens", "width", "ids", *b.schema.names[2:]])
 
     place = [F.col(order).cast("long").alias("place")] if order else []
     return docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"), *place).mapInArrow(
