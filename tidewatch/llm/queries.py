@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html, jaccard, language, leaks, mixing, multiindex, packing, phrases, privacy, quality, tokens, whitening
+from . import html, jaccard, language, leaks, mixing, multiindex, packing, phrases, privacy, quality, tokens, variants, whitening
 from .common import table
 
 
@@ -63,6 +63,10 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.digest(table(spark, sf_dir, "embeddings"))
 
 
+def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {"op1_tokens": op1_tokens, "op2_main_text": op2_main_text, "op3_near_copies": op3_near_copies, "op4_mixing": op4_mixing, "op5_nearest": op5_nearest, "op6_privacy": op6_privacy, "op7_leaks": op7_leaks, "op8_quality": op8_quality, "op9_repeats": op9_repeats, "op10_language": op10_language,
-           "op11_packing": op11_packing, "op12_whitening": op12_whitening}
+           "op11_packing": op11_packing, "op12_whitening": op12_whitening, "op13_variants": op13_variants}
 ORACLE: dict[str, str] = {}
