@@ -1,8 +1,8 @@
 """Packing token ids into sequences of fixed length, in document order.
 
 All documents stand in a row, in ascending order of their key.  A cut may stand at a document's end (free), after a sentence (``SENTENCE``), or, where a sentence is
-long, every ``STEP`` ids in it (``ANYWHERE``).  The windows between neighbouring cuts are the sequences.  A window costs its padding: what it lacks to the full length, or
-nothing where its length is a power of two; and ``SEQUENCE``, so that sequences are few.  The cuts minimise the sum:
+long, every ``2 * STEP`` ids in it (``ANYWHERE``).  The windows between neighbouring cuts are the sequences.  A window costs its padding: what it lacks to the full length, or
+nothing where its length is a power of two from ``SHORTEST`` on; and ``SEQUENCE``, so that sequences are few.  The cuts minimise the sum:
 
     cost(j) = penalty(j) + SEQUENCE + min( min over i with p(j) - p(i) <= length of cost(i) + length - (p(j) - p(i)),  min over k of cost(i) with p(j) - p(i) = 2^k )
 
@@ -27,11 +27,13 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, Window
 
 from .common import enter, long_batches, partitions, stored
-from .tokens import END_ID, coder, encoded
+from .tokens import END_ID, SLICE, coder, encoded
 
 LENGTH = 2048
-#: Penalties of cuts, in ids of padding that they are worth, and ids between possible cuts in a long sentence.
-SENTENCE, ANYWHERE, STEP = 4, 16, 16
+#: Penalties of cuts, in ids of padding that they are worth, and ids between possible cuts in a document (sentence ends closer than that: the last of them).
+SENTENCE, ANYWHERE, STEP = 4, 16, 8
+#: The least power of two that a sequence is cut to for want of padding.
+SHORTEST = 256
 #: What each sequence costs beside its padding, so that there are few.
 SEQUENCE = 8
 #: Ids solved at once.
@@ -53,47 +55,55 @@ def stop_ids(path: str) -> np.ndarray:
 
 def possible_cuts(ids: np.ndarray, ends: np.ndarray, stops: np.ndarray, step: int = STEP) -> tuple[np.ndarray, np.ndarray]:
     """Places where a row of documents may be cut and their penalties; ``ends`` are the documents' ends.  The first place is 0, the last one the end of the row."""
-    penalty = np.full(len(ids) + 1, -1, dtype=np.int64)
-    penalty[1:][stops[ids]] = SENTENCE
-    penalty[0] = 0
-    penalty[ends] = 0
-    at = np.flatnonzero(penalty >= 0)
-    gap = np.diff(at)
-    more = (gap - 1) // step
-    extra = np.repeat(at[:-1], more) + (np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more) + 1) * step
-    penalty[extra] = ANYWHERE
-    at = np.flatnonzero(penalty >= 0)
-    return at, penalty[at]
-
-
-def best_cuts(at: np.ndarray, penalty: np.ndarray, length: int = LENGTH) -> tuple[list[int], int]:
+    sentence = np.flatnonzero(stops[ids]) + 1
+    cell = sentence // step
+    sentence = sentence[np.append(cell[1:] != cell[:-1], True)] if len(sentence) else sentence
+    fixed = np.union1d(np.append(ends, 0), sentence)
+    more = (np.diff(fixed) - 1) // (2 * step)
+    extra = np.repeat(fixed[:-1], more) + (np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more) + 1) * (2 * step)
+    at = np.union1d(fixed, extra)
+    penalty = np.full(len(at), ANYWHERE, dtype=np.int64)
+    penalty[np.searchsorted(at, sentence)] = SENTENCE
+    penalty[np.searchsorted(at, np.append(ends, 0))] = 0
+    return at, penalty
+
+
+def best_cuts(at: np.ndarray, penalty: np.ndarray, length: int = LENGTH, shortest: int = SHORTEST) -> tuple[list[int], int]:
     """Indices of the chosen cuts (the first and last place among them) and their cost.  ``at``: ascending places, neighbours at most ``length`` apart."""
     m = len(at)
-    hits: list[list[int]] = [[] for _ in range(m)]
-    size = 1
+    hits: dict[int, list[int]] = {}
+    size = shortest
     while size < length:
         i = np.minimum(np.searchsorted(at, at - size), m - 1)
-        for j in np.flatnonzero(at[i] == at - size).tolist():
-            hits[j].append(int(i[j]))
+        there = np.flatnonzero(at[i] == at - size)
+        for j, k in zip(there.tolist(), i[there].tolist()):
+            hits.setdefault(j, []).append(k)
         size *= 2
-    place, pen = at.tolist(), penalty.tolist()
+    place = at.tolist()
     cost, parent = [0] * m, [0] * m
-    queue: deque[int] = deque([0])
-    level = [place[0]] * m  # cost + place
-    for j in range(1, m):
-        p = place[j]
-        while place[queue[0]] < p - length:
+    queue, level = deque([0]), deque([place[0]])  # level: cost + place
+    front, head = level[0], 0
+    for j, (p, extra) in enumerate(zip(place, (penalty + SEQUENCE).tolist())):
+        if not j:
+            continue
+        while place[head] < p - length:
             queue.popleft()
-        i = queue[0]
-        best = level[i] + length - p
-        for k in hits[j]:
-            if cost[k] < best:
-                best, i = cost[k], k
-        best += pen[j] + SEQUENCE
+            level.popleft()
+            head, front = queue[0], level[0]
+        best, i = front + length - p, head
+        if j in hits:
+            for k in hits[j]:
+                if cost[k] < best:
+                    best, i = cost[k], k
+        best += extra
         cost[j], parent[j] = best, i
-        x = level[j] = best + p
-        while queue and level[queue[-1]] >= x:
+        x = best + p
+        while level and level[-1] >= x:
+            level.pop()
             queue.pop()
+        if not level:
+            head, front = j, x
+        level.append(x)
         queue.append(j)
     chosen, j = [m - 1], m - 1
     while j:
@@ -128,7 +138,13 @@ class _Row:
         ids = np.concatenate(self.ids)
         ends = np.cumsum([len(x) for x in self.ids])
         at, penalty = possible_cuts(ids, ends, self.stops)
-        cuts = at[best_cuts(at, penalty, self.length)[0]]
+        if last:  # places from which the end of the row is a whole number of short sequences
+            more = len(ids) - np.arange(SHORTEST, min(2 * self.length, len(ids)), SHORTEST)
+            both = np.union1d(at, more)
+            wide = np.full(len(both), ANYWHERE, dtype=np.int64)
+            wide[np.searchsorted(both, at)] = penalty
+            at, penalty = both, wide
+        cuts = at[best_cuts(at, penalty, self.length, SHORTEST)[0]]
         if not last:
             cuts = cuts[:-2]
         if len(cuts) < 2:
@@ -177,7 +193,7 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_ID,
         code, dealt = coder(path), 0
         kind = np.dtype("<u2" if code.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else "<u4")
         for whole in batches:
-            for b in long_batches(whole, "text"):
+            for b in long_batches(whole, "text", SLICE):
                 _, ids = encoded(code, b.column(1), end_id, kind)
                 keys = b.column(0).fill_null(low).to_numpy(zero_copy_only=False)
                 # a key that fills whole ranges by itself is dealt to all of them in turn

@@ -34,6 +34,8 @@ KNOWN = {
         {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
         {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
 }
+#: Bytes of text cut up at once, about: small enough for a core's own cache.
+SLICE = 1 << 20
 SPACE, LETTER, DIGIT, OTHER, ODD = range(5)
 
 
@@ -82,17 +84,17 @@ class Items:
         fresh[edge] = True
         word = inside.copy()
         word[1:] &= ~inside[:-1] | fresh[1:n]
-        number = np.cumsum(word) - 1
+        number = np.cumsum(word, dtype=np.int32) - 1
         oddness = np.zeros(number[-1] + 1 if n else 0, bool)
         oddness[number[kind == ODD]] = True
         strange = inside & oddness[number] if n else inside
         begin = word.copy()
         begin[1:] |= inside[1:] & ~strange[1:] & ((kind[1:] != kind[:-1]) | (kind[1:] == DIGIT))
         starts = np.flatnonzero(begin)
-        keep = np.flatnonzero(inside)
-        offsets = np.append(np.searchsorted(keep, starts), len(keep)).astype(np.int64)
+        kept = np.cumsum(inside, dtype=np.int64)
+        offsets = np.append(kept[starts] - 1, kept[-1:])
         low[strange] = data[strange]
-        buffers = [None, pa.py_buffer(offsets), pa.py_buffer(low[keep])]
+        buffers = [None, pa.py_buffer(offsets), pa.py_buffer(low[inside])]
         self.raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), buffers).dictionary_encode()
         self.odd = np.zeros(len(self.raw.dictionary), bool)
         self.odd[self.raw.indices.to_numpy()[strange[starts]]] = True
@@ -148,12 +150,14 @@ class Coder:
         items = Items(texts)
         raw, at = items.raw.dictionary.to_pylist(), items.raw.indices.to_numpy()
         got = self._ids(raw, items.odd)
-        size = np.fromiter(map(len, got), np.int64, len(got)) // 4
+        # a slice of texts has fewer than 2^31 ids
+        size = np.fromiter(map(len, got), np.int32, len(got)) // 4
         ids = np.frombuffer(b"".join(got), dtype="<u4")
-        begin = np.concatenate([[0], np.cumsum(size)])[:-1]
+        begin = np.cumsum(size, dtype=np.int32) - size
         count = size[at]
-        ends = np.concatenate([[0], np.cumsum(count)]).astype(np.int64)
-        return ids[np.arange(ends[-1]) + np.repeat(begin[at] - ends[:-1], count)], ends[items.bounds]
+        ends = np.zeros(len(at) + 1, dtype=np.int32)
+        np.cumsum(count, out=ends[1:])
+        return ids[np.arange(ends[-1], dtype=np.int32) + np.repeat(begin[at] - ends[:-1], count)], ends[items.bounds].astype(np.int64)
 
 
 _CODERS: dict[str, Coder] = {}
@@ -224,7 +228,7 @@ def tokenize(docs: DataFrame, path: str, end_id: int = END_ID, key: str = "doc_i
         code = coder(path)
         kind = np.dtype("<u2" if code.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else "<u4")
         for whole in batches:
-            for b in long_batches(whole, "text"):
+            for b in long_batches(whole, "text", SLICE):
                 n, lists = encoded(code, b.column(1), end_id, kind)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(np.full(len(n), kind.itemsize), pa.int32()), lists, *b.columns[2:]],
                                                  ["key", "n_tokens", "width", "ids", *b.schema.names[2:]])
