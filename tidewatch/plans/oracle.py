@@ -682,6 +682,7 @@ add("io_sequences", "vec", "SELECT session_id, 50::BIGINT AS n_steps, least(coun
 add("io_incidents", "inc", """SELECT session_id, attack_type, 'Case "' || session_id || '", ' || severity AS summary, severity, attack_type AS report FROM inc""")
 add("io_metrics", None, "SELECT (l_returnflag = 'R')::INTEGER AS label, count(*) AS n FROM lineitem GROUP BY 1")
 
+ORACLE["str_order"], ORACLE["str_padded"] = ORACLE["fea_order"], ORACLE["seq_padded"]
 ORACLE["str_sessions"] = _gap_sql.format(c=_evc, k="employee_id", g=1800000000) + """, g AS (SELECT employee_id, session_no, count(*) AS n_events, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) AS end_us,
   count(*) FILTER (WHERE event_type = 'Login' AND status = 'FAILED') AS failed_login_count, max((attack_type <> 'None')::BIGINT) AS is_anomalous FROM q GROUP BY 1, 2)
   SELECT employee_id, n_events, start_us, end_us, failed_login_count, is_anomalous FROM g"""

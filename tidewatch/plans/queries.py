@@ -588,15 +588,19 @@ def seq_vectors(s, d):
     return v.select("session_id", "step", F.posexplode("vec").alias("dim", "v")).where("v != 0").select("session_id", "step", "dim", r("v"))
 
 
-@query
-def seq_padded(s, d):
-    q = sequences.build_sequences(sequences.event_vectors(_events(s, d)), STEPS)
+def _padded(events):
+    q = sequences.build_sequences(sequences.event_vectors(events), STEPS)
     total = F.aggregate(F.flatten("seq"), F.lit(0.0), lambda a, x: a + x)
     return q.select("session_id", F.size("seq").cast("long").alias("n_steps"), F.size("mask").cast("long").alias("n_mask"),
                     F.aggregate("mask", F.lit(0.0), lambda a, x: a + x).alias("mask_sum"), F.round(total, 4).alias("total"),
                     F.round(F.element_at(F.element_at("seq", 2), 19), 6).alias("second_delta"))
 
 
+@query
+def seq_padded(s, d):
+    return _padded(_events(s, d))
+
+
 @query
 def scl_features(s, d):
     x = _rows(s, d).select("session_id", "total_upload_bytes", "total_events", "processes_stopped", "events_per_minute")
@@ -1414,23 +1418,40 @@ def _drain(s, stream: DataFrame, name: str) -> DataFrame:
     return s.read.schema(stream.schema).parquet(f"{base}/out")
 
 
-def _stream(s, df: DataFrame, name: str, by: str = "ts", files: int = 4, closing: DataFrame | None = None) -> DataFrame:
-    """A batch table as a stream in time order, one file per trigger.
+def _stream(s, df: DataFrame, name: str, by: str = "ts", files: int = 4, closing: DataFrame | None = None, mixed: bool = False) -> DataFrame:
+    """A batch table as a stream of time ranges, one range a trigger; rows without a time are in the first.
 
-    The files are written one after the other, because the file source takes
-    them in that order; each has a quantile range of ``by``.  ``closing`` rows make
-    one more file at the end.
+    The table is stored once; ranges are written one after the other, because the file source takes files by age, each as equally many files of about a million
+    rows.  ``mixed``: every other row comes a range later than its time.  ``closing`` rows make one more trigger at the end.
     """
     base = f"{_work_folder(s, name)}/in"
     t = micros(by)
-    cuts = sorted(set(df.agg(F.percentile_approx(t, [i / files for i in range(1, files)], 10_000).alias("q")).first()["q"] or []))
-    for low, high in zip([None, *cuts], [*cuts, None]):
-        part = df if low is None else df.where(t > low)
-        part = part if high is None else part.where(t <= high)
-        part.coalesce(1).write.mode("append").parquet(base)
+    df = checkpointed(df)
+    rows, quantiles = df.agg(F.count("*"), F.percentile_approx(t, [i / files for i in range(1, files)], 10_000)).first()
+    cuts = sorted(set(quantiles or []))
+    part = sum(((t > c).cast("int") for c in cuts), F.lit(0))
+    if mixed:
+        part = part + F.pmod(F.xxhash64(*df.columns), F.lit(2))
+    df = df.withColumn("_part", F.coalesce(part, F.lit(0)))
+    each = -(-rows // (files * 1_000_000)) or 1
+    for k in range(len(cuts) + 1 + mixed):
+        df.where(F.col("_part") == k).drop("_part").repartition(each).write.mode("append").parquet(base)
     if closing is not None:
-        closing.coalesce(1).write.mode("append").parquet(base)
-    return s.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(base)
+        closing.repartition(each).write.mode("append").parquet(base)
+    return s.readStream.schema(df.drop("_part").schema).option("maxFilesPerTrigger", each).parquet(base)
+
+
+def _end(df: DataFrame, by: str, key: str = "employee_id") -> DataFrame:
+    """A row far in the future, which moves the watermark past all that is held."""
+    last = df.agg((F.max(by) + F.expr("INTERVAL 7300 DAYS")).alias(by))
+    return last.select(*[F.col(c) if c == by else F.lit("~end").cast(df.schema[c].dataType).alias(c) if c == key else F.lit(None).cast(df.schema[c].dataType).alias(c) for c in df.columns])
+
+
+def _delay(df: DataFrame, by: str, files: int = 4) -> str:
+    """As long as rows of a mixed stream come late: the span of two neighbouring ranges at most."""
+    q = df.agg(F.percentile_approx(micros(by), [i / files for i in range(files + 1)], 10_000).alias("q")).first()["q"] or [0]
+    spans = [b - a for a, b in zip(q, q[2:])] or [0]
+    return f"{-(-max(spans) // 1_000_000) + 1} seconds"
 
 
 @query
@@ -1438,28 +1459,53 @@ def str_sessions(s, d):
     from tidewatch.streaming.sessions import sessionize_stream
 
     log = _log(s, d).select("ts", "employee_id", "event_type", "status", "is_anomalous")
-    # a row far in the future moves the watermark past every open session
-    end = log.agg((F.max("ts") + F.expr("INTERVAL 3650 DAYS")).alias("ts")).select(
-        "ts", F.lit("~end").alias("employee_id"), *[F.lit(None).cast(log.schema[c].dataType).alias(c) for c in log.columns[2:]])
-    out = _drain(s, sessionize_stream(_stream(s, log, "events", closing=end)), "sessions")
+    out = _drain(s, sessionize_stream(_stream(s, log, "events", closing=_end(log, "ts"))), "sessions")
     return out.where("employee_id != '~end'").select("employee_id", "n_events", micros("start_time").alias("start_us"), micros("end_time").alias("end_us"), "failed_login_count",
                       F.col("is_anomalous").cast("long").alias("is_anomalous"))
 
 
 @query
 def str_drift(s, d):
+    """Sessions come mixed over neighbouring ranges and are put in order by the stream."""
     from tidewatch.streaming.drift import drift_stream
 
-    rows = _rows(s, d).select("employee_id", "session_id", "start_time", "office_location", "device_id", "browser", "operating_system", "resource_mask")
-    out = _drain(s, drift_stream(_stream(s, rows, "rows", "start_time")), "drift")
-    return out.select("session_id", "accepted", *[r(c) for c in dims.DEVIATIONS], r("behaviour_score"))
+    rows = checkpointed(_rows(s, d).select("employee_id", "session_id", "start_time", "office_location", "device_id", "browser", "operating_system", "resource_mask"))
+    stream = _stream(s, rows, "rows", "start_time", closing=_end(rows, "start_time"), mixed=True)
+    out = _drain(s, drift_stream(stream, _delay(rows, "start_time")), "drift")
+    return out.where("employee_id != '~end'").select("session_id", "accepted", *[r(c) for c in dims.DEVIATIONS], r("behaviour_score"))
+
+
+def _placed(s, d) -> DataFrame:
+    """Events of the log, mixed over neighbouring ranges, as the stream places them in sessions."""
+    from tidewatch.streaming.sessions import session_events_stream
+
+    log = checkpointed(_log(s, d))
+    stream = _stream(s, log, "log", closing=_end(log, "ts"), mixed=True)
+    out = _drain(s, session_events_stream(stream, gap_s=GAP, delay=_delay(log, "ts")), "placed")
+    return out.where("employee_id != '~end' AND NOT late")
 
 
 @query
-def str_alerts(s, d):
-    from tidewatch.streaming.alerts import alert_stream
+def str_order(s, d):
+    """Ordered features of sessions that the stream made."""
+    f = features.event_features(_placed(s, d), keys=["employee_id"])
+    return f.select("session_id", *[F.round(F.col(c) + 1.7e-8, 6).alias(c) for c in dims.ORDER_FEATURES])
+
 
-    x = _scored(s, d).select("session_id", F.col("start_time").alias("ts"), "risk_score")
-    twice = x.unionByName(x)
-    out = _drain(s, alert_stream(_stream(s, twice, "scored")), "alerts")
-    return out.select("session_id", "risk_score")
+@query
+def str_padded(s, d):
+    """Padded sequences of sessions that the stream made."""
+    return _padded(_placed(s, d))
+
+
+@query
+def str_alerts(s, d):
+    """Every session row comes twice; scored, gated and taken once in the stream, and written by batch."""
+    from tidewatch.streaming.alerts import alert_stream, score_stream, write_alerts
+
+    x = features.event_features(_events(s, d), keys=["employee_id"]).drop("event_ids")
+    stream = _stream(s, x.unionByName(x), "sessions", "start_time")
+    alerts = alert_stream(score_stream(stream, _emp(s, d))).select("session_id", "risk_score")
+    base = _work_folder(s, "alerts")
+    write_alerts(alerts, f"{base}/out", f"{base}/state", available_now=True).awaitTermination()
+    return s.read.schema(alerts.schema).parquet(f"{base}/out").select("session_id", "risk_score")

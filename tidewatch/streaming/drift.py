@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidewatch import dims
+from tidewatch.streaming.ordered import fold_stream
 
 _FIELDS = ["loc", "dev", "br", "os", "hr", "mask"]
-STATE = ("loc array<string>, dev array<string>, br array<string>, os array<string>, hr array<double>, mask array<bigint>")
-OUTPUT = "employee_id string, session_id string, " + ", ".join(f"{d} double" for d in dims.DEVIATIONS) + ", behaviour_score double, accepted boolean"
+STATE = "loc string, dev string, br string, os string, hr double, mask bigint"
+OUTPUT = ", ".join(f"{d} double" for d in dims.DEVIATIONS) + ", behaviour_score double, accepted boolean"
 
 
 def score_session(window: list[tuple], s: tuple, alpha: float = dims.LAPLACE_ALPHA) -> tuple[list[float], float]:
@@ -30,28 +27,27 @@ def score_session(window: list[tuple], s: tuple, alpha: float = dims.LAPLACE_ALP
     return devs, sum(d * w for d, w in zip(devs, dims.DEVIATIONS.values()))
 
 
-def _update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    window = list(zip(*state.get)) if state.exists else []
-    rows = []
-    for pdf in batches:  # one micro-batch of one entity
-        rows.extend(pdf[["start_time", "session_id", *_FIELDS]].itertuples(index=False, name=None))
+def fold_sessions(window: list[tuple], rows: list[tuple[int | None, dict]]) -> tuple[list[tuple], list[tuple]]:
+    """Scores sessions in order; an accepted one joins the window, which keeps the last ten."""
     out = []
-    for _, sid, *s in sorted(rows, key=lambda r: r[:2]):
-        s = (*s[:4], float(s[4]), int(s[5]))
+    for _, row in rows:
+        s = tuple(row[f] for f in _FIELDS)
         devs, score = score_session(window, s)
         accepted = score < dims.DRIFT_ACCEPT_BELOW
         if accepted:
             window = [*window, s][-dims.DRIFT_WINDOW:]
-        out.append((key[0], sid, *devs, score, accepted))
-    state.update(tuple(list(c) for c in zip(*window)) if window else tuple([] for _ in _FIELDS))
-    yield pd.DataFrame(out, columns=["employee_id", "session_id", *dims.DEVIATIONS, "behaviour_score", "accepted"])
+        out.append((*devs, score, accepted))
+    return window, out
+
 
+def drift_stream(sessions: DataFrame, delay: str = "1 day", idle: str | None = None, grace: str = "3650 days") -> DataFrame:
+    """Drift scores of a stream of session rows: employee_id, session_id, start_time, the deviations, behaviour_score, accepted, late.
 
-def drift_stream(sessions: DataFrame) -> DataFrame:
-    """Drift scores of a stream of session rows; sessions of an entity must arrive in
-    time order across micro-batches (within one they are sorted)."""
+    Sessions may come in any order within ``delay``; those that come later are returned with ``late`` set and without scores.  ``idle``: an entity
+    without a session for so long starts anew (None: its window stays).
+    """
     rows = sessions.select(
         "employee_id", "start_time", "session_id", F.col("office_location").alias("loc"), F.col("device_id").alias("dev"),
         F.col("browser").cast("string").alias("br"), F.col("operating_system").cast("string").alias("os"),
-        F.hour("start_time").cast("double").alias("hr"), F.coalesce("resource_mask", F.lit(0).cast("long")).alias("mask"))
-    return rows.groupBy("employee_id").applyInPandasWithState(_update, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
+        F.coalesce(F.hour("start_time").cast("double"), F.lit(0.0)).alias("hr"), F.coalesce("resource_mask", F.lit(0).cast("long")).alias("mask"))
+    return fold_stream(rows, ["employee_id"], "start_time", "session_id", fold_sessions, STATE, OUTPUT, delay, grace, idle).drop(*_FIELDS)
