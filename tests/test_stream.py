@@ -154,7 +154,7 @@ def test_alerts_once_after_a_failure_between_write_and_commit(spark, tmp_path):
 
     def start(written):
         stream = spark.readStream.schema(twice.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-        alerts = alert_stream(score_stream(stream, q._emp(spark, SF), model, names), watermark="9000 days").select("session_id", "risk_score", "prediction")
+        alerts = alert_stream(score_stream(stream, q._emp(spark, SF), model, names), watermark="9000 days").select("session_id", "risk_score", "predicted_label")
         return write_alerts(alerts, f"{tmp_path}/out", f"{tmp_path}/ck", True, written)
 
     query = start(fail)

