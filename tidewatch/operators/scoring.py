@@ -1,4 +1,4 @@
-"""Reconstruction scoring: a linear autoencoder fitted with Spark ML."""
+"""Reconstruction scoring: a linear autoencoder fitted with Spark ML; likelihood of the order of events."""
 
 from __future__ import annotations
 
@@ -7,7 +7,9 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch import dims
 from tidewatch.functions.columns import clamp, col
+from tidewatch.operators import ordering as od
 
 
 def fit_reconstructor(steps: DataFrame, k: int = 8, vec: str = "x") -> PCAModel:
@@ -73,3 +75,42 @@ def merge_scores(features: DataFrame, scores: DataFrame) -> DataFrame:
     """Features with their scores; sessions without one get 0."""
     s = scores.select("session_id", "reconstruction_error", "anomaly_score")
     return features.join(s, "session_id", "left").na.fill(0.0, ["reconstruction_error", "anomaly_score"])
+
+
+# --- order -----------------------------------------------------------------------
+
+#: What stands before a session's first event, and any type outside the catalogue.
+START, OTHER = "^", "~"
+
+
+def transitions(events: DataFrame, min_rows: int = od.HOT_ROWS) -> DataFrame:
+    """(session_id, before, after): the event types of neighbours in every session of a sessionised log, START before the first."""
+    kind = F.when(F.col("event_type").isin(dims.EVENT_TYPES), F.col("event_type")).otherwise(OTHER)
+    d, o = od.order_by(events.select("session_id", "pos", kind.alias("after")), ["session_id"], F.col("pos"), [], min_rows)
+    return od.done(od.position_and_lag(d, o, "_p", {"before": "after"})).select("session_id", F.coalesce("before", F.lit(START)).alias("before"), "after")
+
+
+def fit_transitions(steps: DataFrame, alpha: float = 1.0) -> DataFrame:
+    """(before, after, cost): minus the logarithm of the smoothed probability of each type after each other; 17 x 16 rows, unseen ones too.
+
+    Counts add up over any number of rows; the table's size is that of the catalogue.
+    """
+    kinds = [*dims.EVENT_TYPES, OTHER]
+    spark = steps.sparkSession
+    every = spark.createDataFrame([(a, b) for a in [START, *kinds] for b in kinds], "before string, after string")
+    counts = steps.groupBy("before", "after").agg(F.count("*").alias("n"))
+    whole = steps.groupBy("before").agg(F.count("*").alias("all"))
+    n = F.coalesce("n", F.lit(0))
+    cost = -F.log((n + alpha) / (F.coalesce("all", F.lit(0)) + alpha * len(kinds)))
+    return every.join(counts, ["before", "after"], "left").join(whole, "before", "left").select("before", "after", cost.alias("cost"))
+
+
+def fit_types(steps: DataFrame, alpha: float = 1.0) -> DataFrame:
+    """The same without order: every type costs its own smoothed share, whatever is before it."""
+    return fit_transitions(steps.withColumn("before", F.lit(START)), alpha).where(F.col("before") == START).select("after", "cost")
+
+
+def transition_error(steps: DataFrame, costs: DataFrame, on: list[str] | None = None) -> DataFrame:
+    """(session_id, order_error): mean cost of a session's steps."""
+    on = on or ["before", "after"]
+    return steps.join(F.broadcast(costs), on).groupBy("session_id").agg(F.avg("cost").alias("order_error"))  # a row for each pair of types

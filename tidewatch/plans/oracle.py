@@ -449,6 +449,13 @@ add("rsk_impact", "emb", "SELECT vec_id, " + ", ".join(f"{_imp(f'x{i}')} AS impa
 add("rsk_at_least", "sc", "SELECT session_id, severity FROM sc WHERE severity <> 'Low'")
 add("rsk_severity_counts", "sc", "SELECT severity, count(*) AS n FROM sc GROUP BY 1")
 
+_ORDER = f"""WITH tr AS (SELECT session_id, CASE WHEN event_type IN {_in(dims.EVENT_TYPES)} THEN event_type ELSE '~' END AS b,
+  coalesce(lag(CASE WHEN event_type IN {_in(dims.EVENT_TYPES)} THEN event_type ELSE '~' END) OVER (PARTITION BY session_id ORDER BY ts, event_id), '^') AS a FROM se),
+  sp AS ({{split}}), fit AS (SELECT tr.* FROM tr JOIN sp USING (session_id) WHERE split = 'train'),
+  pair AS (SELECT a, b, count(*) AS n FROM fit GROUP BY 1, 2), one AS (SELECT a, count(*) AS m FROM fit GROUP BY 1), kind AS (SELECT b, count(*) AS n FROM fit GROUP BY 1),
+  err AS (SELECT session_id, avg(-ln((coalesce(pair.n, 0) + 1) / (coalesce(one.m, 0) + 16.0::DOUBLE))) AS e, avg(-ln((coalesce(kind.n, 0) + 1) / ((SELECT count(*) FROM fit) + 16.0::DOUBLE))) AS f
+    FROM tr LEFT JOIN pair USING (a, b) LEFT JOIN one USING (a) LEFT JOIN kind USING (b) GROUP BY 1)"""
+
 # attributions of a forest sum to prediction less expectation
 add("exp_forest", "rows", "SELECT session_id, 0.0::DOUBLE AS off, true AS explained FROM rows")
 
@@ -470,6 +477,11 @@ def _split(label: str) -> str:
 
 add("spl_stratified", "rows", _split("attack_type"))
 add("spl_one_class", "rows", f"SELECT * FROM ({_split('is_anomalous')}) WHERE split = 'test' OR NOT is_anomalous")
+_order_split = _ORDER.format(split="SELECT * FROM (" + _split("is_anomalous") + ") WHERE split = 'test' OR NOT is_anomalous")
+add("sco_transitions", "rows", _order_split + " SELECT session_id, round(e, 6) AS order_error FROM err")
+add("sco_order_auc", "rows", _order_split + """, t AS (SELECT n AS "by", CASE WHEN n = 'order' THEN round(e, 7) ELSE round(f, 7) END AS x, is_anomalous AS y FROM err JOIN sp USING (session_id), (VALUES ('order'), ('types')) v(n) WHERE split = 'test'),
+  k AS (SELECT *, rank() OVER (PARTITION BY "by" ORDER BY x) + (count(*) OVER (PARTITION BY "by", x) - 1) / 2.0 AS k FROM t)
+  SELECT "by", round((sum(CASE WHEN y THEN k ELSE 0 END)::DOUBLE - sum(y::INT) * (sum(y::INT) + 1) / 2.0) / (sum(y::INT)::DOUBLE * sum((NOT y)::INT)), 6) AS roc_auc FROM k GROUP BY 1""")
 add("enc_ordinal", "ev", "SELECT event_id, CASE WHEN resource IS NULL THEN -1 ELSE d.code END::BIGINT AS code FROM ev LEFT JOIN (SELECT resource, dense_rank() OVER (ORDER BY resource) - 1 AS code FROM (SELECT DISTINCT resource FROM ev WHERE resource IS NOT NULL)) d USING (resource)")
 add("enc_clean", None, "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber <= 3 THEN 0 ELSE l_quantity END AS q, CASE WHEN l_linenumber IN (4, 5) THEN 'Normal' ELSE l_returnflag END AS attack_type FROM lineitem")
 add("enc_weights", "rows", "SELECT session_id, round((SELECT count(*) FROM rows)::DOUBLE / ((SELECT count(DISTINCT attack_type) FROM rows) * count(*) OVER (PARTITION BY attack_type)), 6) AS weight FROM rows")

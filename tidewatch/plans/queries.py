@@ -684,6 +684,32 @@ def sco_reconstruct(s, d):
     return score_sessions(_events(s, d), _rows(s, d)).select("session_id", r("reconstruction_error"), r("anomaly_score"))
 
 
+def _order(s, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(steps, steps of the normal training sessions, split)."""
+    steps = checkpointed(scoring.transitions(_events(s, d)))
+    split = checkpointed(sequences.one_class_split(_rows(s, d).select("session_id", "is_anomalous")))
+    return steps, steps.join(split.where("split = 'train'"), "session_id", "left_semi"), split
+
+
+@query
+def sco_transitions(s, d):
+    """Cost of the order of events, by transitions of normal training sessions; all sessions."""
+    steps, train, _ = _order(s, d)
+    return scoring.transition_error(steps, scoring.fit_transitions(train)).select("session_id", r("order_error"))
+
+
+@query
+def sco_order_auc(s, d):
+    """Ranking of the held-out sessions by order of events, and by types alone."""
+    steps, train, split = _order(s, d)
+    test = split.where("split = 'test'").select("session_id", F.col("is_anomalous").cast("int").alias("label"))
+    order = scoring.transition_error(steps, scoring.fit_transitions(train))
+    single = scoring.transition_error(steps, scoring.fit_types(train), ["after"])
+    parts = [metrics.roc_auc(x.join(test, "session_id").select(F.round("order_error", 7).alias("e"), "label"), "e", "label").select(F.lit(n).alias("by"), r("roc_auc"))
+             for n, x in (("order", order), ("types", single))]
+    return parts[0].unionByName(parts[1])
+
+
 @query
 def sco_all_components(s, d):
     """With as many components as dimensions nothing is lost."""
