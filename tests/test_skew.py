@@ -99,11 +99,20 @@ def test_components_random(spark):
     want = {s: find(s) for s in parent}
     for order in (rows, rows[::-1]):
         inc = spark.createDataFrame(order, "session_id string, employee_id string, source_ip string, device_id string, ts timestamp")
-        for n in (10**9, 20):
-            got = campaigns.components(campaigns.runs(inc, min_rows=n), min_rows=n)
+        for n, finish in ((10**9, 10**6), (20, 15)):
+            got = campaigns.components(campaigns.runs(inc, min_rows=n), finish)
             assert dict(map(tuple, got.select("session_id", "component").collect())) == want
 
 
+def test_components_of_a_long_path(spark):
+    """A path of 10,000 incidents in order is contracted in few rounds of falling size."""
+    runs = spark.range(10_000).select("id", F.explode(F.array(F.col("id"), F.col("id") + 1)).alias("i")).selectExpr("lpad(string(i), 6, '0') session_id", "string(id) run")
+    sizes = []
+    got = campaigns.components(runs, finish=0, sizes=sizes).groupBy("component").count().collect()
+    assert [tuple(r) for r in got] == [("000000", 10_001)]
+    assert len(sizes) <= 20 and sizes == sorted(set(sizes), reverse=True)
+
+
 def test_paged_lists(spark):
     d = spark.range(25).select(F.lit("a").alias("g"), F.col("id").alias("p"), F.col("id").cast("string").alias("v"))
     got = ordering.paged_lists(d, ["g"], "p", "v", "vs", 10).orderBy("page").collect()

@@ -9,6 +9,7 @@ the incident-run graph are the campaigns; no pair is ever formed.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +22,8 @@ from tidewatch.operators.incidents import severity_label
 from tidewatch.operators.skew import skew_join
 
 WINDOW_HOURS = 24.0
+#: Edges that one task solves at once.
+FINISH = 200_000
 KINDS = {"ip": "source_ip", "employee": "employee_id", "device": "device_id"}
 BASE_DAY = "2026-07-25"  # day given to incidents without a timestamp
 
@@ -61,29 +64,66 @@ def runs(inc: DataFrame, hours: float = WINDOW_HOURS, min_rows: int = od.HOT_ROW
     return od.done(d).select("session_id", F.concat_ws("|", "kind", "value", "run_no").alias("run"))
 
 
-def components(member_runs: DataFrame, min_rows: int = od.HOT_ROWS) -> DataFrame:
+def components(member_runs: DataFrame, finish: int = FINISH, sizes: list[int] | None = None) -> DataFrame:
     """(session_id, component) of the bipartite incident-run graph.
 
-    The label of a component is its smallest session id.  Each round takes the
-    minimum over runs and then jumps to the label's own label, so long chains
-    shrink geometrically; rounds stop when no label changes.  Lineage is cut by a
-    reliable checkpoint, minima combine map-side, hot runs and hot labels join
-    through ``skew_join``.
+    The label of a component is its smallest session id.  Each run is a star of edges to its smallest session.  A round maps every node of the edge list to
+    its neighbour of least priority (a hash, new in each round; itself if that is less), and on to that one's own, and renames the ends of all
+    edges.  Edges inside a new node go, and with them components that are done, so the list shrinks by a constant factor in expectation, whatever
+    the shape.  A list of at most ``finish`` edges is solved by one task.  The maps, each smaller than the one before, are put together at the end.
+
+    Maps and lists are checkpointed; minima combine before the shuffle, and the other side of each join is unique.  ``sizes`` gets the lengths of the lists.
     """
     member_runs = checkpointed(member_runs)
-    label = checkpointed(member_runs.groupBy("session_id").agg(F.min("session_id").alias("component")))
-    while True:
-        run_min = (member_runs.join(label, "session_id").groupBy("run").agg(F.min("component").alias("_m")))
-        near = (skew_join(member_runs, run_min, "run", min_rows=min_rows)
-                .groupBy("session_id").agg(F.min("_m").alias("_m")))
-        moved = checkpointed(label.join(near, "session_id").select(
-            "session_id", F.col("component").alias("_old"), F.least("component", "_m").alias("component")))
-        target = moved.select(F.col("session_id").alias("component"), F.col("component").alias("_t"))
-        jumped = checkpointed(skew_join(moved, target, "component", min_rows=min_rows).select(
-            "session_id", "_old", F.least("component", "_t").alias("component")))
-        label = jumped.select("session_id", "component")
-        if not jumped.where(F.col("_old") != F.col("component")).limit(1).count():
-            return label
+    low = member_runs.groupBy("run").agg(F.min("session_id").alias("_m"))
+    edges = checkpointed(member_runs.join(low, "run").select(F.col("session_id").alias("u"), F.col("_m").alias("v")).where("u != v").distinct())
+    maps: list[DataFrame] = []
+    while left := edges.count():
+        if sizes is not None:
+            sizes.append(left)
+        if left <= finish:
+            maps.append(checkpointed(edges.groupBy(F.lit("all")).applyInArrow(_solve, f"node {edges.schema['u'].dataType.simpleString()}, center {edges.schema['u'].dataType.simpleString()}")))
+            break
+        def priority(x: str) -> Column:
+            return F.struct(F.xxhash64(x, F.lit(len(maps))).alias("h"), F.col(x).alias("x"))
+
+        ends = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        near = ends.groupBy("u").agg(F.min(priority("v")).alias("_p")).select(F.col("u").alias("node"), F.least("_p", priority("u"))["x"].alias("center"))
+        further = near.select(F.col("node").alias("center"), F.col("center").alias("_next"))
+        maps.append(checkpointed(near.join(further, "center").select("node", F.col("_next").alias("center"))))
+        renamed = edges
+        for end in ("u", "v"):
+            renamed = renamed.join(maps[-1].select(F.col("node").alias(end), F.col("center").alias(f"_{end}")), end)
+        edges = checkpointed(renamed.select(F.greatest("_u", "_v").alias("u"), F.least("_u", "_v").alias("v")).where("u != v").distinct())
+    nodes = member_runs.select("session_id").distinct()
+    if not maps:
+        return nodes.select("session_id", F.col("session_id").alias("component"))
+    whole = maps.pop()
+    while maps:
+        after = whole.select(F.col("node").alias("center"), F.col("center").alias("_end"))
+        whole = maps.pop().join(after, "center", "left").select("node", F.coalesce("_end", "center").alias("center"))
+    whole = checkpointed(whole)
+    least = whole.groupBy("center").agg(F.min(F.least("node", "center")).alias("component"))
+    named = whole.join(least, "center").select(F.col("node").alias("session_id"), "component")
+    return nodes.join(named, "session_id", "left").select("session_id", F.coalesce("component", "session_id").alias("component"))
+
+
+def _solve(edges: pa.Table) -> pa.Table:
+    """Components of a short edge list: every node with one node of its component."""
+    parent: dict = {}
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for u, v in zip(edges.column("u").to_pylist(), edges.column("v").to_pylist()):
+        parent.setdefault(u, u)
+        parent.setdefault(v, v)
+        parent[root(u)] = root(v)
+    nodes = list(parent)
+    kind = edges.schema.field("u").type
+    return pa.table([pa.array(nodes, kind), pa.array([root(x) for x in nodes], kind)], ["node", "center"])
 
 
 def drop_minor(members: DataFrame) -> DataFrame:
