@@ -242,12 +242,15 @@ def ranks(tokens: DataFrame, floor: tuple[int, ...] = (END_ID,)) -> list[int]:
     """All ids of the corpus, most frequent first (ties: smaller id).  One row for each id reaches the driver: bounded by the vocabulary."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(0, dtype=np.int64)
-        for b in batches:
-            for width, ids in zip(b.column(0).to_pylist(), b.column(1)):
-                c = np.bincount(np.frombuffer(ids.as_buffer(), dtype=f"<u{width}"))
-                if len(c) > len(counts):
-                    counts = np.pad(counts, (0, len(c) - len(counts)))
-                counts[:len(c)] += c
+        for whole in batches:
+            for b in long_batches(whole, "ids"):
+                for width in set(b.column(0).to_pylist()):
+                    rows = b.column(1).filter(pc.equal(b.column(0), width))
+                    # all ids of the slice at once: a count of its own for each document would be as long as the vocabulary
+                    c = np.bincount(np.frombuffer(b"".join(x.as_buffer() for x in rows), dtype=f"<u{width}"))
+                    if len(c) > len(counts):
+                        counts = np.pad(counts, (0, len(c) - len(counts)))
+                    counts[:len(c)] += c
         seen = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(counts[seen], pa.int64())], ["id", "n"])
 
