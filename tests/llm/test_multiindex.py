@@ -79,3 +79,11 @@ def test_repeated_rows_push_nothing_out(spark):
     r = np.random.default_rng(4)
     near = [(7, np.round(r.normal(size=6) / 100 + 1, 3).astype(np.float32).tolist(), "x", 1) for _ in range(40)]
     assert found(spark, data() + near + [(5000, [1.0] * 6, "x", 1)]) == brute(data() + near + [(5000, [1.0] * 6, "x", 1)])
+
+
+def test_queries_with_a_common_divisor_use_every_team():
+    for split in (2, 4, 5, 10, 25, 50):
+        n = np.bincount(multiindex.teams(list(range(0, 400_000, 100)), split), minlength=split)
+        # about 4,000 / split each, give or take a random spread
+        assert len(n) == split and abs(n - n.mean()).max() < 5 * n.mean() ** 0.5
+    assert set(multiindex.teams([-100, 0, 2**62], 1)) == {0}

@@ -25,7 +25,7 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, Window
 
-from .common import stored
+from .common import mix, stored
 
 #: Vectors the centroids are fitted on at most (smallest id hashes), entries in a cell aimed at, centroids of a half at most.
 SAMPLE, CELL, CENTROIDS = 20_000, 48, 1_024
@@ -58,6 +58,11 @@ def _squares(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.maximum((x ** 2).sum(1)[:, None] - 2 * x @ c.T + (c ** 2).sum(1), 0)
 
 
+def teams(ids: list[int], split: int) -> list[int]:
+    """The team of each query, by a hash: ids asked for often have a divisor in common."""
+    return (mix(np.array(ids, dtype=np.int64).view(np.uint64)) % np.uint64(split)).tolist()
+
+
 def walk(first: np.ndarray, second: np.ndarray, counts: np.ndarray, want: int) -> list[int]:
     """Cells (i * number of second centroids + j) in the order of first[i] + second[j], until they hold ``want`` entries or all are seen.
 
@@ -195,13 +200,14 @@ def search(rows: DataFrame, queries: DataFrame, neighbours: int = 10, candidates
             raws = b.column(1).to_pylist()
             x = np.frombuffer(b"".join(raws), "<f8").reshape(-1, width)
             first, second = (_squares(x[:, :half], one), _squares(x[:, half:], two)) if len(x) else ((), ())
-            for i, (q, raw) in enumerate(zip(b.column(0).to_pylist(), raws)):
+            ids = b.column(0).to_pylist()
+            for i, (q, raw, own) in enumerate(zip(ids, raws, teams(ids, split))):
                 on: dict[tuple[int, int], list[int]] = {}
                 for c in walk(first[i], second[i], held, candidates):
                     for p in range(parts[c]):
                         on.setdefault((int(shelf[c]), p), []).append(c)
                 n = len(on)
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in on], pa.int32()), pa.array([p for _, p in on], pa.int32()), pa.array([q % split] * n, pa.int32()),
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in on], pa.int32()), pa.array([p for _, p in on], pa.int32()), pa.array([own] * n, pa.int32()),
                                                   pa.array([q] * n, pa.int64()), pa.array([raw] * n, pa.binary()), pa.array(list(on.values()), pa.list_(pa.int32()))],
                                                  ["shelf", "part", "team", "query_id", "raw", "cells"])
 
