@@ -76,7 +76,7 @@ def test_pieces_rebuild_all_documents(spark, monkeypatch, length, block):
     monkeypatch.setattr(packing, "SHORTEST", min(256, length // 8))
     rows = documents() + [(None, "no key here.", None, None)]
     share = check(rows, packing.pack(table(spark, rows), vocabulary(), length).collect(), length)
-    assert share < (0.2 if length == 2048 else 0.6)  # four short ranges
+    assert share < 0.1
 
 
 def test_one_key_holds_most_rows(spark):

@@ -9,7 +9,8 @@ nothing where its length is a power of two from ``SHORTEST`` on; and ``SEQUENCE`
 The first minimum is that of cost(i) + p(i) over a sliding window, kept in a monotone queue, so a transition takes constant time; the second looks at most at one i for each k.
 
 The row is dealt to tasks as ranges of the key, one pass of the ids through a shuffle.  A task reads its range in order and solves it in blocks of about ``BLOCK`` ids
-(memory, not result, is bounded by it: the last sequences of a block are left open and go on with the next one).  Each range ends with one sequence that may be short.
+(memory, not result, is bounded by it: the last sequences of a block are left open and go on with the next one).  The last block of a range may have shorter
+sequences too, down to one id, so that a range's end needs hardly any padding.
 Sequences are numbered over all ranges from the ranges' totals, one row each.
 
 Null texts count as empty (the end id only).  Rows that repeat a key stay, next to each other.  A null key stands first.  No rows give no pieces.  Other columns are left out.
@@ -138,13 +139,14 @@ class _Row:
         ids = np.concatenate(self.ids)
         ends = np.cumsum([len(x) for x in self.ids])
         at, penalty = possible_cuts(ids, ends, self.stops)
-        if last:  # places from which the end of the row is a whole number of short sequences
-            more = len(ids) - np.arange(SHORTEST, min(2 * self.length, len(ids)), SHORTEST)
+        if last:  # the end of the row may be cut into powers of two, so that it needs hardly any padding
+            more = len(ids) - np.append(np.arange(SHORTEST, 2 * self.length, SHORTEST), np.arange(1, SHORTEST))
+            more = more[more > 0]
             both = np.union1d(at, more)
             wide = np.full(len(both), ANYWHERE, dtype=np.int64)
             wide[np.searchsorted(both, at)] = penalty
             at, penalty = both, wide
-        cuts = at[best_cuts(at, penalty, self.length, SHORTEST)[0]]
+        cuts = at[best_cuts(at, penalty, self.length, 1 if last else SHORTEST)[0]]
         if not last:
             cuts = cuts[:-2]
         if len(cuts) < 2:
