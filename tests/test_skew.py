@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.functions.columns import micros
-from tidewatch.operators import campaigns, features, metrics, ordering, sequences, sessions
+from tidewatch.operators import behavior, campaigns, features, metrics, ordering, sequences, sessions
 from tidewatch.operators.skew import skew_join
 from tidewatch.plans import queries as q
 
@@ -48,6 +48,41 @@ def test_running(spark, hot_log):
     same(run(100), run(10**9))
 
 
+def test_moments_masks_and_counts(spark):
+    """Equal to two passes over the earlier values, near 1e9 too, whatever the layout."""
+    rng = random.Random(3)
+    rows = [("hot" if i % 3 else None if i % 2 else f"k{i % 5}", i, None if i % 11 == 0 else 1e9 + rng.random(), 1 << rng.randrange(6), rng.choice("abc") if i % 7 else None)
+            for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, i long, x double, mask long, v string")
+    for n in (20, 10**9):
+        d, o = ordering.order_by(df, ["k"], F.col("i"), [], n)
+        assert o.sliced == (n == 20)
+        d = ordering.count_before(ordering.running_mask(ordering.running_moments(d, o, {"m": "x"}), o, "had", "mask"), o, {"seen": "v"})
+        got = {r["i"]: r for r in ordering.done(d).collect()}
+        assert len(got) == len(rows)
+        for k, i, _, _, v in rows:
+            past = [r for r in rows[:i] if r[0] == k]
+            xs = [r[2] for r in past if r[2] is not None]
+            g, had = got[i], 0
+            for r in past:
+                had |= r[3]
+            assert (g["had"], g["seen"], g["m_n"]) == (had, sum(r[4] == v for r in past), len(xs))
+            if not xs:
+                assert g["m_mean"] is None and g["m_sd"] is None
+                continue
+            mean = sum(x - 1e9 for x in xs) / len(xs)
+            sd = (sum((x - 1e9 - mean) ** 2 for x in xs) / len(xs)) ** 0.5
+            assert abs(g["m_mean"] - 1e9 - mean) < 1e-6 and abs(g["m_sd"] - sd) < 1e-6
+
+
+def test_baselines_and_novelty(spark):
+    numbered = q._num(spark, SF)
+    same(behavior.novelty_flags(numbered, min_rows=20), behavior.novelty_flags(numbered))
+    a, b = (behavior.baseline_asof(numbered, min_rows=n) for n in (20, 10**9))
+    fine = [F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in a.dtypes]
+    same(a.select(fine), b.select(fine))
+
+
 def test_dedup(spark, hot_log):
     e = hot_log.withColumn("session_id", F.col("employee_id")).withColumn("ts", F.date_trunc("hour", "ts"))
     a, b = (sessions.dedup_timestamps(e, min_rows=n).select("event_id", "new_second") for n in (50, 10**9))

@@ -77,40 +77,23 @@ def baseline_maps(shares: DataFrame) -> DataFrame:
 def baseline_asof(numbered: DataFrame, min_rows: int = od.HOT_ROWS, check: bool = True) -> DataFrame:
     """Baseline of the earlier sessions only, at every session.
 
-    Scalars are running moments; for each kind the share is that of the
-    session's own value among the earlier sessions (``change log`` of all values:
-    :func:`baseline_history`).
+    Scalars are running moments of centred values; for each kind the share is that of
+    the session's own value among the earlier sessions (``change log`` of all values:
+    :func:`baseline_history`).  One layout by entity serves them all.
     """
-    out = numbered
-    n = F.col("n_before")
-    moments = {"dur": "duration_seconds", "act": "n_events"}
-    out = (out.withColumn("_hour", F.hour("start_time").cast("double"))
+    n, own = F.col("n_before"), numbered.columns
+    out = (numbered.withColumn("_hour", F.hour("start_time").cast("double"))
            .withColumn("_weekend", F.when(F.weekday("start_time") >= 5, 1.0).otherwise(0.0))
            .withColumn("_remote", F.col("remote_session").cast("double")))
-    sums = {"s_hour": "_hour", "s_weekend": "_weekend", "s_remote": "_remote"}
-    for k, c in moments.items():
-        out = out.withColumn(f"_{k}", F.col(c).cast("double")).withColumn(f"_{k}2", F.col(c).cast("double") ** 2)
-        sums |= {f"s_{k}": f"_{k}", f"s_{k}2": f"_{k}2"}
-    out, o = od.order_by(out, ["employee_id"], F.col("n_before"), [], min_rows, check)
-    out = od.done(od.running_sum(out, o, sums))
-    for name, src in sums.items():  # inclusive -> earlier sessions only
-        out = out.withColumn(name, F.col(name) - F.col(src))
-
-    def mean(x: str) -> Column:
-        return F.when(n > 0, F.col(x) / n)
-
-    def sd(x: str) -> Column:
-        return F.when(n > 1, F.sqrt(F.greatest(F.col(f"{x}2") / n - (F.col(x) / n) ** 2, F.lit(0.0))))
-
-    out = out.select(
-        *numbered.columns, mean("s_hour").alias("mean_hour"), mean("s_weekend").alias("weekend_share"),
-        mean("s_remote").alias("remote_share"), (mean("s_dur") / 60).alias("mean_minutes"),
-        (sd("s_dur") / 60).alias("sd_minutes"), mean("s_act").alias("mean_actions"), sd("s_act").alias("sd_actions"))
-    for kind, c in KINDS.items():
-        d, o = od.order_by(out, ["employee_id", c], F.col("n_before"), [], min_rows, check)
-        out = od.done(od.position_and_lag(d, o, "_seen")).withColumn(
-            f"{kind}_share", F.when(n > 0, F.col("_seen") / n)).drop("_seen")
-    return out
+    out, o = od.order_by(out, ["employee_id"], n, [], min_rows, check)
+    out = od.running_moments(out, o, {"_h": "_hour", "_w": "_weekend", "_r": "_remote", "_d": "duration_seconds", "_a": "n_events"})
+    out = od.done(od.count_before(out, o, {f"_seen_{kind}": c for kind, c in KINDS.items()}))
+    return out.select(
+        *own, F.col("_h_mean").alias("mean_hour"), F.col("_w_mean").alias("weekend_share"),
+        F.col("_r_mean").alias("remote_share"), (F.col("_d_mean") / 60).alias("mean_minutes"),
+        F.when(n > 1, F.col("_d_sd") / 60).alias("sd_minutes"), F.col("_a_mean").alias("mean_actions"),
+        F.when(n > 1, F.col("_a_sd")).alias("sd_actions"),
+        *[F.when(n > 0, F.col(f"_seen_{kind}") / n).alias(f"{kind}_share") for kind in KINDS])
 
 
 def baseline_history(numbered: DataFrame, min_rows: int = od.HOT_ROWS, check: bool = True) -> DataFrame:
@@ -319,33 +302,23 @@ def novelty_flags(numbered: DataFrame, min_rows: int = od.HOT_ROWS, check: bool
     than two standard deviations off with three or more earlier sessions.  All zero
     for the first session.
 
-    A flagged session is the entity's first one with the value, so each flag is a
-    keyed minimum (combined map-side) joined back on the unique session id.
+    A flagged session is the entity's first one with the value.  One layout by entity
+    serves all flags: counts of earlier equal values, the union of earlier resource
+    masks and running moments of the hour; nothing is joined back.
     """
     names = {"location_deviation": "office_location", "device_deviation": "device_id",
              "browser_deviation": "browser", "operating_system_deviation": "operating_system"}
-    vals = F.array(*[F.struct(F.lit(d).alias("flag"), F.col(c).cast("string").alias("value"))
-                     for d, c in names.items()])
-    attrs = numbered.select("employee_id", "n_before", "session_id", F.inline(vals))
-    res = numbered.select("employee_id", "n_before", "session_id", F.lit("resource_access_deviation").alias("flag"),
-                          F.explode(F.transform(resource_bits(), lambda b: b.cast("string"))).alias("value"))
-    firsts = (attrs.unionByName(res).groupBy("employee_id", "flag", "value")
-              .agg(F.min_by("session_id", "n_before").alias("session_id")))
-    cols = [*names, "resource_access_deviation"]
-    flags = firsts.groupBy("session_id").agg(*[
-        F.max(F.when(F.col("flag") == c, 1.0).otherwise(0.0)).alias(c) for c in cols])
-    h, o = od.order_by(numbered.withColumn("_h", F.hour("start_time").cast("double"))
-                       .withColumn("_h2", F.hour("start_time").cast("double") ** 2),
-                       ["employee_id"], F.col("n_before"), [], min_rows, check)
-    h = od.done(od.running_sum(h, o, {"_s": "_h", "_s2": "_h2"}))
     n = F.col("n_before")
-    earlier = F.when(n > 0, n)
-    mean = (F.col("_s") - F.col("_h")) / earlier
-    sd = F.sqrt(F.greatest((F.col("_s2") - F.col("_h2")) / earlier - mean ** 2, F.lit(0.0)))
-    odd = (n >= 3) & (sd > 0.1) & (F.abs(F.col("_h") - mean) > 2 * sd)
-    out = h.withColumn("working_hours_deviation", F.when(odd, 1.0).otherwise(0.0)).join(flags, "session_id", "left")
-    return out.select("session_id", "employee_id", "n_before", *[
-        (F.when(n == 0, 0.0).otherwise(F.coalesce(F.col(c), F.lit(0.0)))).alias(c) for c in dims.DEVIATIONS])
+    h = (numbered.withColumn("_hour", F.hour("start_time").cast("double"))
+         .withColumn("_mask", F.coalesce("resource_mask", F.lit(0).cast("long")).bitwiseAND((1 << len(dims.RESOURCES)) - 1)))
+    h, o = od.order_by(h, ["employee_id"], n, [], min_rows, check)
+    h = od.running_mask(od.running_moments(h, o, {"_h": "_hour"}), o, "_had", "_mask")
+    h = od.done(od.count_before(h, o, {f"_seen_{d}": c for d, c in names.items()}))
+    odd = {d: F.col(f"_seen_{d}") == 0 for d in names}
+    odd["resource_access_deviation"] = F.col("_mask").bitwiseAND(F.bitwise_not("_had")) != 0
+    odd["working_hours_deviation"] = (n >= 3) & (F.col("_h_sd") > 0.1) & (F.abs(F.col("_hour") - F.col("_h_mean")) > 2 * F.col("_h_sd"))
+    return h.select("session_id", "employee_id", "n_before",
+                    *[F.when((n > 0) & odd[d], 1.0).otherwise(0.0).alias(d) for d in dims.DEVIATIONS])
 
 
 # --- access checks -----------------------------------------------------------

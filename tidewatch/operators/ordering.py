@@ -135,6 +135,76 @@ def running_max(df: DataFrame, o: Order, name: str, src: str) -> DataFrame:
     return _attach(out, tot, o).withColumn(name, F.greatest(name, "_pm")).drop("_pm")
 
 
+def running_moments(df: DataFrame, o: Order, moments: dict[str, str]) -> DataFrame:
+    """Count, mean and population deviation of the earlier rows' non-NULL values.
+
+    ``moments`` maps a name to the source column; ``{name}_n``, ``{name}_mean`` and
+    ``{name}_sd`` are added (mean and deviation NULL without earlier values).  Squares
+    are centred, so large values with a small spread keep their digits: inside a slice
+    by Spark's central moments, across slices around the mean of the whole key.
+    """
+    w = o.window().rowsBetween(Window.unboundedPreceding, -1)
+    v = {name: F.col(src).cast("double") for name, src in moments.items()}
+    out = df.withColumns({f"{name}_{part}": fn(x).over(w) for name, x in v.items()
+                          for part, fn in (("n", F.count), ("mean", F.avg), ("sd", F.stddev_pop))})
+    if not o.sliced:
+        return out
+    zero = F.lit(0.0)
+    tot = _totals(df, o, [c for name, x in v.items() for c in (
+        F.count(x).alias(f"_n_{name}"), F.coalesce(F.avg(x), zero).alias(f"_m_{name}"), F.coalesce(F.var_pop(x), zero).alias(f"_v_{name}"))])
+    every = Window.partitionBy(*o.keys)
+    wt = every.orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    for name in moments:
+        n, m = F.col(f"_n_{name}"), F.col(f"_m_{name}")
+        tot = tot.withColumn(f"_r_{name}", F.coalesce(F.sum(n * m).over(every) / F.nullif(F.sum(n).over(every), F.lit(0)), zero))
+        off = m - F.col(f"_r_{name}")
+        tot = (tot.withColumn(f"_p_{name}", F.coalesce(F.sum(n).over(wt), F.lit(0)))
+               .withColumn(f"_s_{name}", F.coalesce(F.sum(n * off).over(wt), zero))
+               .withColumn(f"_t_{name}", F.coalesce(F.sum(n * (F.col(f"_v_{name}") + off * off)).over(wt), zero)))
+    out = _attach(out, tot.select(*o.keys, _SLICE, *[f"_{x}_{name}" for name in moments for x in "rpst"]), o)
+    for name in moments:
+        n, mean, sd = (F.col(f"{name}_{x}") for x in ("n", "mean", "sd"))
+        before, a = F.col(f"_p_{name}"), F.col(f"_s_{name}")
+        both, mean0 = n + before, F.col(f"_r_{name}") + a / before
+        gap = mean - mean0
+        square = F.greatest(F.col(f"_t_{name}") - a * a / before, zero) + n * F.coalesce(sd, zero) ** 2 + F.coalesce(gap * gap * n * before / both, zero)
+        led = F.coalesce(before, F.lit(0)) > 0
+        out = out.withColumns({f"{name}_n": F.when(led, both).otherwise(n),
+                               f"{name}_mean": F.when(led, F.coalesce(mean0 + gap * n / both, mean0)).otherwise(mean),
+                               f"{name}_sd": F.when(led, F.sqrt(square / both)).otherwise(sd)})
+    return out.drop(*[f"_{x}_{name}" for name in moments for x in "rpst"])
+
+
+def running_mask(df: DataFrame, o: Order, name: str, src: str) -> DataFrame:
+    """Union of the bits of ``src`` in the earlier rows; 0 without any."""
+    out = df.withColumn(name, F.coalesce(F.bit_or(src).over(o.window().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    if not o.sliced:
+        return out
+    wt = Window.partitionBy(*o.keys).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    tot = _totals(df, o, [F.bit_or(src).alias("_m")]).select(*o.keys, _SLICE, F.bit_or("_m").over(wt).alias("_pm"))
+    return _attach(out, tot, o).withColumn(name, F.col(name).bitwiseOR(F.coalesce("_pm", F.lit(0)))).drop("_pm")
+
+
+def count_before(df: DataFrame, o: Order, values: dict[str, str]) -> DataFrame:
+    """How many earlier rows of the key have the row's own value (NULL is a value); ``values`` maps a new name to the column.
+
+    Costs a sort for each column but no shuffle on plain frames.
+    """
+    part = [*o.keys, *([_SLICE] if o.sliced else [])]
+    out = df
+    for name, src in values.items():
+        w = Window.partitionBy(*part, src).orderBy(_BY, *o.ties)
+        out = out.withColumn(name, (F.row_number().over(w) - 1).cast("long"))
+    if not o.sliced:
+        return out
+    for name, src in values.items():
+        wt = Window.partitionBy(*o.keys, src).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
+        tot = df.where(_HOT).groupBy(*o.keys, _SLICE, src).agg(F.count("*").alias("_c"))
+        tot = tot.select(*o.keys, _SLICE, src, F.sum("_c").over(wt).alias("_off"))
+        out = _join(out, tot, [*o.keys, _SLICE, src]).withColumn(name, F.col(name) + F.coalesce("_off", F.lit(0))).drop("_off")
+    return out
+
+
 def carry_last(df: DataFrame, o: Order, name: str, value: Column) -> DataFrame:
     """Last non-NULL ``value`` up to and including each row."""
     df = df.withColumn("_value", value)
