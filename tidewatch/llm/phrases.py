@@ -7,8 +7,8 @@ A word goes if a window of ``WINDOW`` consecutive words that covers it starts ea
 2. Windows with such an anchor are candidates.  They are confirmed by grouping: a window in two documents or more is a phrase, and the document with the
    smallest id has it first.  (Windows that repeat inside one document are found while it is read.)
 3. Phrases are compiled into automata, one for each shard of anchors, of bounded size; an anchor that very many places share
-   gets several copies of its shard.  The candidate stretches of all documents stream through the automaton of their shard, which finds every
-   occurrence of every phrase, word by word.
+   gets several copies of its shard.  The candidate stretches of all documents stream past the automaton of their shard: those with the hash of one of its
+   phrases are read by it, word by word, which finds every occurrence of every phrase (the others hold none: equal windows have equal hashes).
 4. Documents with findings are read again, and the words that are left are joined.
 
 A document whose words all equal those of one with a smaller id is wholly repeated and needs no search.  Null and empty texts have no words.  Rows that repeat an
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -50,17 +51,19 @@ class _Windows:
         first = np.repeat(self.bound[:-1], np.maximum(count - WINDOW + 1, 0))
         inside = np.arange(len(self.doc)) - np.repeat(np.cumsum(np.maximum(count - WINDOW + 1, 0)) - np.maximum(count - WINDOW + 1, 0), np.maximum(count - WINDOW + 1, 0))
         self.at, self.place = first + inside, inside
-        runs = shingle_hashes(self.words, RUN)
-        if len(self.at):
-            low = np.minimum(runs[:-1], runs[1:])
-            low = np.minimum(low[:-2], low[2:])
-            low = np.minimum(low[:-4], low[4:])
-            low = np.minimum(low[:-(STRETCH - 8)], low[STRETCH - 8:])
-            self.anchor = low[self.at]
-        else:
-            self.anchor = runs[:0]
         self.counts = count
 
+    @cached_property
+    def anchor(self) -> np.ndarray:
+        runs = shingle_hashes(self.words, RUN)
+        if not len(self.at):
+            return runs[:0]
+        low = np.minimum(runs[:-1], runs[1:])
+        low = np.minimum(low[:-2], low[2:])
+        low = np.minimum(low[:-4], low[4:])
+        low = np.minimum(low[:-(STRETCH - 8)], low[STRETCH - 8:])
+        return low[self.at]
+
     def hashes(self) -> np.ndarray:
         return shingle_hashes(self.words, WINDOW)[self.at] if len(self.at) else self.words[:0]
 
@@ -220,32 +223,42 @@ def occurrences(fragments: DataFrame, phrases: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
 
-        now, automaton, letters, ready = None, None, {}, False
+        now = None
         for b in batches:
-            docs, starts, masks = [], [], []
-            for shard, copy, kind, doc, start, mask, words in zip(*(b.column(i).to_pylist() for i in range(7))):
-                if (shard, copy) != now:
-                    now, automaton, letters, ready = (shard, copy), ahocorasick.Automaton(), {}, False
-                split = words.split()
-                if kind == 0:
+            at = [b.column(i).to_numpy() for i in range(3)]
+            cut = np.flatnonzero(np.any([x[1:] != x[:-1] for x in at], axis=0)) + 1
+            docs, starts, masks = [b.column(i).to_numpy() for i in (3, 4)] + [b.column(5).to_numpy().copy()]
+            found = np.zeros(b.num_rows, dtype=bool)
+            for x, y in zip([0, *cut.tolist()], [*cut.tolist(), b.num_rows]):
+                if (at[0][x], at[1][x]) != now:
+                    now = (at[0][x], at[1][x])
+                    automaton, letters, ready, known = ahocorasick.Automaton(), {}, False, []
+                words, w = b.column(6).slice(x, y - x), _Windows(b.column(6).slice(x, y - x).cast(pa.string()))
+                h = w.hashes()
+                if at[2][x] == 0:
+                    known.append(h[masks[x:y][w.doc] >> w.place & 1 == 1])
                     # one character for each word of the shard's phrases; surrogates are left out
-                    text = "".join([letters.setdefault(x, chr(len(letters) + 1 + 0x800 * (len(letters) >= 0xD7FF))) for x in split])
-                    for k in range(len(split) - WINDOW + 1):
-                        if mask >> k & 1:
-                            automaton.add_word(text[k:k + WINDOW], doc)
+                    for doc, mask, phrase in zip(docs[x:y].tolist(), masks[x:y].tolist(), words.to_pylist()):
+                        split = phrase.split()
+                        text = "".join([letters.setdefault(x, chr(len(letters) + 1 + 0x800 * (len(letters) >= 0xD7FF))) for x in split])
+                        for k in range(len(split) - WINDOW + 1):
+                            if mask >> k & 1:
+                                automaton.add_word(text[k:k + WINDOW], doc)
                     continue
+                found[x:y] = masks[x:y] != 0
                 if not ready:
                     automaton.make_automaton()
-                    ready = True
-                if len(automaton):
-                    for end, owner in automaton.iter("".join([letters.get(x, "\0") for x in split])):
-                        if owner != doc:
-                            mask |= 1 << (end - WINDOW + 1)
-                if mask:
-                    docs.append(doc)
-                    starts.append(start)
-                    masks.append(mask)
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts, pa.int64()), pa.array(masks, pa.int32())], ["doc", "start", "mask"])
+                    ready, known = True, [np.unique(np.concatenate(known))] if known else []
+                if not len(automaton):
+                    continue
+                # a stretch without the hash of any phrase of the shard holds none of them
+                likely = np.unique(w.doc[known[0][np.minimum(np.searchsorted(known[0], h), len(known[0]) - 1)] == h])
+                for i, phrase in zip((x + likely).tolist(), words.take(pa.array(likely)).to_pylist()):
+                    for end, owner in automaton.iter("".join([letters.get(x, "\0") for x in phrase.split()])):
+                        if owner != docs[i]:
+                            masks[i] |= 1 << (end - WINDOW + 1)
+                            found[i] = True
+            yield pa.RecordBatch.from_arrays([pa.array(docs[found], pa.int64()), pa.array(starts[found], pa.int64()), pa.array(masks[found], pa.int32())], ["doc", "start", "mask"])
 
     found = dealt.select("shard", "copy", "kind", "doc", "start", "mask", "words").mapInArrow(run, "doc long, start long, mask int")
     return found.unionByName(fragments.filter("NOT recurs").select("doc", "start", F.col("again").alias("mask")))
