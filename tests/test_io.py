@@ -97,6 +97,31 @@ def test_incident_files(spark, tmp_path):
     assert incidents.split_sections(plain).first()["sections"] == {"full_text": "no heading"}
 
 
+def test_upsert_incidents(spark, tmp_path):
+    """First live row of a session wins, new sessions are added, untouched buckets keep their files."""
+    path = f"{tmp_path}/inc"
+    old = spark.range(200).select(F.format_string("S%03d", "id").alias("session_id"), F.lit("Low").alias("severity"), F.array("id").alias("steps"))
+    writers.write_stored(old, path, 16)
+
+    def files():
+        return {str(f.relative_to(path)) for f in (tmp_path / "inc").rglob("*.parquet")}
+    before = files()
+    rows = [("S001", "High", [1], 2), ("S001", "Critical", [2], 1), ("S777", "Medium", [3], 5), ("S777", "High", [4], 6)]
+    for turn in (rows, rows[::-1]):
+        live = spark.createDataFrame(turn, "session_id string, severity string, steps array<long>, seen long")
+        writers.upsert_incidents(live, path, "seen", 16)
+    back = {r["session_id"]: (r["severity"], r["steps"]) for r in spark.read.parquet(path).collect()}
+    want = {f"S{i:03d}": ("Low", [i]) for i in range(200)} | {"S001": ("Critical", [2]), "S777": ("Medium", [3])}
+    assert back == want and spark.read.parquet(path).count() == 201
+    assert set(spark.read.parquet(path).columns) == {"session_id", "severity", "steps", "bucket"}
+    touched = {f"bucket={r[0]}" for r in live.select(F.pmod(F.xxhash64("session_id"), F.lit(16))).distinct().collect()}
+    assert {f for f in before if f.split("/")[0] not in touched} == {f for f in files() if f.split("/")[0] not in touched}
+    writers.upsert_incidents(live.limit(0), path, "seen", 16)
+    assert spark.read.parquet(path).count() == 201
+    with pytest.raises(ValueError):
+        writers.upsert_incidents(live.drop("seen"), path, "seen", 16)
+
+
 def test_playbook_file(spark, tmp_path):
     book = {a: {t: [f"{a} {t}"] for t in incidents.TIERS} for a in ("Normal", "Brute Force")}
     (tmp_path / "p.json").write_text(json.dumps(book, indent=1))

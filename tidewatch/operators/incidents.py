@@ -64,15 +64,16 @@ def high_critical(df: DataFrame) -> DataFrame:
     return df.where(F.col("severity").isin("High", "Critical"))
 
 
-def merge_live(live: DataFrame, stored: DataFrame, key: str = "session_id") -> DataFrame:
+def merge_live(live: DataFrame, stored: DataFrame, key: str = "session_id", order: str = "incident_no") -> DataFrame:
     """Live and stored incidents, one per session, the live one first.
 
-    A keyed minimum over the source number combines map-side, so many copies of
-    one session do not meet in one task.
+    Of several live rows of one session the first by ``order`` stays (NULL first); without
+    that column live rows must be unique.  A keyed minimum over the source number
+    combines map-side, so many copies of one session do not meet in one task.
     """
     both = (live.withColumn("_src", F.lit(0)).unionByName(stored.withColumn("_src", F.lit(1)), allowMissingColumns=True))
     rest = [c for c in both.columns if c not in (key, "_src")]
-    return (both.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct("_src", *[c for c in rest if c == "incident_no"])).alias("_r"))
+    return (both.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct("_src", *[c for c in rest if c == order])).alias("_r"))
             .select(key, "_r.*"))
 
 

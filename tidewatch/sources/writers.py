@@ -133,6 +133,39 @@ def write_incidents(cards: DataFrame, sums: DataFrame, reports: DataFrame, path:
     _json(reports, f"{path}/incident_reports")
 
 
+def _bucket(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def write_stored(incidents: DataFrame, path: str, buckets: int = 64, key: str = "session_id") -> None:
+    """Incidents as Parquet in one folder for each bucket of the key, the form that ``upsert_incidents`` changes."""
+    rows = incidents.withColumn("bucket", _bucket(key, buckets))
+    rows.repartitionByRange("bucket", key).write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def upsert_incidents(live: DataFrame, path: str, order: str, buckets: int = 64, key: str = "session_id") -> None:
+    """Puts live incidents into a table of ``write_stored`` (same ``buckets``): a live one replaces the stored one of its session,
+    and of several live ones the first by ``order`` stays.
+
+    Only buckets that live rows touch are read and replaced; files of the others stay.  The merged rows are checkpointed before the
+    folders they come from are replaced.  One writer at a time.
+    """
+    if order not in live.columns:
+        raise ValueError(f"live incidents lack the order column {order}")
+    from tidewatch.lineage import checkpointed
+    from tidewatch.operators.incidents import merge_live
+
+    live = checkpointed(live.withColumn("bucket", _bucket(key, buckets)))
+    touched = [r["bucket"] for r in live.select("bucket").distinct().collect()]  # ``buckets`` numbers at most
+    if not touched:
+        return
+    stored = live.sparkSession.read.parquet(path)
+    merged = checkpointed(merge_live(live, stored.where(F.col("bucket").isin(touched)), key, order))
+    extra = [order] if order not in stored.columns else []
+    (merged.drop(*extra).repartitionByRange("bucket", key).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path))
+
+
 def write_metrics(df: DataFrame, path: str, fmt: str = "json") -> None:
     """A metric, threshold or importance table."""
     _json(df, path) if fmt == "json" else _csv(df, path)
