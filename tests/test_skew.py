@@ -152,3 +152,39 @@ def test_paged_lists(spark):
     d = spark.range(25).select(F.lit("a").alias("g"), F.col("id").alias("p"), F.col("id").cast("string").alias("v"))
     got = ordering.paged_lists(d, ["g"], "p", "v", "vs", 10).orderBy("page").collect()
     assert [len(r["vs"]) for r in got] == [10, 10, 5] and [v for r in got for v in r["vs"]] == [str(i) for i in range(25)]
+
+
+def _history(spark, n, rejected):
+    """Sessions of three entities, one of them NULL; from the fourth session on ``rejected`` entities differ in every value."""
+    x = spark.range(n).select(F.col("id"), F.explode(F.array(F.lit("A"), F.lit("B"), F.lit(None))).alias("employee_id"))
+    odd = F.col("id") >= 3 if rejected else F.xxhash64("id", "employee_id") % 5 == 0
+    v = F.when(odd, F.concat(F.lit("v"), (F.xxhash64("id") % 7).cast("string"))).otherwise("home")
+    return x.select("employee_id", F.concat(F.coalesce("employee_id", F.lit("-")), F.lit("-"), F.lpad(F.col("id").cast("string"), 9, "0")).alias("session_id"),
+                    F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 7200 + F.when(odd, F.col("id") % 12 * 300).otherwise(0)).alias("start_time"),
+                    v.alias("office_location"), v.alias("device_id"), v.alias("browser"), v.alias("operating_system"),
+                    F.when(odd, F.col("id") % 64).otherwise(1).alias("resource_mask"), F.col("id").alias("n_before"))
+
+
+@pytest.mark.parametrize("rejected", [False, True])
+def test_drift_in_slices(spark, rejected):
+    """Slices chained through their end windows equal one fold, with more slices than speculative rounds."""
+    h = _history(spark, 120, rejected)
+    whole = behavior.drift_scores(h)
+    same(behavior.drift_scores(h, block=13), whole)
+    assert whole.count() == 360
+    if rejected:
+        assert whole.where("NOT accepted").count() > 300
+
+
+def test_drift_is_linear(spark):
+    """100,000 sessions of an entity that is rejected for good: one pass."""
+    import time
+
+    h = _history(spark, 100_000, True)
+    began = time.time()
+    assert behavior.drift_scores(h).where("NOT accepted").count() > 250_000
+    assert time.time() - began < 60
+
+
+def test_drift_of_nothing(spark):
+    assert behavior.drift_scores(_history(spark, 0, False)).count() == 0

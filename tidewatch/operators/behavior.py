@@ -9,6 +9,10 @@ that numbering, so no task holds the whole history of an entity.
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -214,85 +218,144 @@ def window_deviations(numbered: DataFrame, size: int = dims.DRIFT_WINDOW, block:
 
 # --- the drift monitor ------------------------------------------------------
 
-_STATE = "array<struct<loc:string,dev:string,br:string,os:string,hr:double,mask:bigint>>"
-_OUT = ("array<struct<session_id:string,n_before:bigint,location_deviation:double,device_deviation:double,"
-        "browser_deviation:double,operating_system_deviation:double,working_hours_deviation:double,"
-        "resource_access_deviation:double,behaviour_score:double,accepted:boolean>>")
-
-
-def _fold(keep_rows: bool, size: int, accept: float, alpha: float) -> Column:
-    """Fold a block's ordered sessions over the window of accepted sessions.
-
-    The window in ``start`` is carried; a session joins it when the window has
-    fewer than three entries (zero scores) or its score is below ``accept``.
+SLICE = 1_000_000   # sessions of one entity that one task folds
+SPECULATIVE = 3     # rounds in which every slice with a new start is folded again
+
+_WINDOW = "array<struct<loc:string,dev:string,br:string,os:string,hr:double,mask:bigint>>"
+_ROW = ["loc", "dev", "br", "os", "hr", "mask"]
+_ARROW_WINDOW = pa.list_(pa.struct([*((c, pa.string()) for c in _ROW[:4]), ("hr", pa.float64()), ("mask", pa.int64())]))
+_FOLDED = ("employee_id string, slice bigint, n_before bigint, session_id string, loc string, dev string, br string, os string, hr double, mask bigint, "
+           + ", ".join(f"{d} double" for d in dims.DEVIATIONS) + f", behaviour_score double, accepted boolean, end {_WINDOW}")
+
+
+class _Window:
+    """The last accepted sessions with their counts, so that a score costs no walk over them."""
+
+    def __init__(self, size: int, alpha: float, rows=()):
+        self.size, self.alpha, self.rows, self.hours = size, alpha, deque(), 0.0
+        self.counts, self.bits = [{}, {}, {}, {}], {}
+        for r in rows:
+            self.add(r)
+
+    def _count(self, row: tuple, by: int) -> None:
+        for counts, v in zip(self.counts, row):
+            counts[v] = counts.get(v, 0) + by
+            if not counts[v]:
+                del counts[v]
+        self.hours += by * row[4]
+        m = row[5]
+        while m:
+            b = m & -m
+            self.bits[b] = self.bits.get(b, 0) + by
+            m ^= b
+
+    def add(self, row: tuple) -> None:
+        self.rows.append(row)
+        self._count(row, 1)
+        if len(self.rows) > self.size:
+            self._count(self.rows.popleft(), -1)
+
+    def deviations(self, row: tuple) -> list[float]:
+        n = len(self.rows)
+        if n < dims.DRIFT_MIN_WINDOW:
+            return [0.0] * 6
+        out = [1 - counts.get(v, 0) / n for counts, v in zip(self.counts, row)]
+        out.append(min(abs(row[4] - self.hours / n) / 12, 1.0))
+        total, touched, m = 0.0, 0, row[5]
+        while m:
+            b = m & -m
+            total, touched, m = total + 1 - (self.bits.get(b, 0) + self.alpha) / (n + self.alpha), touched + 1, m ^ b
+        out.append(min(max(total / touched, 0.0), 1.0) if touched else 0.0)
+        return out
+
+
+def _fold(rows: DataFrame, starts: DataFrame | None, size: int, accept: float, alpha: float, block: int) -> DataFrame:
+    """Folds each slice in the order of its sessions, from the window in ``starts`` (empty if none).
+
+    Tasks stream sorted rows: only the window of the slice at hand lives from batch to batch.  The last row of a full
+    slice carries the window in ``end``.  A start is a row of its own, placed before the slice's first session.
     """
-    share = "1 - size(filter(acc.w, y -> y.{f} <=> x.{f})) / size(acc.w)"
-    wts = list(dims.DEVIATIONS.values())
-    devs = f"""named_struct(
-        'l', {share.format(f='loc')}, 'd', {share.format(f='dev')},
-        'b', {share.format(f='br')}, 'o', {share.format(f='os')},
-        'h', least(abs(x.hr - aggregate(acc.w, 0D, (s, y) -> s + y.hr) / size(acc.w)) / 12, 1D),
-        'r', CASE WHEN size(x.bits) = 0 THEN 0D ELSE least(greatest(
-               aggregate(x.bits, 0D, (s, b) -> s + 1 - (size(filter(acc.w, y -> (y.mask & b) != 0)) + {alpha}D)
-                         / (size(acc.w) + {alpha}D)) / size(x.bits), 0D), 1D) END)"""
-    zero = "named_struct('l', 0D, 'd', 0D, 'b', 0D, 'o', 0D, 'h', 0D, 'r', 0D)"
-    score = " + ".join(f"v.{k} * {w}D" for k, w in zip("ldbohr", wts))
-    entry = "named_struct('loc', x.loc, 'dev', x.dev, 'br', x.br, 'os', x.os, 'hr', x.hr, 'mask', x.mask)"
-    take = f"slice(concat(acc.w, array({entry})), greatest(size(acc.w) + 2 - {size}, 1), {size})"
-    row = ("named_struct('session_id', x.session_id, 'n_before', x.n_before, 'location_deviation', z.v.l, "
-           "'device_deviation', z.v.d, 'browser_deviation', z.v.b, 'operating_system_deviation', z.v.o, "
-           "'working_hours_deviation', z.v.h, 'resource_access_deviation', z.v.r, 'behaviour_score', z.s, "
-           "'accepted', z.s < {a})").format(a=f"{accept}D")
-    out = f"concat(acc.out, array({row}))" if keep_rows else "acc.out"
-    step = f"""element_at(transform(transform(
-                 array(CASE WHEN size(acc.w) < {dims.DRIFT_MIN_WINDOW} THEN {zero} ELSE {devs} END),
-                 v -> named_struct('v', v, 's', {score})),
-               z -> named_struct('w', CASE WHEN z.s < {accept}D THEN {take} ELSE acc.w END, 'out', {out})), 1)"""
-    return F.expr(f"aggregate(rows, named_struct('w', start, 'out', cast(array() AS {_OUT})), (acc, x) -> {step})")
+    weights = list(dims.DEVIATIONS.values())
+    given = rows.withColumn("start", F.lit(None).cast(_WINDOW))
+    if starts is not None:
+        given = given.unionByName(starts.withColumn("n_before", F.lit(-1).cast("long")), allowMissingColumns=True)
+    columns = ["employee_id", "slice", "n_before", "session_id", *_ROW]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, window = None, None
+        for batch in batches:
+            out = [[] for _ in range(9)]
+            own = []
+            cols = [batch.column(c).to_pylist() for c in ("employee_id", "slice", "n_before", *_ROW, "start")]
+            for i, (who, part, pos, loc, dev, br, os_, hr, mask, start) in enumerate(zip(*cols)):
+                if (who, part) != key:
+                    key, window = (who, part), _Window(size, alpha)
+                if pos < 0:
+                    window = _Window(size, alpha, [tuple(r[c] for c in _ROW) for r in start])
+                    continue
+                row = (loc, dev, br, os_, hr, mask)
+                devs = window.deviations(row)
+                score = 0.0
+                for d, w in zip(devs, weights):
+                    score += d * w
+                if score < accept:
+                    window.add(row)
+                own.append(i)
+                for col, v in zip(out, (*devs, score, score < accept, [dict(zip(_ROW, r)) for r in window.rows] if (pos + 1) % block == 0 else None)):
+                    col.append(v)
+            kept = batch.select(columns).take(pa.array(own, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*kept.columns, *(pa.array(c, pa.float64()) for c in out[:7]), pa.array(out[7], pa.bool_()), pa.array(out[8], _ARROW_WINDOW)],
+                                             [*columns, *dims.DEVIATIONS, "behaviour_score", "accepted", "end"])
+
+    keyed = given.repartition("employee_id", "slice").sortWithinPartitions("employee_id", "slice", "n_before")
+    return keyed.select(*columns, "start").mapInArrow(run, _FOLDED)
 
 
 def drift_scores(numbered: DataFrame, size: int = dims.DRIFT_WINDOW, accept: float = dims.DRIFT_ACCEPT_BELOW,
-                 alpha: float = dims.LAPLACE_ALPHA, block: int = BLOCK) -> DataFrame:
+                 alpha: float = dims.LAPLACE_ALPHA, block: int = SLICE) -> DataFrame:
     """Sequential drift monitor per entity.
 
-    A session's score decides whether it enters the window that scores the next
-    ones, so this is a fold.  To keep groups bounded the history is folded in
-    blocks, all blocks in parallel from a guessed start window; the guess for
-    block b+1 is the end window of block b, and rounds repeat until no start
-    window changes.  At that fixpoint every block started from the true window,
-    so the result equals one fold per entity.  Windows hold ten sessions and
-    forget quickly, so two or three rounds are typical.
+    A session's score decides whether it enters the window that scores the next ones, so this is a fold: one pass
+    over sorted rows, linear in the sessions.  Only entities with more than ``block`` sessions are cut into slices.
+    Slices start from the end window of the slice before, folded again until no start changes; at that fixpoint
+    every slice started from the true window.  For a few rounds all slices with a new start are folded, after that
+    only the first one of each entity, so the work stays linear even if an entity is rejected for good.
+    A session without a start time counts as hour 0, one without resources as touching none.
     """
-    rows = F.struct(
-        "n_before", "session_id", F.col("office_location").alias("loc"), F.col("device_id").alias("dev"),
-        F.col("browser").cast("string").alias("br"), F.col("operating_system").cast("string").alias("os"),
-        F.hour("start_time").cast("double").alias("hr"),
-        F.coalesce("resource_mask", F.lit(0).cast("long")).alias("mask"), resource_bits().alias("bits"))
-    blocks = (numbered.withColumn("block", (F.col("n_before") / block).cast("long"))
-              .groupBy("employee_id", "block").agg(F.array_sort(F.collect_list(rows)).alias("rows")))
-    blocks = checkpointed(blocks)
-    empty = F.expr(f"cast(array() AS {_STATE})")
-    starts = None
-    if blocks.where(F.col("block") > 0).limit(1).count():
-        starts = checkpointed(blocks.select("employee_id", "block", empty.alias("start")))
-        ends = checkpointed(blocks.withColumn("start", empty).select(
-            "employee_id", "block", _fold(False, size, accept, alpha)["w"].alias("end")))
-        while True:
-            proposed = ends.select("employee_id", (F.col("block") + 1).alias("block"), F.col("end").alias("next"))
-            joined = starts.join(proposed, ["employee_id", "block"], "left")
-            joined = checkpointed(joined.select(
-                "employee_id", "block", F.coalesce("next", "start").alias("start"),
-                (F.col("next").isNotNull() & (F.col("next") != F.col("start"))).alias("changed")))
-            starts = joined.drop("changed")
-            changed = joined.where("changed").drop("changed")
-            if not changed.limit(1).count():
-                break
-            again = blocks.join(changed, ["employee_id", "block"]).select(
-                "employee_id", "block", _fold(False, size, accept, alpha)["w"].alias("_new"))
-            ends = checkpointed(ends.join(again, ["employee_id", "block"], "left").select(
-                "employee_id", "block", F.coalesce("_new", "end").alias("end")))
-    run = blocks.withColumn("start", empty) if starts is None else blocks.join(starts, ["employee_id", "block"])
-    return run.select("employee_id", F.inline(_fold(True, size, accept, alpha)["out"]))
+    rows = numbered.select(
+        "employee_id", F.floor(F.col("n_before") / block).cast("long").alias("slice"), F.col("n_before").cast("long").alias("n_before"), "session_id",
+        F.col("office_location").alias("loc"), F.col("device_id").alias("dev"), F.col("browser").cast("string").alias("br"),
+        F.col("operating_system").cast("string").alias("os"), F.coalesce(F.hour("start_time").cast("double"), F.lit(0.0)).alias("hr"),
+        F.coalesce("resource_mask", F.lit(0)).cast("long").alias("mask"))
+    folded = checkpointed(_fold(rows, None, size, accept, alpha, block))
+    result = ["employee_id", "session_id", "n_before", *dims.DEVIATIONS, "behaviour_score", "accepted"]
+    later = folded.where(F.col("slice") > 0)
+    if not later.limit(1).count():
+        return folded.select(*result)
+    again = later.select("employee_id", "slice", "n_before", "session_id", *_ROW)
+    key = F.struct(F.col("employee_id").alias("k"), F.col("slice").alias("b"))   # a struct, so that a NULL entity joins too
+    ends = folded.where(F.col("end").isNotNull()).select(key.alias("key"), "end")
+    starts = checkpointed(later.groupBy("employee_id", "slice").agg(F.expr(f"cast(array() AS {_WINDOW})").alias("start")).select(key.alias("key"), "start"))
+    turn = 0
+    while True:
+        before = ends.select(F.struct(F.col("key.k").alias("k"), (F.col("key.b") + 1).alias("b")).alias("_key"), F.col("end").alias("next"))
+        joined = checkpointed(starts.join(before, F.col("key").eqNullSafe(F.col("_key"))).select("key", "start", "next", (F.col("next") != F.col("start")).alias("changed")))
+        changed = joined.where("changed")
+        if not changed.limit(1).count():
+            break
+        if turn >= SPECULATIVE:
+            first = changed.groupBy(F.struct("key.k").alias("_of")).agg(F.min("key.b").alias("_b"))
+            changed = changed.join(first, F.struct("key.k").eqNullSafe(F.col("_of")) & (F.col("key.b") == F.col("_b")))
+        fresh = checkpointed(changed.select("key", F.col("next").alias("start")))
+        begin = fresh.select(F.col("key.k").alias("employee_id"), F.col("key.b").alias("slice"), "start")
+        mine = again.join(begin.select(key.alias("key")), key.eqNullSafe(F.col("key")), "left_semi")
+        new = _fold(mine, begin, size, accept, alpha, block).where(F.col("end").isNotNull()).select(key.alias("_new"), F.col("end").alias("_end"))
+        ends = checkpointed(ends.join(new, F.col("key").eqNullSafe(F.col("_new")), "left").select("key", F.coalesce("_end", "end").alias("end")))
+        starts = checkpointed(starts.join(fresh.select(F.col("key").alias("_key"), F.col("start").alias("_start")), F.col("key").eqNullSafe(F.col("_key")), "left")
+                              .select("key", F.coalesce("_start", "start").alias("start")))
+        turn += 1
+    begin = starts.select(F.col("key.k").alias("employee_id"), F.col("key.b").alias("slice"), "start")
+    return folded.where(F.col("slice") == 0).select(*result).unionByName(_fold(again, begin, size, accept, alpha, block).select(*result))
 
 
 # --- novelty ---------------------------------------------------------------
