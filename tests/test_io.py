@@ -178,3 +178,47 @@ def test_catalogue_and_context(spark, vector):
     assert features.feature_catalogue(spark).count() == 71
     c = features.session_context(vector, q._rows(spark, SF))
     assert c.count() == vector.count()
+
+
+@pytest.mark.parametrize("min_rows", [20, 500_000])
+def test_json_documents_in_pieces(spark, tmp_path, min_rows):
+    """Braces, quotes and escapes in strings, nested objects and arrays, files that are cut anywhere: the rows of Python's reader."""
+    import random
+
+    from tidewatch.sources.json_documents import json_records, read_json_documents
+
+    rng = random.Random(5)
+    odd = ["}", "{", '"', "\\", '\\"', "}{", "},{", "[", "]", "\n", "é", "a", "\\\\", ", ", "😀"]
+    text = lambda: "".join(rng.choice(odd) for _ in range(rng.randrange(9)))
+    rows = [{"id": i, "a": text(), text() + "k": None, "n": {"x": [text(), {"y": {}}], "z": {"w": text()}}} for i in range(300)]
+    one, two, three = ([r for r in rows if r["id"] % 3 == k] for k in range(3))
+    folder = tmp_path / "logs.json"
+    folder.mkdir()
+    (folder / "1.json").write_text(json.dumps(one))
+    (folder / "2.json").write_text(json.dumps(two, indent=2, ensure_ascii=False))
+    (folder / "3.json").write_text("\n".join(map(json.dumps, three)))
+    (folder / "4.json").write_text("[]")
+    (folder / "5.json").write_text("")
+    (folder / "6.json").write_text('[{"id": "never closed')
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        assert spark.read.option("lineSep", "}").text(str(folder)).rdd.getNumPartitions() > 8
+        got = json_records(spark, str(folder), min_rows).collect()
+        back = read_json_documents(spark, str(folder), ["id", "a", "n"], min_rows).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert sorted((json.loads(r["record"]) for r in got), key=lambda r: r["id"]) == rows
+    ones = sorted((r["number"], json.loads(r["record"])["id"]) for r in got if r["file"].endswith("1.json"))
+    assert ones == [(i, r["id"]) for i, r in enumerate(one)]
+    assert sorted((int(r["id"]), r["a"], json.dumps(json.loads(r["n"]))) for r in back) == [(r["id"], r["a"], json.dumps(r["n"])) for r in rows]
+
+
+def test_json_documents_round_trip(spark, tmp_path):
+    from tidewatch.sources.json_documents import read_json_documents, write_json_documents
+
+    df = spark.createDataFrame([("1", None, "}"), ("2", '{"x": "\\""}', None)], "id string, a.b string, c string".replace("a.b", "`a.b`"))
+    write_json_documents(df.repartition(3, "id"), f"{tmp_path}/x.json")
+    assert all(isinstance(json.loads(p.read_text()), list) for p in (tmp_path / "x.json").glob("part-*"))
+    back = read_json_documents(spark, f"{tmp_path}/x.json")
+    assert back.columns == ["a.b", "c", "id"] and sorted(map(tuple, back.collect()), key=str) == sorted([(None, "}", "1"), ('{"x": "\\""}', None, "2")], key=str)

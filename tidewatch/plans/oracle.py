@@ -691,6 +691,7 @@ add("dim_primary_device", "emp", "SELECT employee_id, allowed_devices[1] AS prim
 # --- written and read again ------------------------------------------------------------------------------------------
 ORACLE["io_events"] = ORACLE["snk_events"]
 add("io_external", None, "SELECT event_id::VARCHAR AS event_id, user_id::VARCHAR AS user_id, event_type FROM events")
+add("io_documents", None, "SELECT event_id::VARCHAR AS event_id, user_id::VARCHAR AS user_id, event_type, props, epoch_us(ts)::VARCHAR AS us, round(value * 100)::BIGINT::VARCHAR AS cents FROM events")
 add("io_employees", "emp", "SELECT employee_id, employee_uuid, department, work_start::BIGINT AS work_start, work_end::BIGINT AS work_end, array_to_string(allowed_devices, ';') AS allowed_devices FROM emp")
 add("io_features", "dr", f"SELECT session_id, employee_id, attack_type, round({_fr} + 1.7e-8, 4) AS risk_score, {_feat(dims.FEATURES, 4)} FROM {_joined}")
 add("io_sequences", "vec", "SELECT session_id, 50::BIGINT AS n_steps, least(count(*), 50)::DOUBLE AS mask_sum FROM vec GROUP BY 1")

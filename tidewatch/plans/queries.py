@@ -22,6 +22,7 @@ from tidewatch.operators import (adapt, behavior, campaigns, classify, explain,
                                  scoring, sequences, sessions, tree_explain)
 from tidewatch.sources import demo_tables as demo
 from tidewatch.sources import readers, writers
+from tidewatch.sources.json_documents import write_json_documents
 
 GAP = 21_600  # seconds; gives sessions of several events on the test log
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1390,6 +1391,16 @@ def io_external(s, d):
     return readers.read_external(s, path).select("event_id", "user_id", "event_type")
 
 
+@query
+def io_documents(s, d):
+    """The raw log as arrays in JSON documents, all columns, read back in pieces."""
+    path = f"{work_folder(s, 'log')}/log.json"
+    e = table(s, d, "events")
+    write_json_documents(e.select([F.col(c).cast("string").alias(c) for c in ("event_id", "user_id", "event_type", "props")]
+                                  + [micros("ts").cast("string").alias("us"), F.round(F.col("value") * 100).cast("long").cast("string").alias("cents")]).repartition(3, "event_id"), path)
+    return readers.read_external(s, path)
+
+
 @query
 def io_employees(s, d):
     path = work_folder(s, "dims")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch import dims
+from tidewatch.sources.json_documents import read_json_documents
 
 EVENT_SCHEMA = ("entity_id string, entity_type string, timestamp string, source_ip string, geo_location string, "
                 "resource_accessed string, auth_method string, session_duration string, command_sequence string, "
@@ -28,15 +29,17 @@ def read_external(spark: SparkSession, src, multi_line: bool | None = None) -> D
     """Log of unknown layout: path (json / jsonl / anything else as CSV), frame or rows.
 
     Text columns stay text; the adapter does the typing, so CSV needs no schema
-    inference pass.  ``.json`` is read as one document per file, ``.jsonl`` as
-    one record per line (splittable).
+    inference pass.  ``.json`` holds documents of any size, cut at record borders
+    and read by many tasks; ``.jsonl`` has one record per line.  ``multi_line`` makes
+    Spark's reader take each file as one document (True) or by lines (False).
     """
     if isinstance(src, DataFrame):
         return src
     if isinstance(src, str):
+        if src.endswith(".json") and multi_line is None:
+            return read_json_documents(spark, src)
         if src.endswith((".json", ".jsonl")):
-            whole = src.endswith(".json") if multi_line is None else multi_line
-            return spark.read.option("multiLine", whole).option("primitivesAsString", True).json(src)
+            return spark.read.option("multiLine", bool(multi_line)).option("primitivesAsString", True).json(src)
         return spark.read.options(**_CSV).csv(src)
     if hasattr(src, "to_dict"):  # a pandas frame
         return spark.createDataFrame(src)
