@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 from helpers import SCHEMA, documents, prose, table
@@ -64,6 +65,37 @@ def test_base_spans(spark):
     assert privacy.redact("call +1 555 0100 99 now", "phone:5:19") == "call [phone] now"
 
 
+def test_base_patterns_are_linear():
+    """A megabyte of digits, letters or dots takes no time to speak of, and random texts have the spans of the plain patterns."""
+    for long in ("7" * 1_000_000, "x" * 1_000_000 + " a@b.cc", "a@" * 300_000, "1." * 500_000, "+1" + "(" * 1_000_000, "x." * 400_000 + "@"):
+        began = time.time()
+        privacy.base_spans(long)
+        assert time.time() - began < 2
+    r = random.Random(2)
+    for _ in range(4_000):
+        t = "".join(r.choice(["1", "25", "0", ".", "@", "a", "-", "+", " ", "(", "b.c", "1.2.3", "4111111111111111", "é", "٣"]) for _ in range(r.randrange(24)))
+        assert [f"{k}:{a}:{b}" for k, x in privacy.base_spans(t).items() for a, b in x] == base(t)
+
+
+def test_loose_forms_are_added(spark):
+    """Planted loose forms are caught with their exact spans, look-alikes and clean texts are left alone."""
+    loose = [("email", "mail to ", f"anna{i}(at)host{i}(dot)org") for i in range(20)] + [("email", "please write to ", f"anna{i} [at] host{i} [dot] org") for i in range(20)]
+    loose += [("card", "my card is ", s.join(("4111", "1111", "1111", "1111"))) for s in "./_"] + [("phone", "call me at ", f"({200 + i}) 555-{1000 + i}") for i in range(20)]
+    clean = ["look at the dot on the map", "meet @ noon . then go", "order 4111.1111.1111.1112 shipped", "on 2024-01-31 and 2023/12/01 it was 12.5 or 7", "version 10.2.3 of 2021, page 1234 5678",
+             "section 1 . 2 . 3 . 4 says so", "the sum 123 456 789 was paid"]
+    card = lambda i: next(f"4{i % 10}11 11{i % 100:02d} 3{i % 7}11 111{c}" for c in range(10) if privacy.luhn(f"4{i % 10}1111{i % 100:02d}3{i % 7}11111{c}"))
+    known = [(i, f"{prose(i, 6)} write to user{i}@host{i}.example.com or call +49 30 {1000000 + i} from 10.1.{i % 250}.7 with {card(i)}; ref {i * 7919:012d} v{i}.{i}.1", "en", "a") for i in range(400)]
+    rows = known + [(5_000 + i, f"{i} {prose(i, 5)} {lead}{form} {prose(i, 4)}", "en", "a") for i, (_, lead, form) in enumerate(loose)]
+    rows += [(7_000 + i, t, "en", "a") for i, t in enumerate(clean)]
+    by = {i: t for i, t, *_ in rows}
+    got = {r["doc_id"]: r["spans"] for r in privacy.detect(table(spark, rows)).collect()}
+    want = {5_000 + i: f"{kind}:{by[5_000 + i].index(form)}:{by[5_000 + i].index(form) + len(form)}" for i, (kind, _, form) in enumerate(loose)}
+    lost = {by[i]: got[i] for i in want if got[i] != want[i]}
+    assert len(lost) <= 0.05 * len(want), lost
+    assert [got[7_000 + i] for i in range(len(clean))] == [""] * len(clean)
+    assert all(len(got[i].split(",")) == 4 for i in range(400))
+
+
 def test_private_without_candidates(spark):
     assert [r["spans"] for r in privacy.detect(spark.createDataFrame([(1, "none", "en", "a"), (2, None, "en", "a")], SCHEMA)).collect()] == ["", ""]
     assert privacy.detect(spark.createDataFrame([], SCHEMA)).count() == 0
