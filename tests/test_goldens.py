@@ -72,6 +72,19 @@ def test_external_log_sessions(spark):
     assert (rep["total_rows"], rep["skipped_rows"], rep["sessions_built"], rep["pipeline_status"]) == (5, 0, 2, "READY")
 
 
+def test_skipped_rows(spark):
+    """Rows without a readable time are counted and form no session; one scan of the log for each of the two totals."""
+    from tidewatch.plans.pipeline import external_sessions
+    from tidewatch.sources.readers import read_external
+
+    rows = [{"user_name": u, "datetime": t, "action_name": "login", "hostname": "h"} for u, t in [("al", "2024-01-01 00:00:00"), ("al", "soon"), ("bo", None), ("bo", ""), ("al", "2024-01-01 00:10:00")]]
+    match, internal, _, sess = external_sessions(read_external(spark, rows))
+    rep = adapt.adapter_report(read_external(spark, rows), internal, sess, match).first()
+    assert (rep["total_rows"], rep["mapped_rows"], rep["skipped_rows"], rep["sessions_built"], rep["unique_employees"]) == (5, 2, 3, 1, 1)
+    none = adapt.adapter_report(read_external(spark, rows), internal.where("ts IS NULL"), sess.where("start_time IS NULL"), match).first()
+    assert (none["skipped_rows"], none["sessions_built"], none["pipeline_status"]) == (3, 0, "EMPTY")
+
+
 def test_gap_is_strict(spark):
     df = spark.createDataFrame([event(1, 0), event(2, 30), event(3, 60 + 1 / 60)], EVENT).drop("session_id")
     got = sessions.sessionize(df, ["employee_id"]).orderBy("event_id").select("session_no").collect()

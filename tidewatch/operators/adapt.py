@@ -184,15 +184,17 @@ def adapter_report(raw: DataFrame, internal: DataFrame, sessions: DataFrame, mat
                    features: DataFrame | None = None) -> DataFrame:
     """One row: totals, sessions, employees, score, level, warnings, status.
 
+    Rows whose time cannot be read are skipped: they count in ``total_rows`` and
+    ``skipped_rows`` and form no session of the report.  Adapting keeps every row, so
+    one pass over ``internal`` gives the totals and ``raw`` is not read again.
     ``features`` is checked against the model's features: EMPTY without sessions,
     WARNING if features are missing or in another order, else READY.
     """
-    a = raw.agg(F.count("*").alias("total_rows"))
-    b = internal.agg(F.count("*").alias("mapped_rows"))
-    c = sessions.agg(F.count("*").alias("sessions_built"), F.countDistinct("employee_id").alias("unique_employees"))
+    a = internal.agg(F.count("*").alias("total_rows"), F.count("ts").alias("mapped_rows"))
+    c = sessions.where(F.col("start_time").isNotNull()).agg(F.count("*").alias("sessions_built"), F.countDistinct("employee_id").alias("unique_employees"))
     present, ordered = (True, True) if features is None else check_feature_schema(features)
     warnings = [*match.warnings, *([] if present else ["features are missing"]), *([] if ordered or not present else ["features are in another order"])]
-    return a.crossJoin(b).crossJoin(c).select(  # three one-row frames
+    return a.crossJoin(c).select(  # two one-row frames
         "total_rows", "mapped_rows", (F.col("total_rows") - F.col("mapped_rows")).alias("skipped_rows"),
         "sessions_built", "unique_employees",
         F.lit(len(match.mapped)).alias("mapped_columns"), F.lit(len(match.missing)).alias("missing_columns"),

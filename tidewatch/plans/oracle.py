@@ -325,6 +325,9 @@ add("adp_internal", None, f"""SELECT event_id, CAST(user_id AS VARCHAR) AS emplo
 add("adp_report", None, """WITH o AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events),
   n AS (SELECT count(*) FILTER (WHERE p IS NULL OR epoch_us(ts) - epoch_us(p) > 1800000000) AS s, count(*) AS c, count(DISTINCT user_id) AS u FROM o)
   SELECT c AS total_rows, c AS mapped_rows, 0::BIGINT AS skipped_rows, s AS sessions_built, u AS unique_employees, 76.4::DOUBLE AS compatibility_score, 'PARTIAL' AS compatibility_level, 'WARNING' AS pipeline_status, false AS features_present, false AS features_ordered FROM n""")
+add("adp_skipped", None, """WITH o AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events WHERE event_id % 7 <> 0),
+  n AS (SELECT count(*) FILTER (WHERE p IS NULL OR epoch_us(ts) - epoch_us(p) > 1800000000) AS s, count(*) AS c, count(DISTINCT user_id) AS u FROM o), t AS (SELECT count(*) AS c FROM events)
+  SELECT t.c AS total_rows, n.c AS mapped_rows, t.c - n.c AS skipped_rows, s AS sessions_built, u AS unique_employees, 'READY' AS pipeline_status FROM n, t""")
 _unlow = "CASE lower(resource_accessed) " + " ".join(f"WHEN '{x.lower()}' THEN '{x}'" for x in dims.RESOURCES) + " END"
 add("adp_standardize", "xt", f"""SELECT event_id, CASE WHEN entity_id <> '' THEN entity_id WHEN employee_id IS NOT NULL THEN employee_id ELSE 'USER-X' END AS employee_id,
   CASE WHEN source_ip = '' THEN '127.0.0.1' ELSE source_ip END AS ip_address, {_unlow} AS resource, session_duration, len(cmds)::BIGINT AS n_commands,

@@ -260,6 +260,16 @@ def adp_report(s, d):
         "compatibility_level", "pipeline_status")
 
 
+@query
+def adp_skipped(s, d):
+    """The report on a log where every seventh row has no readable time."""
+    raw = table(s, d, "events").withColumn("ts", F.when(F.col("event_id") % 7 == 0, "no time").otherwise(F.col("ts").cast("string")))
+    match = adapt.detect_schema(raw.columns)
+    i = adapt.to_internal(raw, match)
+    built = sessions.build_sessions(sessions.sessionize(i, ["employee_id", "device_id"]))
+    return adapt.adapter_report(raw, i, built, match).select("total_rows", "mapped_rows", "skipped_rows", "sessions_built", "unique_employees", "pipeline_status")
+
+
 def _export(s, d):
     """The log in the export layout with blanks in several alternative columns."""
     k = F.col("k")
