@@ -84,3 +84,16 @@ def test_explanations_of_a_forest(spark, fitted):
     df, model = fitted
     pred = classify.apply_model(df, model, NAMES)
     assert tree_explain.explain_model(pred, model, NAMES).where("size(phi) = 8").count() == df.count()
+
+
+def test_rows_are_shuffled_by_key_only_and_repeated_keys_add_up(spark, fitted):
+    df, model = fitted
+    classes = classify.class_names(model)
+    forest = tree_explain.read_forest(model, len(classes))
+    some = df.where("session_id IN ('s1', 's2', 's3')")
+    mixed = some.unionByName(some.where("session_id = 's1'")).selectExpr("CASE WHEN session_id != 's3' THEN session_id END AS session_id", *NAMES)
+    one, twice = ({(r["session_id"], r["class"], r["feature"]): r["phi"] for r in tree_explain.attribute(x, forest, classes, NAMES).collect()} for x in (some, mixed))
+    assert {k[0] for k in twice} == {"s1", "s2", None} and len(twice) == len(one)
+    assert all(abs(v - {"s1": 2, "s2": 1, None: 1}[k[0]] * one[(k[0] or "s3", *k[1:])]) < 1e-12 for k, v in twice.items())
+    plan = tree_explain.attribute(df, forest, classes, NAMES)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan   # no row for each tree or leaf

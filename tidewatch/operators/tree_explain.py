@@ -7,24 +7,27 @@ conditions hold, so each leaf has a table of 2^m rows of m weights, made once fr
 
     phi(row, class, f) = sum over trees and leaves of weight(leaf, conditions held, f) * value(leaf, class) / trees
 
-as a join of (row, tree) with the table of trees and a sum by row and feature, combined before the shuffle.  The tables' size depends on the model only.
+in each task for whole batches of rows.  Only the rows themselves are shuffled, by key; the tables' size depends on the model only.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml import Model
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewatch import dims
 from tidewatch.lineage import work_folder
 
-#: Bytes of tables that are sent to all executors at most; beyond that the join is left to the optimiser.
-BROADCAST_BYTES = 64 << 20
+#: Rows that are looked up at once.
+CHUNK = 1_000
 
 
 @dataclass
@@ -96,20 +99,96 @@ def leaf_weights(z: list[float]) -> np.ndarray:
     return out
 
 
-def _tables(df: DataFrame, forest: Forest) -> tuple[DataFrame, int]:
-    """(one row a tree with its leaves, the largest number of conditions)."""
-    rows, numbers = [], 0
-    for t, own in enumerate(forest.leaves):
-        leaves = []
-        for conditions, values in own:
-            fs = sorted(conditions)
-            w = leaf_weights([conditions[f][2] for f in fs]).ravel().tolist()
-            numbers += len(w) + 4 * len(fs) + len(values)
-            leaves.append((fs, [conditions[f][0] for f in fs], [conditions[f][1] for f in fs], values, w))
-        rows.append((t, leaves))
-    leaf = "struct<f: array<int>, low: array<double>, high: array<double>, value: array<double>, w: array<double>>"
-    table = df.sparkSession.createDataFrame(rows, f"tree int, leaves array<{leaf}>")
-    return F.broadcast(table) if numbers * 8 <= BROADCAST_BYTES else table, max((len(c) for own in forest.leaves for c, _ in own), default=0)
+@dataclass
+class _Tree:
+    """One tree as arrays: its distinct conditions, and an entry for each condition of each leaf, entries in order of their features."""
+
+    conditions: tuple[np.ndarray, np.ndarray, np.ndarray]   # feature, low, high
+    powers: np.ndarray    # conditions x leaves: the bit of a condition in a leaf's mask
+    leaf: np.ndarray      # by entry: its leaf
+    first: np.ndarray     # by entry: where its weight for mask 0 stands in ``weights``
+    step: np.ndarray      # by entry: distance to its weight for the next mask
+    weights: np.ndarray
+    values: np.ndarray    # entries x classes
+    ranges: list[tuple[int, int, int]]   # place of a feature among the used ones, first entry, end
+
+
+def _trees(forest: Forest, used: list[int]) -> list[_Tree]:
+    place, out = {f: i for i, f in enumerate(used)}, []
+    for own in forest.leaves:
+        leaves = [(sorted(held), held, values) for held, values in own if held]
+        if not leaves:
+            continue
+        numbers = {c: i for i, c in enumerate(sorted({(f, *held[f][:2]) for _, held, _ in leaves for f in held}))}
+        powers, tables, entries, at = np.zeros((len(numbers), len(leaves))), [], [], 0
+        for i, (fs, held, values) in enumerate(leaves):
+            w = leaf_weights([held[f][2] for f in fs]).ravel()
+            for j, f in enumerate(fs):
+                powers[numbers[(f, *held[f][:2])], i] = 1 << j
+                entries.append((place[f], i, at + j, len(fs), values))
+            tables.append(w)
+            at += len(w)
+        entries.sort(key=lambda e: e[0])
+        of = np.array([e[0] for e in entries])
+        cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
+        f, low, high = zip(*numbers)
+        out.append(_Tree((np.array(f), np.array(low), np.array(high)), powers, *(np.array([e[k] for e in entries]) for k in (1, 2, 3)), np.concatenate(tables),
+                         np.array([e[4] for e in entries], dtype=float), [(int(of[x]), x, y) for x, y in zip(cuts, cuts[1:])]))
+    return out
+
+
+def _values(trees: list[_Tree], x: np.ndarray, used: int, classes: int, count: int) -> np.ndarray:
+    """Rows x used features x classes."""
+    out = np.zeros((len(x), used, classes))
+    for t in trees:
+        f, low, high = t.conditions
+        v = x[:, f]
+        masks = (((v > low) & (v <= high)).astype(float) @ t.powers).astype(np.int64)
+        w = t.weights[masks[:, t.leaf] * t.step + t.first]
+        for f, a, b in t.ranges:
+            out[:, f] += w[:, a:b] @ t.values[a:b]
+    return out / count
+
+
+def _sums(df: DataFrame, forest: Forest, classes: int, names: list[str], key: str, of_class: Column | None = None) -> tuple[DataFrame, list[int]]:
+    """(key, ``_phi``: flat, by used feature and class, or by used feature for the class numbered ``of_class``), and the used features.
+
+    Rows are dealt and sorted by key and summed as they come, so a key has one row however often it occurs, and no task holds more than a batch.
+    """
+    used = sorted({f for own in forest.leaves for held, _ in own for f in held})
+    trees, count = _trees(forest, used), len(forest.leaves)
+    one, wide = of_class is not None, len(used) * (classes if of_class is None else 1)
+    rows = df.select(F.col(key), _features(names).alias("_x"), (F.lit(0) if of_class is None else of_class).cast("int").alias("_class"))
+
+    def phis(b: pa.RecordBatch) -> np.ndarray:
+        x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, len(names))
+        phi = _values(trees, x, len(used), classes, count)
+        return phi[np.arange(b.num_rows), :, b.column(2).to_numpy()] if one else phi.reshape(b.num_rows, wide)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[list, np.ndarray] | None = None   # the key that may go on, its sum so far
+        for whole in batches:
+            for at in range(0, whole.num_rows, CHUNK):
+                b = whole.slice(at, CHUNK)
+                phi, keys = phis(b), b.column(0).to_pylist()
+                begins = [i for i in range(len(keys)) if i == 0 or keys[i] != keys[i - 1]]
+                phi, keys = np.add.reduceat(phi, begins) if len(begins) < len(keys) else phi, [keys[i] for i in begins]
+                if last is not None and last[0][0] == keys[0]:
+                    phi[0] += last[1]
+                elif last is not None:
+                    keys, phi = [*last[0], *keys], np.vstack([last[1], phi])
+                last = [keys[-1]], phi[-1].copy()
+                if len(keys) > 1:
+                    yield out(keys[:-1], phi[:-1], b.schema.field(0).type)
+        if last is not None:
+            yield out(last[0], last[1].reshape(1, wide), b.schema.field(0).type)
+
+    def out(keys: list, phi: np.ndarray, kind: pa.DataType) -> pa.RecordBatch:
+        ends = np.arange(len(keys) + 1, dtype=np.int32) * wide
+        return pa.RecordBatch.from_arrays([pa.array(keys, kind), pa.ListArray.from_arrays(pa.array(ends), pa.array(phi.ravel()))], [key, "_phi"])
+
+    schema = T.StructType([T.StructField(key, rows.schema[key].dataType), T.StructField("_phi", T.ArrayType(T.DoubleType()))])
+    return rows.repartition(F.col(key)).sortWithinPartitions(key).mapInArrow(run, schema), used
 
 
 def _features(names: list[str]) -> Column:
@@ -119,42 +198,21 @@ def _features(names: list[str]) -> Column:
     return F.array(*[finite(n) for n in names])
 
 
-def _parts(df: DataFrame, forest: Forest, names: list[str], keep: list[Column]) -> DataFrame:
-    """(kept columns, value, f, p): a row for each condition of each leaf; p is its weight."""
-    table, depth = _tables(df, forest)
-    x = df.select(*keep, _features(names).alias("_x")).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(len(forest.leaves) - 1))))
-    kept = [c for c in x.columns if c not in ("_x", "tree")]
-    leaf = x.join(table, "tree").select(*kept, "_x", F.inline("leaves"))
-
-    def holds(k: int) -> Column:
-        v = F.get("_x", F.get("f", F.lit(k)))
-        return (v > F.get("low", F.lit(k))) & (v <= F.get("high", F.lit(k)))
-
-    mask = sum((F.when(holds(k), 1 << k).otherwise(0) for k in range(depth)), F.lit(0))
-    m = F.size("f")
-    held = leaf.where(m > 0).withColumn("_at", (mask * m + 1).cast("int"))
-    return held.select(*kept, "value", F.inline(F.arrays_zip("f", F.slice("w", F.col("_at"), m).alias("p"))))
-
-
 def attribute(df: DataFrame, forest: Forest, classes: list, names: list[str], key: str = "session_id") -> DataFrame:
-    """Long form: (key, class, feature, phi) of every class and every feature that the forest uses for the row.  ``key`` is unique."""
-    parts = _parts(df, forest, names, [F.col(key)])
-    n = float(len(forest.leaves))
-    sums = parts.groupBy(key, "f").agg(*[(F.sum(F.col("p") * F.get("value", F.lit(c))) / n).alias(f"_c{c}") for c in range(len(classes))])
-    table = F.array(*[F.struct(F.lit(c).alias("class"), F.col(f"_c{i}").alias("phi")) for i, c in enumerate(classes)])
-    feature = F.get(F.array(*[F.lit(x) for x in names]), F.col("f"))
-    return sums.select(key, feature.alias("feature"), F.inline(table)).select(key, "class", "feature", "phi")
+    """Long form: (key, class, feature, phi) of every class and every feature that the forest uses.  The rows of a repeated key are added up."""
+    sums, used = _sums(df, forest, len(classes), names, key)
+    at, n = F.col("_at"), len(classes)
+    feature = F.get(F.array(*[F.lit(names[f]) for f in used]).cast("array<string>"), (at / n).cast("int"))
+    return sums.select(key, F.posexplode("_phi").alias("_at", "phi")).select(key, F.get(F.array(*[F.lit(c) for c in classes]), at % n).alias("class"), feature.alias("feature"), "phi")
 
 
 def attribute_predicted(df: DataFrame, forest: Forest, classes: list, names: list[str], predicted: str = "predicted_label", key: str = "session_id") -> DataFrame:
     """``phi`` and ``x`` arrays for the predicted class only (unknown class: the first), as for linear scores."""
     number = F.create_map(*[v for i, c in enumerate(classes) for v in (F.lit(c), F.lit(i))])
-    parts = _parts(df, forest, names, [F.col(key), F.coalesce(number[F.col(predicted)], F.lit(0)).alias("_class")])
-    sums = parts.groupBy(key, "f").agg((F.sum(F.col("p") * F.get("value", F.col("_class"))) / float(len(forest.leaves))).alias("phi"))
-    # as many entries as the model has features, at most
-    maps = sums.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("f", "phi"))).alias("_phi"))
-    phi = F.transform(F.sequence(F.lit(0), F.lit(len(names) - 1)), lambda i: F.coalesce(F.try_element_at("_phi", i), F.lit(0.0)))
-    return df.join(maps, key, "left").withColumn("phi", F.when(F.col("_phi").isNull(), F.array_repeat(F.lit(0.0), len(names))).otherwise(phi)).withColumn(
+    sums, used = _sums(df, forest, len(classes), names, key, F.coalesce(number[F.col(predicted)], F.lit(0)))
+    place = {f: i for i, f in enumerate(used)}
+    phi = F.array(*[F.get("_phi", F.lit(place[f])) if f in place else F.lit(0.0) for f in range(len(names))])
+    return df.join(sums, key, "left").withColumn("phi", F.when(F.col("_phi").isNull(), F.array_repeat(F.lit(0.0), len(names))).otherwise(phi)).withColumn(
         "x", F.array(*[F.col(n).cast("double") for n in names])).drop("_phi")
 
 

@@ -962,7 +962,7 @@ def exp_forest(s, d):
     model = classify.fit_classifier(data, EVENT_FEATURES, kind="forest", params={"numTrees": 20})
     classes = classify.class_names(model)
     forest = tree_explain.read_forest(model, len(classes))
-    sums = tree_explain.attribute(data, forest, classes, EVENT_FEATURES).groupBy("session_id", "class").agg(F.sum("phi").alias("phi"), F.countDistinct("feature").alias("n"))
+    sums = tree_explain.attribute(data, forest, classes, EVENT_FEATURES).groupBy("session_id", "class").agg(F.sum("phi").alias("phi"), F.count("feature").alias("n"))
     scored = model.stages[-1].transform(sequences.feature_vector(data, EVENT_FEATURES)).select("session_id", vector_to_array("probability").alias("p"))
     table = F.array(*[F.struct(F.lit(c).alias("class"), (F.get("p", F.lit(i)) - forest.expected[i]).alias("rest")) for i, c in enumerate(classes)])
     both = scored.select("session_id", F.inline(table)).join(sums, ["session_id", "class"], "left")
