@@ -157,3 +157,14 @@ LONG = "This sentence belongs to the article and is long enough to count as its
 ])
 def test_wrappers_links_and_anchors(page, want):
     assert html.extract(page) == want
+
+
+def test_private_data_is_fitted_on_all_candidates(spark, monkeypatch):
+    from pyspark.ml.classification import GBTClassifier
+
+    seen, whole = [], GBTClassifier.fit
+    monkeypatch.setattr(GBTClassifier, "fit", lambda self, df: seen.append(df.count()) or whole(self, df))
+    monkeypatch.setattr(privacy, "TREES", 2)
+    one = "struct(int(id % 4) AS kind, id AS start, id + 5 AS end, 0 AS use, id % 3 = 0 AS label, array(double(id % 3), double(id % 7)) AS features)"
+    model, limits = privacy.fit(spark.range(30_000).selectExpr("id AS row", f"array({one}) AS maybe"))
+    assert seen[0] > 14_000 and all(0.5 <= limits[k] <= 1 for k in range(4))

@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewatch.operators import ordering as od
+
 from .common import long_batches, stored
 
 KINDS = ("email", "ip", "card", "phone")
@@ -50,8 +52,8 @@ NEAR = {
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
-#: Candidates that the trees and thresholds are fitted on at most (smallest hashes), the precision the thresholds must keep, and the trees.
-TRAINING_CANDIDATES, PRECISION = 20_000, 0.98
+#: The precision the thresholds must keep, and the trees.
+PRECISION = 0.98
 TREES, DEPTH = 12, 4
 #: An added span needs this score even where the fitted threshold is lower.
 LEAST = 0.5
@@ -211,33 +213,26 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
 
 def fit(scanned: DataFrame):
-    """Trees and thresholds, or None when the sample has only one class.
+    """Trees and thresholds, or None when the candidates to train on have only one class.
 
-    Half of the sample (by hash) trains, the other half calibrates: the scores of each kind's held-out candidates other than base spans reach
-    the driver (bounded by the sample).
+    All candidates take part: half of them (by hash) train, the other half calibrates.  The driver gets one threshold a kind.
     """
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     one = scanned.select("row", F.explode("maybe").alias("m")).select("row", "m.*")
     h = F.xxhash64("row", "kind", "start", "end", "use", "label")
-    sample = one.withColumn("h", h).orderBy("h").limit(TRAINING_CANDIDATES).select("kind", "use", F.col("label").cast("double").alias("label"), "h", "features")
-    sample = stored(sample, "candidates").withColumn("features", array_to_vector("features"))
-    train, rest = sample.filter((F.col("h") % 2) == 0), sample.filter((F.col("h") % 2) != 0)
+    every = stored(one.select("kind", "use", F.col("label").cast("double").alias("label"), h.alias("h"), "features"), "candidates").withColumn("features", array_to_vector("features"))
+    train, rest = every.filter((F.col("h") % 2) == 0), every.filter((F.col("h") % 2) != 0)
     if train.agg(F.count_distinct("label").alias("n")).first()["n"] < 2:
         return None
-    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=64, seed=7).fit(train.repartition(4))
-    rows = model.transform(rest.filter("use <> 1")).select("kind", "label", vector_to_array("probability")[1].alias("p")).collect()
-    limits = {}
-    for k in range(len(KINDS)):
-        own = sorted(((r["p"], r["label"]) for r in rows if r["kind"] == k), reverse=True)
-        good, limit = 0, 1.1
-        for i, (p, y) in enumerate(own, 1):
-            good += y
-            if good / i >= PRECISION and (i == len(own) or own[i][0] < p):
-                limit = p
-        limits[k] = max(limit, LEAST)
-    return model, limits
+    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=64, seed=7).fit(train)
+    # kept candidates and good ones by threshold: running sums over the distinct scores of a kind
+    scores = model.transform(rest.filter("use <> 1")).groupBy("kind", vector_to_array("probability")[1].alias("p")).agg(F.count("*").alias("n"), F.sum(F.col("label").cast("long")).alias("good"))
+    scores, o = od.order_by(stored(scores, "scores"), ["kind"], -F.col("p"), ["p"])
+    sums = od.done(od.running_sum(scores, o, {"_n": "n", "_good": "good"}))
+    least = {r["kind"]: r["p"] for r in sums.filter(F.col("_good") / F.col("_n") >= PRECISION).groupBy("kind").agg(F.min("p").alias("p")).collect()}
+    return model, {k: max(least.get(k, 1.1), LEAST) for k in range(len(KINDS))}
 
 
 def _text(spans: list[tuple[int, int, int]]) -> str:
