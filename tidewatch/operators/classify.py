@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch import dims
+from tidewatch.lineage import checkpointed
 from tidewatch.operators import ordering as od
 from tidewatch.operators.metrics import averages, class_report
 from tidewatch.operators.sequences import class_weights, feature_vector
@@ -36,7 +37,8 @@ def fit_classifier(train: DataFrame, names: list[str] | None = None, label: str
 
     The model needs a ``features`` vector (:func:`feature_vector`) at prediction.
     """
-    data = feature_vector(class_weights(train, label), names)
+    # the stages of the fit read their rows several times: stored once, with the model's columns only
+    data = checkpointed(feature_vector(class_weights(train, label), names).select(label, "weight", "features"))
     est = _estimator(kind, seed)
     if params:
         est = est.copy({est.getParam(k): v for k, v in params.items()})

@@ -140,7 +140,7 @@ def stratified_split(df: DataFrame, label: str, key: str = "session_id", train:
     sizes = df.groupBy(label).agg(F.count("*").alias("_n"))  # one row per class
     n, r = F.col("_n"), F.col("_rank") + 1
     upto = round(train + val, 10)
-    return (ranked.join(sizes, label)
+    return (ranked.join(F.broadcast(sizes), label)
             .withColumn("split", F.when(r <= F.ceil(n * train), "train").when(r <= F.ceil(n * upto), "val").otherwise("test"))
             .drop("_h", "_rank", "_n"))
 
@@ -183,7 +183,7 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
     sizes = df.groupBy(label).agg(F.count("*").alias("_n"))
     whole = sizes.agg(F.sum("_n").alias("_all"), F.count("*").alias("_k"))
     w = sizes.crossJoin(whole).select(label, (F.col("_all") / (F.col("_k") * F.col("_n"))).alias("weight"))
-    return df.join(w, label)
+    return df.join(F.broadcast(w), label)   # one row a class
 
 
 def feature_vector(df: DataFrame, names: list[str] | None = None, out: str = "features") -> DataFrame:

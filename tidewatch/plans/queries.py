@@ -923,7 +923,7 @@ def _model_rows(s, d):
 @query
 def cls_fit_predict(s, d):
     """Fitted on the training split, applied to the others."""
-    data = _model_rows(s, d)
+    data = checkpointed(_model_rows(s, d))
     split = checkpointed(sequences.stratified_split(data.select("session_id", "attack_type"), "attack_type").select("session_id", "split"))
     train = data.join(split.where("split = 'train'"), "session_id", "left_semi")
     model = classify.fit_classifier(train, EVENT_FEATURES, kind="forest", params={"numTrees": 20})
@@ -933,14 +933,14 @@ def cls_fit_predict(s, d):
 
 @query
 def cls_importance(s, d):
-    data = _model_rows(s, d)
+    data = checkpointed(_model_rows(s, d))
     model = classify.fit_classifier(data, EVENT_FEATURES, kind="forest", params={"numTrees": 20})
     return classify.importance(model, EVENT_FEATURES, 20)
 
 
 @query
 def cls_fit_summary(s, d):
-    split = sequences.stratified_split(_model_rows(s, d), "attack_type")
+    split = checkpointed(sequences.stratified_split(checkpointed(_model_rows(s, d)), "attack_type"))
     train, val = split.where("split = 'train'"), split.where("split = 'val'")
     model = classify.fit_classifier(train, EVENT_FEATURES, kind="forest", params={"numTrees": 20})
     return classify.fit_summary(classify.apply_model(train, model, EVENT_FEATURES), classify.apply_model(val, model, EVENT_FEATURES))
@@ -1027,7 +1027,7 @@ def exp_mitre(s, d):
 def _explained(s, d):
     from tidewatch.plans.pipeline import explain_sessions
 
-    data = _model_rows(s, d)
+    data = checkpointed(_model_rows(s, d))
     model = classify.fit_classifier(data, EVENT_FEATURES, kind="linear")
     pred = classify.apply_model(data, model, EVENT_FEATURES)
     extra = _scored(s, d).select("session_id", "anomaly_score", "risk_score")
