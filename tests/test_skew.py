@@ -188,3 +188,30 @@ def test_drift_is_linear(spark):
 
 def test_drift_of_nothing(spark):
     assert behavior.drift_scores(_history(spark, 0, False)).count() == 0
+
+
+def test_tasks_of_large_frames_hold_a_bounded_number_of_rows(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tidewatch.operators import ordering as od
+
+    df = spark.range(2000).select((F.col("id") % 97).alias("k"), F.col("id"))
+    plain, o = od.order_by(df, ["k"], F.col("id"), ["id"])
+    monkeypatch.setattr(od, "TASK_ROWS", 50)
+    cut, p = od.order_by(df, ["k"], F.col("id"), ["id"])
+    assert p == o and cut.rdd.getNumPartitions() == 40
+    want, got = (sorted(map(tuple, od.done(od.position_and_lag(x, o)).select("k", "id", "pos").collect())) for x in (plain, cut))
+    assert got == want and len(got) == 2000
+
+
+def test_a_fit_reads_its_rows_from_one_stored_table(spark, monkeypatch):
+    from tidewatch.operators import classify, sequences
+
+    kept = []
+    monkeypatch.setattr(classify, "checkpointed", lambda df: kept.append(df) or df)
+    df = spark.createDataFrame([(float(i % 5), "ab"[i % 5 > 2]) for i in range(40)] + [(1.0, None)], "x double, attack_type string")
+    classify.fit_classifier(df, ["x"], params={"numTrees": 2})
+    assert [d.columns for d in kept] == [["attack_type", "weight", "features"]]
+    # rows are not dealt by class, which would put nearly all of them into one task
+    plan = sequences.class_weights(df, "attack_type")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan

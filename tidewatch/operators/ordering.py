@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from tidewatch.lineage import checkpointed
 
 HOT_ROWS = 2_000_000   # rows that one window partition takes
+TASK_ROWS = 100_000    # rows of cold keys that a task gets on large frames
 
 _SLICE, _HOT, _BY, _TOTAL = "_slice", "_hot", "_by", "_total"
 
@@ -55,15 +56,17 @@ def order_by(df: DataFrame, keys: list[str], by: Column, ties: list[str],
     plain = df, Order(tuple(keys), tuple(ties), False)
     if not check:
         return plain
-    sizes = df.groupBy(*keys).agg(F.count("*").alias(_TOTAL)).where(F.col(_TOTAL) > min_rows)
-    hot_rows = sizes.agg(F.sum(_TOTAL).alias("n")).first()["n"]
+    every = df.groupBy(*keys).agg(F.count("*").alias(_TOTAL))
+    sizes = every.where(F.col(_TOTAL) > min_rows)
+    rows, hot_rows = every.agg(F.sum(_TOTAL), F.sum(F.when(F.col(_TOTAL) > min_rows, F.col(_TOTAL)))).first()
     if not hot_rows:
-        return plain
+        # a task's memory is that of its rows: their number must not grow with the frame
+        return plain if not keys or rows is None or rows <= 8 * TASK_ROWS else (df.repartition(-(-rows // TASK_ROWS), *keys), plain[1])
     hot, cold = df, None
     if keys:
         hot = _join(df, sizes, list(keys), "left_semi")
         cold = _join(df, sizes, list(keys), "left_anti")
-    n = -(-hot_rows // min_rows) + 1
+    n = -(-hot_rows // min(min_rows, TASK_ROWS)) + 1
     hot = hot.repartitionByRange(n, *keys, _BY, *ties)
     hot = checkpointed(hot.withColumn(_SLICE, F.spark_partition_id()).withColumn(_HOT, F.lit(True)))
     if cold is not None:
