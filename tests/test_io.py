@@ -222,3 +222,22 @@ def test_json_documents_round_trip(spark, tmp_path):
     assert all(isinstance(json.loads(p.read_text()), list) for p in (tmp_path / "x.json").glob("part-*"))
     back = read_json_documents(spark, f"{tmp_path}/x.json")
     assert back.columns == ["a.b", "c", "id"] and sorted(map(tuple, back.collect()), key=str) == sorted([(None, "}", "1"), ('{"x": "\\""}', None, "2")], key=str)
+
+
+def test_json_documents_are_not_shuffled(spark, tmp_path):
+    """Only the text that splits of a file share is grouped; the rest is put together where it is read."""
+    from tidewatch.sources.json_documents import json_records
+
+    (tmp_path / "x.json").write_text(json.dumps([{"i": i, "t": "}{" * (i % 5)} for i in range(400)]))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        got = json_records(spark, f"{tmp_path}/x.json", 20)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert sorted((r["number"], json.loads(r["record"])["i"]) for r in got.collect()) == [(i, i) for i in range(400)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    lines = plan.splitlines()
+    scan = next(i for i, line in enumerate(lines) if "FileScan text" in line)
+    above = [line for line in lines[:scan] if "Exchange" in line and "BroadcastExchange" not in line and line.index("Exchange") < lines[scan].index("FileScan")]
+    assert not above and "Window" not in plan

@@ -1407,7 +1407,8 @@ def io_documents(s, d):
     path = f"{work_folder(s, 'log')}/log.json"
     e = table(s, d, "events")
     write_json_documents(e.select([F.col(c).cast("string").alias(c) for c in ("event_id", "user_id", "event_type", "props")]
-                                  + [micros("ts").cast("string").alias("us"), F.round(F.col("value") * 100).cast("long").cast("string").alias("cents")]).repartition(3, "event_id"), path)
+                                  + [micros("ts").cast("string").alias("us"), F.round(F.col("value") * 100).cast("long").cast("string").alias("cents")])
+                         .repartition(max(3, -(-e.count() // 1_000_000)), "event_id"), path)   # documents of about a million records
     return readers.read_external(s, path)
 
 
