@@ -208,3 +208,26 @@ def test_python_and_sql_drift_agree(spark):
     for block in (512, 7):
         got = behavior.drift_scores(_hist(spark, rows), block=block).orderBy("n_before").collect()
         assert [round(r["behaviour_score"], 9) for r in got] == want
+
+
+def test_explained_sessions_come_from_one_pass(spark):
+    """Model columns and scores are stored together: the log is not read again for the explanations, and nothing is joined."""
+    from tidewatch.plans import queries as q
+
+    out = q.exp_pipeline(spark, "/root/testdata/sf0.001")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan" not in plan and "Join" not in plan
+    assert sorted(r["session_id"] for r in out.collect()) == sorted(r["session_id"] for r in q._rows(spark, "/root/testdata/sf0.001").collect())
+
+
+def test_contributors_ranked_in_batches(spark):
+    """Equal sizes by name, NULL nowhere, zero and less below, not-a-number above, at most so many each."""
+    from tidewatch.operators import explain
+
+    names = ["b", "a", "d", "c"]
+    nan = float("nan")
+    rows = [(1, [0.5, -0.5, 0.5, 0.0]), (2, [nan, None, 0.1, -0.2]), (3, [0.0, -0.0, None, None])]
+    df = spark.createDataFrame([(i, p, [1.0, 2.0, 3.0, 4.0]) for i, p in rows], "i int, phi array<double>, x array<double>")
+    got = {r["i"]: ([c["feature"] for c in r["positive_contributors"]], [c["feature"] for c in r["negative_contributors"]]) for r in explain.contributors(df, names, 2).collect()}
+    assert got == {1: (["b", "d"], ["a", "c"]), 2: (["d", "b"], ["c"]), 3: ([], ["a", "b"])}
+    assert "array_sort" not in explain.contributors(df, names)._jdf.queryExecution().executedPlan().toString()

@@ -8,6 +8,9 @@ exploded unless the long form itself is asked for.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -95,27 +98,44 @@ def _lookup(c: Column, mapping: dict, default: Column) -> Column:
     return F.coalesce(table[c], default)
 
 
+def _largest(names: list[str], top_n: int):
+    """A function of ``phi`` arrays: places of the ``top_n`` largest |phi| above zero (NaN too), and of the others; equal ones by name, NULL nowhere."""
+    by_name, m = np.argsort(np.array(names), kind="stable"), len(names)
+
+    @F.arrow_udf("struct<up: array<int>, down: array<int>>")
+    def places(phi: pa.Array) -> pa.Array:
+        if phi.null_count or (pc.list_value_length(phi).to_numpy() != m).any():   # short or missing arrays: as if padded with NULL
+            phi = pa.array([[*(v or []), *[None] * m][:m] for v in phi.to_pylist()], pa.list_(pa.float64()))
+        flat = phi.flatten()
+        p = flat.fill_null(0.0).to_numpy(zero_copy_only=False).reshape(-1, m)[:, by_name]
+        known = flat.is_valid().to_numpy(zero_copy_only=False).reshape(-1, m)[:, by_name]
+        order = np.argsort(-np.abs(p), axis=1, kind="stable")
+        p, known, place = np.take_along_axis(p, order, 1), np.take_along_axis(known, order, 1), by_name[order].astype(np.int32)
+        up, lists = ~(p <= 0), []
+        for keep in (known & up, known & ~up):
+            keep &= np.cumsum(keep, 1) <= top_n
+            lists.append(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(keep.sum(1))].astype(np.int32)), pa.array(place[keep])))
+        return pa.StructArray.from_arrays(lists, ["up", "down"])
+
+    return places
+
+
 def contributors(df: DataFrame, names: list[str], top_n: int = 10) -> DataFrame:
     """``positive_contributors`` and ``negative_contributors`` of the predicted class.
 
-    The largest |phi| first, at most ``top_n`` each; zero counts as negative.
+    The largest |phi| first, at most ``top_n`` each; zero counts as negative.  Whole batches are ranked at once; entries are made for the places taken only.
     """
     cat = {f: c for c, fs in dims.FEATURE_CATEGORY.items() for f in fs}
-    fields = F.arrays_zip(_array(names).alias("f"), F.col("x").alias("v"), F.col("phi").alias("p"))
-    ranked = F.array_sort(F.transform(fields, lambda s: F.struct(
-        (-F.abs(s["p"])).alias("o"), s["f"].alias("f"), s["v"].alias("v"), s["p"].alias("p"))))
+    described, category = [dims.FEATURE_DESCRIPTION.get(f, f.replace("_", " ")) for f in names], [cat.get(f, "Session") for f in names]
 
-    def entry(s: Column) -> Column:
+    def entry(i: Column) -> Column:
+        p = F.get("phi", i)
         return F.struct(
-            s["f"].alias("feature"),
-            _lookup(s["f"], dims.FEATURE_DESCRIPTION, F.replace(s["f"], F.lit("_"), F.lit(" "))).alias("description"),
-            _lookup(s["f"], cat, F.lit("Session")).alias("category"), F.round(s["v"], 4).alias("value"),
-            F.round(s["p"], 4).alias("attribution"), impact_label(s["p"]).alias("impact"))
+            F.get(_array(names), i).alias("feature"), F.get(_array(described), i).alias("description"), F.get(_array(category), i).alias("category"),
+            F.round(F.get("x", i), 4).alias("value"), F.round(p, 4).alias("attribution"), impact_label(p).alias("impact"))
 
-    df = df.withColumn("_r", ranked)
-    for name, keep in (("positive_contributors", lambda s: s["p"] > 0), ("negative_contributors", lambda s: s["p"] <= 0)):
-        df = df.withColumn(name, F.transform(F.slice(F.filter("_r", keep), 1, top_n), entry))
-    return df.drop("_r")
+    df = df.withColumn("_r", _largest(names, top_n)("phi"))
+    return df.withColumns({"positive_contributors": F.transform("_r.up", entry), "negative_contributors": F.transform("_r.down", entry)}).drop("_r")
 
 
 def attach_mitre(df: DataFrame, attack: str = "prediction", steps: dict[str, list[str]] | None = None) -> DataFrame:
@@ -178,14 +198,13 @@ def narrate(expl: DataFrame, narrative: dict[str, str] | None = None) -> DataFra
         F.lit("The anomaly score of the session is "), F.format_string("%.4f", F.col("anomaly_score")), F.lit(".")))
 
     def section(title: str, c: str, n: int) -> Column:
-        b = _bullets(c, n)
-        return F.when(F.size(b) > 0, F.concat(F.lit(title), F.array_join(b, "\n\n")))
+        return F.when(F.size(c) > 0, F.concat(F.lit(title), F.array_join(_bullets(c, n), "\n\n")))
     parts = [head, F.nullif(story, F.lit("")), mitre, score,
              section("Indicators that raised the prediction:\n\n", "positive_contributors", 5),
              section("Factors that lowered it:\n\n", "negative_contributors", 3),
              F.when(~normal, F.concat(F.lit("Together they resemble earlier **"), F.col("prediction"), F.lit("** sessions.")))]
     top = F.transform(F.slice("positive_contributors", 1, 3), lambda c: c["description"])
-    lead = F.when(F.size(top) > 0, F.array_join(top, ", ")).otherwise("behavioural anomalies")
+    lead = F.when(F.size("positive_contributors") > 0, F.array_join(top, ", ")).otherwise("behavioural anomalies")
     first = F.concat(F.upper(F.substring(lead, 1, 1)), F.substr(lead, F.lit(2)), F.lit(" point to **"), F.col("prediction"),
                      F.lit("** ("), F.col("severity"), F.lit(" severity, "), percent("confidence"), F.lit(" confidence)."))
     second = F.when(story != "", F.concat(F.substring_index(story, ".", 1), F.lit(".")))

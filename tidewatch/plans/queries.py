@@ -1027,11 +1027,17 @@ def exp_mitre(s, d):
 def _explained(s, d):
     from tidewatch.plans.pipeline import explain_sessions
 
-    data = checkpointed(_model_rows(s, d))
+    # model columns and scores of a session come from one pass over the log
+    scores = ["anomaly_score", "risk_score"]
+    rows = checkpointed(_scored(s, d).withColumn("session_duration", F.col("duration_seconds"))
+                        .select("session_id", sequences.clean_label("attack_type").alias("attack_type"), *EVENT_FEATURES, *scores))
+    data = rows.drop(*scores)
     model = classify.fit_classifier(data, EVENT_FEATURES, kind="linear")
-    pred = classify.apply_model(data, model, EVENT_FEATURES)
-    extra = _scored(s, d).select("session_id", "anomaly_score", "risk_score")
-    return explain_sessions(pred.join(extra, "session_id"), model, EVENT_FEATURES)
+    if rows.groupBy("session_id").agg(F.count("*").alias("n")).where("n > 1 OR session_id IS NULL").isEmpty():
+        pred = classify.apply_model(rows, model, EVENT_FEATURES)
+    else:   # a session with several rows has each of its predictions with each of its scores
+        pred = classify.apply_model(data, model, EVENT_FEATURES).join(rows.select("session_id", *scores), "session_id")
+    return explain_sessions(pred, model, EVENT_FEATURES)
 
 
 @query
