@@ -167,3 +167,37 @@ def test_alerts_once_after_a_failure_between_write_and_commit(spark, tmp_path):
     want = [r["session_id"] for r in q._scored(spark, SF).where("risk_score >= 35").collect()]
     assert sorted(got) == sorted(want)
     rows.unpersist()
+
+
+def test_keys_share_state_entries(spark, tmp_path):
+    """Many keys in few entries: the rows of the batch, no more entries than asked for, also without times and order columns."""
+    from tidewatch.operators import sessions as ss
+    from tidewatch.streaming.sessions import session_events_stream
+
+    rows = [(i, f"{k}{i % 7}", *more) for i, k, *more in _events(200)]
+    mixed = random.Random(2).sample(rows, len(rows))
+    out, _ = _run(spark, session_events_stream(_feed(spark, tmp_path, [mixed[:70], mixed[70:], [END]], EVENTS), delay="30 days", buckets=3), tmp_path)
+    cols = ["event_id", "session_id", "pos", "gap"]
+    batch = ss.sessionize(spark.createDataFrame(rows, EVENTS).drop("session_id"), ["employee_id"])
+    assert sorted(out.where("employee_id != '~end'").select(cols).collect(), key=str) == sorted(batch.select(cols).collect(), key=str)
+    state = spark.read.format("statestore").option("stateVarName", "carry").load(f"{tmp_path}/ck")
+    assert state.select("key").distinct().count() <= 3 < len({k for _, k, *_ in rows})
+
+
+def test_entries_are_late_and_idle_by_key(spark, tmp_path):
+    """Keys of one entry: a row is late behind rows of its own key only, and only an idle key starts anew."""
+    from tidewatch.streaming.sessions import session_events_stream
+
+    at = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
+    def event(i, k, hours):
+        return (i, k, at + dt.timedelta(hours=hours), None, None)
+
+    batches = [[event(1, "a", 0), (2, "b", None, None, None), (None, "b", None, None, None)], [event(3, "a", 30), event(4, "c", 40)], [event(6, "b", 39)],
+               [event(5, "a", -1), event(7, "a", 39), event(8, "b", 60)], [END]]
+    out, _ = _run(spark, session_events_stream(_feed(spark, tmp_path, batches, EVENTS), delay="2 hours", idle="25 hours", buckets=1), tmp_path)
+    got = {(r["employee_id"], r["event_id"]): (r["late"], r["session_no"], r["pos"]) for r in out.where("employee_id != '~end'").collect()}
+    assert got["a", 5] == (True, None, None) and sum(late for late, *_ in got.values()) == 1
+    assert got["b", None] == (False, 1, 0) and got["b", 2] == (False, 2, 1) and got["b", 6] == (False, 3, 2)
+    assert got["a", 1][1:] == (1, 0) and got["a", 3][1:] == (1, 0) and got["a", 7][1:] == (2, 1) and got["c", 4][1:] == (1, 0)
+    state = spark.read.format("statestore").option("stateVarName", "mark").load(f"{tmp_path}/ck")
+    assert state.select("key").distinct().count() <= 1

@@ -1476,24 +1476,22 @@ def _drain(s, stream: DataFrame, name: str) -> DataFrame:
 def _stream(s, df: DataFrame, name: str, by: str = "ts", files: int = 4, closing: DataFrame | None = None, mixed: bool = False) -> DataFrame:
     """A batch table as a stream of time ranges, one range a trigger; rows without a time are in the first.
 
-    The table is stored once; ranges are written one after the other, because the file source takes files by age, each as equally many files of about a million
-    rows.  ``mixed``: every other row comes a range later than its time.  ``closing`` rows make one more trigger at the end.
+    Ranges are written one after the other, because the file source takes files by age, each as equally many files of about a million rows.  ``df`` is read for
+    each of them: callers store it.  ``mixed``: every other row comes a range later than its time.  ``closing`` rows make one more trigger at the end.
     """
     base = f"{work_folder(s, name)}/in"
     t = micros(by)
-    df = checkpointed(df)
     rows, quantiles = df.agg(F.count("*"), F.percentile_approx(t, [i / files for i in range(1, files)], 10_000)).first()
     cuts = sorted(set(quantiles or []))
     part = sum(((t > c).cast("int") for c in cuts), F.lit(0))
     if mixed:
         part = part + F.pmod(F.xxhash64(*df.columns), F.lit(2))
-    df = df.withColumn("_part", F.coalesce(part, F.lit(0)))
-    each = -(-rows // (files * 1_000_000)) or 1
+    each, ranges = -(-rows // (files * 1_000_000)) or 1, df.withColumn("_part", F.coalesce(part, F.lit(0)))
     for k in range(len(cuts) + 1 + mixed):
-        df.where(F.col("_part") == k).drop("_part").repartition(each).write.mode("append").parquet(base)
+        ranges.where(F.col("_part") == k).drop("_part").repartition(each).write.mode("append").parquet(base)
     if closing is not None:
         closing.repartition(each).write.mode("append").parquet(base)
-    return s.readStream.schema(df.drop("_part").schema).option("maxFilesPerTrigger", each).parquet(base)
+    return s.readStream.schema(df.schema).option("maxFilesPerTrigger", each).parquet(base)
 
 
 def _end(df: DataFrame, by: str, key: str = "employee_id") -> DataFrame:
@@ -1509,11 +1507,16 @@ def _delay(df: DataFrame, by: str, files: int = 4) -> str:
     return f"{-(-max(spans) // 1_000_000) + 1} seconds"
 
 
+def _buckets(df: DataFrame) -> int:
+    """State entries for a stream of these rows: about 10,000 rows for each, of which it holds half at a time."""
+    return max(64, df.count() // 10_000)
+
+
 @query
 def str_sessions(s, d):
     from tidewatch.streaming.sessions import sessionize_stream
 
-    log = _log(s, d).select("ts", "employee_id", "event_type", "status", "is_anomalous")
+    log = checkpointed(_log(s, d).select("ts", "employee_id", "event_type", "status", "is_anomalous"))
     out = _drain(s, sessionize_stream(_stream(s, log, "events", closing=_end(log, "ts"))), "sessions")
     return out.where("employee_id != '~end'").select("employee_id", "n_events", micros("start_time").alias("start_us"), micros("end_time").alias("end_us"), "failed_login_count",
                       F.col("is_anomalous").cast("long").alias("is_anomalous"))
@@ -1536,7 +1539,7 @@ def _placed(s, d) -> DataFrame:
 
     log = checkpointed(_log(s, d))
     stream = _stream(s, log, "log", closing=_end(log, "ts"), mixed=True)
-    out = _drain(s, session_events_stream(stream, gap_s=GAP, delay=_delay(log, "ts")), "placed")
+    out = _drain(s, session_events_stream(stream, gap_s=GAP, delay=_delay(log, "ts"), buckets=_buckets(log)), "placed")
     return out.where("employee_id != '~end' AND NOT late")
 
 

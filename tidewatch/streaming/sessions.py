@@ -51,12 +51,13 @@ def _fold_events(gap_us: int | None, lead_columns: list[str]):
 
 
 def session_events_stream(events: DataFrame, keys: list[str] | None = None, gap_s: int = GAP_SECONDS, delay: str = "1 hour", grace: str = "3650 days",
-                          idle: str | None = None, given: bool = False, tie: str = "event_id") -> DataFrame:
+                          idle: str | None = None, given: bool = False, tie: str = "event_id", buckets: int | None = None) -> DataFrame:
     """A log as a stream of placed events: the columns of the batch sessioniser (session_no, session_id, pos, gap, lead), with ``late``.
 
     Each session is a stateful object: its number, last time, position and first event stay in state; events are held back for ``delay`` and come out in order, so
     ordered features and sequences of the written events are those of the batch.  Events that come later than that, behind others of their key that are out, are
     returned with ``late`` set and without a place.  ``given``: events carry a ``session_id`` (blank: the employee's own session), and nothing is cut by gaps.
+    ``buckets``: state entries that keys share.
     Without marks of first addresses and destinations: readers count those of a session themselves.
     """
     keys = keys or ["employee_id"]
@@ -66,7 +67,7 @@ def session_events_stream(events: DataFrame, keys: list[str] | None = None, gap_
     else:
         events, gap_us = events.drop("session_id"), gap_s * 1_000_000
     lead = [c for c in LEAD if c in events.columns]
-    out = fold_stream(events, keys, "ts", tie, _fold_events(gap_us, lead), CARRY, PLACE, delay, grace, idle)
+    out = fold_stream(events, keys, "ts", tie, _fold_events(gap_us, lead), CARRY, PLACE, delay, grace, idle, buckets)
     kinds = dict(events.dtypes)
     out = out.withColumn("lead", F.from_json("lead", ", ".join(f"{c} {kinds[c]}" for c in lead) + ", pos bigint"))
     if given:
