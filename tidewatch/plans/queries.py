@@ -1529,7 +1529,7 @@ def str_drift(s, d):
 
     rows = checkpointed(_rows(s, d).select("employee_id", "session_id", "start_time", "office_location", "device_id", "browser", "operating_system", "resource_mask"))
     stream = _stream(s, rows, "rows", "start_time", closing=_end(rows, "start_time"), mixed=True)
-    out = _drain(s, drift_stream(stream, _delay(rows, "start_time")), "drift")
+    out = _drain(s, drift_stream(stream, _delay(rows, "start_time"), buckets=_buckets(rows)), "drift")
     return out.where("employee_id != '~end'").select("session_id", "accepted", *[r(c) for c in dims.DEVIATIONS], r("behaviour_score"))
 
 

@@ -40,14 +40,15 @@ def fold_sessions(window: list[tuple], rows: list[tuple[int | None, dict]]) -> t
     return window, out
 
 
-def drift_stream(sessions: DataFrame, delay: str = "1 day", idle: str | None = None, grace: str = "3650 days") -> DataFrame:
+def drift_stream(sessions: DataFrame, delay: str = "1 day", idle: str | None = None, grace: str = "3650 days",
+                 buckets: int | None = None) -> DataFrame:
     """Drift scores of a stream of session rows: employee_id, session_id, start_time, the deviations, behaviour_score, accepted, late.
 
     Sessions may come in any order within ``delay``; those that come later are returned with ``late`` set and without scores.  ``idle``: an entity
-    without a session for so long starts anew (None: its window stays).
+    without a session for so long starts anew (None: its window stays).  ``buckets``: state entries that entities share.
     """
     rows = sessions.select(
         "employee_id", "start_time", "session_id", F.col("office_location").alias("loc"), F.col("device_id").alias("dev"),
         F.col("browser").cast("string").alias("br"), F.col("operating_system").cast("string").alias("os"),
         F.coalesce(F.hour("start_time").cast("double"), F.lit(0.0)).alias("hr"), F.coalesce("resource_mask", F.lit(0).cast("long")).alias("mask"))
-    return fold_stream(rows, ["employee_id"], "start_time", "session_id", fold_sessions, STATE, OUTPUT, delay, grace, idle).drop(*_FIELDS)
+    return fold_stream(rows, ["employee_id"], "start_time", "session_id", fold_sessions, STATE, OUTPUT, delay, grace, idle, buckets).drop(*_FIELDS)
