@@ -201,3 +201,11 @@ def test_entries_are_late_and_idle_by_key(spark, tmp_path):
     assert got["a", 1][1:] == (1, 0) and got["a", 3][1:] == (1, 0) and got["a", 7][1:] == (2, 1) and got["c", 4][1:] == (1, 0)
     state = spark.read.format("statestore").option("stateVarName", "mark").load(f"{tmp_path}/ck")
     assert state.select("key").distinct().count() <= 1
+
+
+def test_alerts_compute_the_sessions_once(spark, monkeypatch):
+    plans = []
+    whole = q._stream
+    monkeypatch.setattr(q, "_stream", lambda s, df, *more: plans.append(df._jdf.queryExecution().executedPlan().toString()) or whole(s, df, *more))
+    got = [r["session_id"] for r in q.str_alerts(spark, SF).collect()]
+    assert "FileScan" not in plans[0] and sorted(got) == sorted(r["session_id"] for r in q._scored(spark, SF).where("risk_score >= 35").collect())

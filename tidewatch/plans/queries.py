@@ -1562,6 +1562,7 @@ def str_alerts(s, d):
     from tidewatch.streaming.alerts import alert_stream, score_stream, write_alerts
 
     x = features.event_features(_events(s, d), keys=["employee_id"]).drop("event_ids")
+    x = checkpointed(x)
     stream = _stream(s, x.unionByName(x), "sessions", "start_time")
     alerts = alert_stream(score_stream(stream, _emp(s, d))).select("session_id", "risk_score")
     base = work_folder(s, "alerts")
